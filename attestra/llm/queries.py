@@ -7,16 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from attestra.llm.common import read
+from attestra.llm.decontamination import contaminated
 from attestra.llm.exact_dedup import exact_duplicates
 from attestra.llm.language import predicted_languages
+from attestra.llm.line_dedup import without_boilerplate
 from attestra.llm.mixing import mix_counts
+from attestra.llm.quality import resampled
 from attestra.llm.sharding import shard_by_splitters
+from attestra.llm.simhash import near_duplicates
+from attestra.llm.url_filter import judged_urls
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_splitters(read(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_boilerplate(read(spark, sf_dir, "documents"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampled(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(read(spark, sf_dir, "documents"))
 
@@ -25,13 +42,61 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted_languages(read(spark, sf_dir, "documents"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged_urls(read(spark, sf_dir, "pages"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_counts(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_sharding, op6_exact_dedup, op7_language_id, op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_decontamination,
+        op2_sharding,
+        op3_line_dedup,
+        op4_quality,
+        op6_exact_dedup,
+        op7_language_id,
+        op8_simhash,
+        op9_url_filter,
+        op10_mixing,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_decontamination": r"""
+WITH d AS (
+  SELECT doc_id, string_split_regex(trim(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-/:-@\[-`{-\x7f]+', ' ', 'g')), ' ') AS w
+  FROM documents WHERE text IS NOT NULL),
+b AS (
+  SELECT item_id, string_split_regex(trim(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-/:-@\[-`{-\x7f]+', ' ', 'g')), ' ') AS w
+  FROM benchmark WHERE text IS NOT NULL),
+i AS (
+  SELECT DISTINCT item_id, least(5, len(w)) AS k, array_to_string(w[p : p + least(5, len(w)) - 1], ' ') AS s
+  FROM b, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS r(p) WHERE w[1] <> ''),
+n AS (SELECT item_id, count(*) AS item_shingles FROM i GROUP BY item_id),
+s AS (
+  SELECT DISTINCT doc_id, k, array_to_string(w[p : p + k - 1], ' ') AS s
+  FROM d, (SELECT DISTINCT k FROM i) AS widths, unnest(range(1, len(w) - k + 2)) AS r(p)),
+m AS (SELECT doc_id, item_id, count(*) AS shared FROM s JOIN i USING (k, s) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, item_shingles, shared, shared / item_shingles AS containment
+FROM m JOIN n USING (item_id) WHERE shared * 5 >= item_shingles * 4
+""".replace("\\\\", "\\"),
+    "op3_line_dedup": """
+WITH l AS (
+  SELECT doc_id, source, text, pos, part, trim(part, ' ' || chr(9) || chr(13)) AS line
+  FROM (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS part, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)),
+b AS (SELECT line FROM l WHERE line <> '' GROUP BY line HAVING count(DISTINCT coalesce('=' || source, '-')) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(b.line) AS n_removed,
+       coalesce(string_agg(part, chr(10) ORDER BY pos) FILTER (WHERE b.line IS NULL), '') AS text
+FROM l LEFT JOIN b USING (line) GROUP BY doc_id
+""",
     "op6_exact_dedup": """
 WITH t AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)
