@@ -15,6 +15,7 @@ from attestra.llm.mixing import mix_counts
 from attestra.llm.quality import resampled
 from attestra.llm.sharding import shard_by_splitters
 from attestra.llm.simhash import near_duplicates
+from attestra.llm.substring_dedup import without_repeats
 from attestra.llm.url_filter import judged_urls
 
 
@@ -34,6 +35,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampled(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(read(spark, sf_dir, "documents"))
 
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_sharding,
         op3_line_dedup,
         op4_quality,
+        op5_substring_dedup,
         op6_exact_dedup,
         op7_language_id,
         op8_simhash,
@@ -96,6 +102,20 @@ b AS (SELECT line FROM l WHERE line <> '' GROUP BY line HAVING count(DISTINCT co
 SELECT doc_id, count(*) AS n_lines, count(b.line) AS n_removed,
        coalesce(string_agg(part, chr(10) ORDER BY pos) FILTER (WHERE b.line IS NULL), '') AS text
 FROM l LEFT JOIN b USING (line) GROUP BY doc_id
+""",
+    "op5_substring_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (
+  SELECT doc_id, p, array_to_string(w[p : p + 12], ' ') AS s FROM d, unnest(range(1, len(w) - 11)) AS r(p)),
+f AS (SELECT s, min(doc_id) AS least FROM g GROUP BY s),
+c AS (
+  SELECT DISTINCT doc_id, p + k AS p FROM g JOIN f USING (s), unnest(range(0, 13)) AS r(k) WHERE least < doc_id),
+x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+k AS (
+  SELECT doc_id, count(c.p) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY x.p) FILTER (WHERE c.p IS NULL), '') AS kept
+  FROM x LEFT JOIN c USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
 """,
     "op6_exact_dedup": """
 WITH t AS (
