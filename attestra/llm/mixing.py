@@ -64,10 +64,10 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 
 
 class Mix:
-    """A mix of docs. rows: the input with rid, its source's sid, source_size and target, and its place in the stream; sources; slots(); spans()."""
+    """A mix of docs. input: with rid, the number of each row; rows: with sid, source_size and target of its source, and its place in the stream; sources; slots(); spans()."""
 
     def __init__(self, docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 10, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> None:
-        """Sizes are words; a null text has none and is never taken. A null source is a source. Repeated rows are rows of their own. keep: columns of docs to carry along in rows."""
+        """Sizes are words; a null text has none and is never taken. A null source is a source. Repeated rows are rows of their own. keep: columns of docs to have in input, beside rid."""
         self.block_words, self.seed = block_words, seed
         base = docs.select(
             F.col(id_col).cast("long").alias("doc_id"),
@@ -76,7 +76,8 @@ class Mix:
             F.monotonically_increasing_id().alias("rid"),
             *(F.col(c).alias(f"kept_{c}") for c in keep),
         )
-        base = materialize(base, "mix-sizes")
+        self.input = base = materialize(base, "mix-sizes")
+        base = base.select("doc_id", "source", "size", "rid")
         blocks = F.ceil(F.col("source_size") / block_words).cast("long")
         slots = F.when(blocks > 0, F.least(MOST_TIMES * blocks, F.round(F.col("target") * blocks / F.col("source_size")).cast("long"))).otherwise(0)
         sources = source_targets(base.groupBy("source").agg(F.sum("size").alias("source_size"))).withColumn("n_blocks", blocks).withColumn("n_slots", slots)
@@ -132,9 +133,10 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     mix = Mix(docs, keep=tuple(columns), **options)
     passes = mix.spans().groupBy("rid", "times").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("first", "n"))).alias("parts"))
     words = F.regexp_extract_all(F.col("kept_text"), F.lit(f"({WORD})"))
-    cut = F.array_join(F.flatten(F.transform("parts", lambda p: F.slice(words, (p["first"] + 1).cast("int"), p["n"].cast("int")))), " ")
+    # as an array of one, so that the words are taken out once and not for each part
+    cut = F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("parts", lambda p: F.slice(w, (p["first"] + 1).cast("int"), p["n"].cast("int")))), " "))[0]
     text = F.when(F.col("n") == F.col("size"), F.col("kept_text")).otherwise(cut)
-    out = mix.rows.join(passes, "rid").withColumn("kept_text", text)
+    out = mix.input.join(passes, "rid").withColumn("kept_text", text)
     if "n_chars" in columns:
         out = out.withColumn("kept_n_chars", F.length("kept_text").cast(docs.schema["n_chars"].dataType))
     return out.select(*(F.col(f"kept_{c}").alias(c) for c in columns))
