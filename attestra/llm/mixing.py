@@ -113,14 +113,15 @@ class Mix:
             .withColumn("n", F.least(F.col("size"), (F.col("block") + 1) * width - F.col("start")) - F.col("first"))
             .select("sid", "block", "rid", "first", "n")
         )
-        return self.slots().join(pieces, ["sid", "block"]).select("shard", "slot", "rid", "times", "first", "n")
+        # both sides grow with the input, though Spark, which can't tell how far they explode, may take them for small
+        return self.slots().join(pieces.hint("merge"), ["sid", "block"]).select("shard", "slot", "rid", "times", "first", "n")
 
 
 def mix_counts(docs: DataFrame, **options) -> DataFrame:
     """One row per input row: doc_id, size, source_size, target, taken (words that the mix takes of it, repeats counted)."""
     mix = Mix(docs, **options)
     taken = mix.spans().groupBy("rid").agg(F.sum("n").alias("taken"))
-    return mix.rows.join(taken, "rid", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return mix.rows.join(taken.hint("merge"), "rid", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
@@ -136,7 +137,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     # as an array of one, so that the words are taken out once and not for each part
     cut = F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("parts", lambda p: F.slice(w, (p["first"] + 1).cast("int"), p["n"].cast("int")))), " "))[0]
     text = F.when(F.col("n") == F.col("size"), F.col("kept_text")).otherwise(cut)
-    out = mix.input.join(passes, "rid").withColumn("kept_text", text)
+    out = mix.input.join(passes.hint("merge"), "rid").withColumn("kept_text", text)
     if "n_chars" in columns:
         out = out.withColumn("kept_n_chars", F.length("kept_text").cast(docs.schema["n_chars"].dataType))
     return out.select(*(F.col(f"kept_{c}").alias(c) for c in columns))
