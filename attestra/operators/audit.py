@@ -5,20 +5,23 @@ Factors, formulas and statuses that the reference doesn't publish are this libra
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestra.functions.evidence import AVAILABLE, SUMMARY_ONLY, UNAVAILABLE, combined
 
+#: Of the driver tables.
 FACTORS = ("negative_balance", "decline", "gap", "high_returns", "high_discount", "no_recent_filing")
 
 
-def score_going_concern(factors: DataFrame) -> DataFrame:
-    """factors: corp, fy, and FACTORS as booleans. points: those raised; a null factor is missing, never passed. state: summary_only if all are evaluated, unavailable if none is, else unverified."""
-    count = lambda test: sum((F.when(test(F.col(f)), 1).otherwise(0) for f in FACTORS), F.lit(0)).cast("long")
+def score_going_concern(factors: DataFrame, names: Sequence[str] = FACTORS) -> DataFrame:
+    """factors: corp, fy, and the named factors as booleans. points: those raised; a null factor is missing, never passed. state: summary_only if all are evaluated, unavailable if none is, else unverified."""
+    count = lambda test: sum((F.when(test(F.col(f)), 1).otherwise(0) for f in names), F.lit(0)).cast("long")
     missing = count(lambda c: c.isNull())
-    state = F.when(missing == 0, SUMMARY_ONLY).when(missing == len(FACTORS), UNAVAILABLE).otherwise("unverified")
-    return factors.select("corp", "fy", count(lambda c: c).alias("points"), (len(FACTORS) - missing).alias("evaluated"), missing.alias("missing"), state.alias("state"))
+    state = F.when(missing == 0, SUMMARY_ONLY).when(missing == len(names), UNAVAILABLE).otherwise("unverified")
+    return factors.select("corp", "fy", count(lambda c: c).alias("points"), (len(names) - missing).alias("evaluated"), missing.alias("missing"), state.alias("state"))
 
 
 def detect_restatement(originals: DataFrame, later: DataFrame, threshold: float = 0.01) -> DataFrame:

@@ -14,24 +14,26 @@ from pyspark.sql import functions as F
 from attestra.functions.bounds import bounded_keys
 
 
-def peers_by_prefix(companies: DataFrame, target: int, prefix: str) -> DataFrame:
+def peers_by_prefix(companies: DataFrame, target: int | str, prefix: str) -> DataFrame:
     """target, peer, rule: companies (corp, code) whose code starts with the prefix, but for the target."""
     if not prefix:
         raise ValueError("an empty prefix selects everything")
-    return companies.where(F.col("code").startswith(prefix) & (F.col("corp") != target)).select(F.lit(target).cast("long").alias("target"), F.col("corp").alias("peer"), F.lit(f"prefix:{prefix}").alias("rule"))
+    return companies.where(F.col("code").startswith(prefix) & (F.col("corp") != target)).select(F.lit(target).cast(companies.schema["corp"].dataType).alias("target"), F.col("corp").alias("peer"), F.lit(f"prefix:{prefix}").alias("rule"))
 
 
-def peers_by_list(companies: DataFrame, target: int, keys: Sequence[int]) -> DataFrame:
+def peers_by_list(companies: DataFrame, target: int | str, keys: Sequence[int] | Sequence[str]) -> DataFrame:
     """target, peer, rule: the listed companies that exist, but for the target."""
-    return companies.where(F.col("corp").isin(bounded_keys(keys)) & (F.col("corp") != target)).select(F.lit(target).cast("long").alias("target"), F.col("corp").alias("peer"), F.lit("explicit").alias("rule"))
+    return companies.where(F.col("corp").isin(bounded_keys(keys)) & (F.col("corp") != target)).select(F.lit(target).cast(companies.schema["corp"].dataType).alias("target"), F.col("corp").alias("peer"), F.lit("explicit").alias("rule"))
 
 
 def peers_by_size(companies: DataFrame, k: int = 5) -> DataFrame:
     """companies: corp, industry, size. For every company the k of its industry nearest in size: target, peer, rank, distance, rule.
 
     The nearest in one dimension are among the k before and the k after in order of size, so that a sort by
-    industry takes the place of comparing all pairs. Ties go to the lower key (among those 2k).
+    industry takes the place of comparing all pairs. Ties go to the lower key (among those 2k). A company of
+    unknown size has no peers and is none.
     """
+    companies = companies.where("size IS NOT NULL")
     in_order = Window.partitionBy("industry").orderBy("size", "corp")
     near = F.concat(*(F.collect_list(F.struct(F.col("corp").alias("peer"), F.col("size").alias("peer_size"))).over(in_order.rowsBetween(*frame)) for frame in ((-k, -1), (1, k))))
     pairs = companies.withColumn("near", near).select("corp", "size", F.explode("near").alias("p")).select(F.col("corp").alias("target"), F.col("p.peer").alias("peer"), F.abs(F.col("size") - F.col("p.peer_size")).alias("distance"))
