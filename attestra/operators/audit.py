@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestra.functions.evidence import AVAILABLE, SUMMARY_ONLY, UNAVAILABLE, combined
+from attestra.operators.ranking import value_ranks
 
 #: Of the driver tables.
 FACTORS = ("negative_balance", "decline", "gap", "high_returns", "high_discount", "no_recent_filing")
@@ -76,8 +77,7 @@ def industry_audit_landscape(fees: DataFrame) -> DataFrame:
 
 def compare_peer_audit_fees(fees: DataFrame) -> DataFrame:
     """fees: corp, fy, industry, audit_fee, non_audit_fee (doubles). ratio of non-audit to audit fee, percent rank of the audit fee among peers of the year."""
-    pct = F.percent_rank().over(Window.partitionBy("industry", "fy").orderBy("audit_fee"))
-    return fees.select("corp", "fy", "audit_fee", "non_audit_fee", F.try_divide("non_audit_fee", "audit_fee").alias("ratio"), pct.alias("pct"))
+    return value_ranks(fees, ["industry", "fy"], "audit_fee").select("corp", "fy", "audit_fee", "non_audit_fee", F.try_divide("non_audit_fee", "audit_fee").alias("ratio"), "pct")
 
 
 def kam_lifecycle(topics: DataFrame, last: int) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestra.functions.evidence import AVAILABLE, derived
+from attestra.operators.ranking import value_ranks
 
 
 def normalized_facts(raw: DataFrame, aliases: Mapping[str, str], keys: Sequence[str] = ("corp", "fy")) -> DataFrame:
@@ -37,8 +38,7 @@ def compare_to_industry_multi(values: DataFrame, metrics: Sequence[str]) -> Data
 
 
 def _compared(values: DataFrame, group: list[str]) -> DataFrame:
-    medians = values.groupBy(*group).agg(F.median("value").alias("median"))
-    return values.withColumn("pct", F.percent_rank().over(Window.partitionBy(*group).orderBy("value"))).join(medians, group)
+    return value_ranks(values, group, "value")
 
 
 def before(value: str) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestra.functions.bounds import bounded_keys
+from attestra.operators.ranking import with_neighbours
 
 
 def peers_by_prefix(companies: DataFrame, target: int | str, prefix: str) -> DataFrame:
@@ -29,14 +30,13 @@ def peers_by_list(companies: DataFrame, target: int | str, keys: Sequence[int] |
 def peers_by_size(companies: DataFrame, k: int = 5) -> DataFrame:
     """companies: corp, industry, size. For every company the k of its industry nearest in size: target, peer, rank, distance, rule.
 
-    The nearest in one dimension are among the k before and the k after in order of size, so that a sort by
-    industry takes the place of comparing all pairs. Ties go to the lower key (among those 2k). A company of
+    The nearest in one dimension are among the k before and the k after in order of size, so that an order
+    within industries takes the place of comparing all pairs. Ties go to the lower key (among those 2k). A company of
     unknown size has no peers and is none.
     """
     companies = companies.where("size IS NOT NULL")
-    in_order = Window.partitionBy("industry").orderBy("size", "corp")
-    near = F.concat(*(F.collect_list(F.struct(F.col("corp").alias("peer"), F.col("size").alias("peer_size"))).over(in_order.rowsBetween(*frame)) for frame in ((-k, -1), (1, k))))
-    pairs = companies.withColumn("near", near).select("corp", "size", F.explode("near").alias("p")).select(F.col("corp").alias("target"), F.col("p.peer").alias("peer"), F.abs(F.col("size") - F.col("p.peer_size")).alias("distance"))
+    near = with_neighbours(companies, "industry", "size", "corp", k)
+    pairs = near.select("corp", "size", F.explode("near").alias("p")).select(F.col("corp").alias("target"), F.col("p.peer").alias("peer"), F.abs(F.col("size") - F.col("p.peer_value")).alias("distance"))
     ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("target").orderBy("distance", "peer")).cast("long"))
     return ranked.where(F.col("rank") <= k).select("target", "peer", "rank", F.col("distance").cast("double").alias("distance"), F.lit(f"adaptive:industry,nearest {k}").alias("rule"))
 
