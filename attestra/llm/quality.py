@@ -21,13 +21,11 @@ from pyspark.sql import functions as F
 from attestra.llm.common import as_bytes, by_volume, materialize
 from attestra.llm.shingles import Words
 
-LG_BUCKETS = 14
+LG_BUCKETS = 16
 GRAMS = (1, 2)
 #: Labelled documents that the target model is fitted on, at most (about; drawn by a hash of the id).
 TARGET_ROWS = 50_000
-#: The part of all documents that is sampled.
-KEEP = 0.75
-#: Counts added to each bucket of either model.
+#: Counts of the raw model, scaled to the target's size, that the target model has from the start: what it hasn't seen, it takes to be as in raw text.
 SMOOTHING = 10.0
 BINS = 4096
 
@@ -61,23 +59,25 @@ def log_ratios(docs: DataFrame, target_ids: DataFrame) -> np.ndarray:
     flagged = docs.join(F.broadcast(some.select("doc_id", F.lit(True).alias("wanted"))), "doc_id", "left")
     counts = flagged.where("text IS NOT NULL").select("text", F.coalesce("wanted", F.lit(False))).mapInArrow(counted, "bucket long, raw long, target long")
     table = materialize(counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")), "buckets").toArrow()
-    models = np.full((2, 1 << LG_BUCKETS), SMOOTHING)
-    models[:, table.column("bucket").to_numpy()] += [table.column("target").to_numpy(), table.column("raw").to_numpy()]
-    if not table.num_rows or not table.column("target").to_numpy().any():
-        return np.zeros(1 << LG_BUCKETS)
-    logs = np.log(models / models.sum(axis=1, keepdims=True))
-    return logs[0] - logs[1]
+    bucket, raw, target = (table.column(c).to_numpy() for c in ("bucket", "raw", "target"))
+    out = np.zeros(1 << LG_BUCKETS)
+    if target.any():
+        out[bucket] = np.log((target + SMOOTHING) / (raw * (target.sum() / raw.sum()) + SMOOTHING))
+    return out
 
 
-def resampled(docs: DataFrame, labels: DataFrame, keep: float = KEEP, seed: int = 4) -> DataFrame:
+def resampled(docs: DataFrame, labels: DataFrame, keep: float | None = None, seed: int = 4) -> DataFrame:
     """One row per input row: doc_id, log_weight, perturbed (with Gumbel noise), kept.
 
     Target text: documents with quality 1 and not toxic 1. Null or empty texts have weight 0 in logs, all texts if there
-    is no target text. The noise is a function of the id, so reruns agree; k is ``keep`` of all rows, rounded up, and
-    rows that tie with the last one (repeated rows) are kept with it. Other columns are not looked at; an empty table gives
-    an empty result.
+    is no target text. The noise is a function of the id, so reruns agree; k is ``keep`` of all rows, rounded up (by
+    default the part of the labelled documents that have quality 1; all, if there are no labels), and rows that tie with
+    the last one (repeated rows) are kept with it. Other columns are not looked at; an empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if keep is None:
+        keep = labels.agg(F.avg(F.when(F.col("quality") == 1, 1.0).when(F.col("quality").isNotNull(), 0.0))).first()[0]
+        keep = 1.0 if keep is None else keep
     target = labels.where("quality = 1 AND coalesce(toxic, 0) <> 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     shared = docs.sparkSession.sparkContext.broadcast(log_ratios(docs, materialize(target, "target")))
 
