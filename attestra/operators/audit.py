@@ -60,6 +60,11 @@ def subsidiary_auditors(perimeter: DataFrame, leads: DataFrame) -> DataFrame:
     return perimeter.join(leads, ["corp", "fy"], "left").select("parent", "corp", "fy", "auditor", F.when(F.col("auditor").isNotNull(), AVAILABLE).otherwise(UNAVAILABLE).alias("state"))
 
 
+def missing_evidence(perimeter: DataFrame, found: DataFrame) -> DataFrame:
+    """perimeter: corp, fy and more. Its rows for which nothing was found."""
+    return perimeter.join(found, ["corp", "fy"], "left_anti")
+
+
 def auditor_matrix(found: DataFrame, auditors: list[int]) -> DataFrame:
     """found: as of subsidiary_auditors. parent, fy, a count for each auditor, and missing."""
     counts = [F.count(F.when(F.col("auditor") == a, 1)).alias(f"auditor_{a}") for a in auditors]
@@ -94,8 +99,3 @@ def acceptance_pack(concern: DataFrame, restated: DataFrame, history: DataFrame,
     out = concern.join(restated, ["corp", "fy"], "left").join(history.select("corp", "fy", "auditor", "status"), ["corp", "fy"], "left").join(fees.select("corp", "fy", "ratio"), ["corp", "fy"], "left")
     state = combined(F.col("state"), F.when(F.col("candidates").isNotNull(), AVAILABLE), F.when(F.col("auditor").isNotNull(), AVAILABLE))
     return out.select("corp", "fy", "points", "candidates", "auditor", "status", "ratio", state.alias("state"))
-
-
-def raised(test: Column, known: Column) -> Column:
-    """A factor: null where it isn't known."""
-    return F.when(known, test)

@@ -41,6 +41,15 @@ def peers_by_size(companies: DataFrame, k: int = 5) -> DataFrame:
     return ranked.where(F.col("rank") <= k).select("target", "peer", "rank", F.col("distance").cast("double").alias("distance"), F.lit(f"adaptive:industry,nearest {k}").alias("rule"))
 
 
+def peers_by_band(companies: DataFrame, target: int | str, low: float = 0.8, high: float = 1.25) -> DataFrame:
+    """companies: corp, industry, size. target, peer, rule: those of the target's industry whose size is between low and high times the target's."""
+    if not 0 < low <= high:
+        raise ValueError("a band needs 0 < low <= high")
+    one = companies.where(F.col("corp") == target).select(F.col("corp").alias("target"), "industry", F.col("size").alias("target_size"))  # a single company
+    inside = F.col("size").cast("double").between(F.col("target_size").cast("double") * low, F.col("target_size").cast("double") * high)
+    return companies.join(F.broadcast(one), "industry").where(inside & (F.col("corp") != F.col("target"))).select("target", F.col("corp").alias("peer"), F.lit(f"adaptive:industry,size {low:g}-{high:g}").alias("rule"))
+
+
 def composed(*cohorts: DataFrame) -> DataFrame:
     """Peers that all rules select, with the rules joined by ``+``."""
     both = reduce(lambda a, b: a.join(b.select("target", "peer", F.col("rule").alias("other")), ["target", "peer"]).withColumn("rule", F.concat_ws("+", "rule", "other")).drop("other"), cohorts)

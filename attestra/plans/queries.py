@@ -161,6 +161,14 @@ def peers_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return peers.peers_by_size(sized(spark, sf_dir), 5)
 
 
+BAND = "SELECT a.corp AS target, b.corp AS peer, 'adaptive:industry,size 0.8-1.25' AS rule FROM sized a JOIN sized b ON a.industry = b.industry AND a.corp = 0 AND b.corp <> 0 AND CAST(b.size AS DOUBLE) BETWEEN CAST(a.size AS DOUBLE) * 0.8 AND CAST(a.size AS DOUBLE) * 1.25"
+
+
+@query(sql(BAND, "company", "yearly").replace(" SELECT a.corp", f", {SIZED} SELECT a.corp"))
+def peers_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return peers.peers_by_band(sized(spark, sf_dir), 0)
+
+
 @query(sql("SELECT CAST(0 AS BIGINT) AS target, corp AS peer, 'prefix:1+explicit' AS rule FROM company WHERE starts_with(code, '1') AND corp IN (3, 5, 8, 13, 21, 34)", "company"))
 def peers_composed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return peers.composed(peers_prefix(spark, sf_dir), peers.peers_by_list(px.companies(spark, sf_dir), 0, [3, 5, 8, 13, 21, 34]))
@@ -280,7 +288,7 @@ def concern(spark: SparkSession, sf_dir: str) -> DataFrame:
         "fy",
         (F.col("balance") < 0).alias("negative_balance"),
         (F.col("value") < F.col("prior")).alias("decline"),
-        audit.raised(F.col("prior").isNull(), F.col("fy") > px.YEARS[0]).alias("gap"),
+        F.when(F.col("fy") > px.YEARS[0], F.col("prior").isNull()).alias("gap"),
         (F.col("return_share") > 0.5).alias("high_returns"),
         (F.col("mean_discount") > 0.06).alias("high_discount"),
         (F.col("last_filed") < F.make_date(F.col("fy").cast("int"), F.lit(7), F.lit(1))).alias("no_recent_filing"),
@@ -365,6 +373,12 @@ def subsidiary_auditors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subsidiaries(spark, sf_dir)
 
 
+@query(sql("SELECT nation AS parent, corp, fy FROM cell WHERE NOT EXISTS (SELECT 1 FROM lead_auditor l WHERE l.corp = cell.corp AND l.fy = cell.fy)", "cell", "lead_auditor"))
+def missing_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    perimeter = grid(px.companies(spark, sf_dir).select(F.col("nation").alias("parent"), "corp"), px.YEARS).withColumn("fy", F.col("fy").cast("long"))
+    return audit.missing_evidence(perimeter, px.engagements(spark, sf_dir).select("corp", "fy"))
+
+
 @query(sql("SELECT nation AS parent, fy, " + ", ".join(f"count(*) FILTER (WHERE auditor = {a}) AS auditor_{a}" for a in range(5)) + ", count(*) FILTER (WHERE auditor IS NULL) AS missing FROM cell LEFT JOIN lead_auditor USING (corp, fy) GROUP BY nation, fy", "cell", "lead_auditor"))
 def auditor_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.auditor_matrix(subsidiaries(spark, sf_dir), list(range(5)))
