@@ -33,9 +33,9 @@ from attestra.llm.common import LAST_ID, as_bytes, by_volume, materialize
 from attestra.llm.fm_index import FmIndex
 from attestra.llm.shingles import WORD_BASE, mixed
 
-WINDOW, GRAM = 13, 4
+WINDOW, GRAM = 13, 3
 #: UTF-8 bytes of text taken at once, about, and windows in a run at most.
-CHUNK_BYTES, RUN_MOST = 4 << 20, 24
+CHUNK_BYTES, RUN_MOST = 8 << 20, 24
 #: Documents (about) that frequent hashes are looked for in; the part of these that makes a hash frequent.
 SAMPLE_DOCS, FREQUENT = 2000, 0.02
 #: Shards for each shuffle partition: more of them need less memory at once.
@@ -69,9 +69,10 @@ class Chunk:
         numbers: defaultdict[bytes, int] = defaultdict(count().__next__)
         self.ids = np.fromiter(map(numbers.__getitem__, chain.from_iterable(words)), np.int32, int(self.lengths.sum()))
         self.vocabulary = np.array(list(numbers), object)
-        self.text = np.repeat(np.arange(len(texts)), self.lengths)
-        begin = np.cumsum(self.lengths) - self.lengths
-        self.place = np.arange(len(self.ids)) - begin[self.text]
+        del words
+        self.text = np.repeat(np.arange(len(texts), dtype=np.int32), self.lengths)
+        begin = (np.cumsum(self.lengths) - self.lengths).astype(np.int32)
+        self.place = np.arange(len(self.ids), dtype=np.int32) - begin[self.text]
         n = max(0, len(self.ids) - WINDOW + 1)
         self.windows = np.flatnonzero(self.place[:n] + WINDOW <= self.lengths[self.text[:n]])
         if len(self.windows):
@@ -152,22 +153,22 @@ def dealt(ids: list[int], texts: list[bytes], shards: int, frequent: np.ndarray,
 
 def repeated(messages: list[bytes]) -> tuple[np.ndarray, ...]:
     """Of one shard: owner, key, first window and number of windows for runs of windows that a smaller owner has."""
-    numbers: defaultdict[bytes, int] = defaultdict(count(1).__next__)
-    parts = []
+    parts, hashes, vocabularies, begin = [], [], [], [0]
     for m in messages:
         vocabulary, words, length, own, place, ids, keys = pickle.loads(zstandard.decompress(m))
-        number = np.fromiter(map(numbers.__getitem__, vocabulary.split(b"\n")), np.int32)
+        entries = vocabulary.split(b"\n")
         own = np.cumsum(own)
-        parts.append((number[words], length.astype(np.int32), ids[own], keys[own], place))
+        parts.append((words.astype(np.int32) + np.int32(begin[-1]), length.astype(np.int32), ids[own], keys[own], place))
+        hashes.append(np.fromiter(map(xxhash.xxh64_intdigest, entries), np.uint64, len(entries)))
+        vocabularies.append(vocabulary)
+        begin.append(begin[-1] + len(entries))
     words, length, owner, key, place = (np.concatenate(x) for x in zip(*parts, strict=True))
     del parts
     # windows whose hash two owners have, as runs again
-    hashes = np.array([0, *map(xxhash.xxh64_intdigest, numbers)], np.uint64)[words]
     run_words = length + WINDOW - 1
     window = spread(np.cumsum(run_words) - run_words, length)
     run = np.repeat(np.arange(len(length)), length)
-    h = chained(hashes, WINDOW)[window]
-    del hashes
+    h = chained(np.concatenate(hashes)[words], WINDOW)[window]
     order = np.argsort(h, kind="stable")
     starts = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
     owners = owner[run[order]]
@@ -180,7 +181,18 @@ def repeated(messages: list[bytes]) -> tuple[np.ndarray, ...]:
     window, run, at = window[keep], run[keep], at[keep]
     first, n = runs(run, step=window)
     owner, key, at = owner[run[first]], key[run[first]], at[first]
-    words = np.unique(words[spread(window[first], n + WINDOW - 1)], return_inverse=True)[1] + 1
+    words = words[spread(window[first], n + WINDOW - 1)]
+
+    # the words themselves take the place of hashes: one number for each, whatever message it came in
+    used = np.zeros(begin[-1], bool)
+    used[words] = True
+    exact = np.zeros(begin[-1], np.int64)
+    numbers: defaultdict[bytes, int] = defaultdict(count(1).__next__)
+    for vocabulary, low, high in zip(vocabularies, begin, begin[1:], strict=False):
+        if len(some := np.flatnonzero(used[low:high])):
+            entries = vocabulary.split(b"\n")
+            exact[low + some] = [numbers[entries[i]] for i in some.tolist()]
+    words = exact[words]
 
     index = FmIndex(words, n + WINDOW - 1, owner, WINDOW)
     text, start, least = index.streamed()
