@@ -17,6 +17,7 @@ broadcast and held against all documents.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -122,7 +123,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     schema = "doc_id long, item_id long, item_shingles long, shared long, containment double"
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL")
-    out = docs.sparkSession.createDataFrame([], schema)
+    out = []
     for index in indexes(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
@@ -135,8 +136,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 columns.append([n / size for size, n in zip(*columns[2:], strict=True)])
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if i == 4 else pa.int64()) for i, c in enumerate(columns)], ["doc_id", "item_id", "item_shingles", "shared", "containment"])
 
-        out = out.unionByName(source.mapInArrow(search, schema))
-    return out
+        out.append(source.mapInArrow(search, schema))
+    return reduce(DataFrame.unionByName, out)
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
