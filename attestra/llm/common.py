@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from math import ulp
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LAST_ID = 2**63 - 1
+#: Bins of a search for a rank.
+BINS = 4096
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -73,3 +76,22 @@ def by_volume(texts: list[bytes], most: int = 1 << 20) -> Iterator[range]:
         total += len(text)
     if begin < len(texts):
         yield range(begin, len(texts))
+
+
+def kth_largest(rows: DataFrame, key: str, k: int) -> float:
+    """The k-th largest value of a column of finite doubles, from counts in ever finer bins (BINS rows reach the driver each time); infinity for none."""
+    low, high = rows.agg(F.min(key), F.max(key)).first()
+    if low is None or k <= 0:
+        return float("inf")
+    above = 0
+    while low < high:
+        width = (high - low) / BINS
+        # where bins would be finer than numbers are, values are counted themselves
+        bin_of = F.floor((F.col(key) - low) / width).cast("double") if width > ulp(max(-low, high)) else F.col(key).cast("double")
+        counts = rows.where(F.col(key).between(low, high)).groupBy(bin_of.alias("bin")).agg(F.count("*").alias("n"), F.min(key).alias("low"), F.max(key).alias("high")).collect()
+        for b in sorted(counts, key=lambda b: -b["bin"]):
+            if above + b["n"] >= k:
+                low, high = b["low"], b["high"]
+                break
+            above += b["n"]
+    return low

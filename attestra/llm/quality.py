@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.common import as_bytes, by_volume, materialize
+from attestra.llm.common import as_bytes, by_volume, kth_largest, materialize
 from attestra.llm.shingles import Words
 
 LG_BUCKETS = 16
@@ -27,7 +27,6 @@ GRAMS = (1, 2)
 TARGET_ROWS = 50_000
 #: Counts of the raw model, scaled to the target's size, that the target model has from the start: what it hasn't seen, it takes to be as in raw text.
 SMOOTHING = 10.0
-BINS = 4096
 
 
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -94,24 +93,3 @@ def resampled(docs: DataFrame, labels: DataFrame, keep: float | None = None, see
     rows = materialize(docs.mapInArrow(weigh, "doc_id long, log_weight double").withColumn("perturbed", F.col("log_weight") - F.log(-F.log(uniform))), "weights")
     edge = kth_largest(rows, "perturbed", -int(-keep * rows.count() // 1))
     return rows.withColumn("kept", F.col("perturbed") >= F.lit(edge))
-
-
-def kth_largest(rows: DataFrame, key: str, k: int) -> float:
-    """The k-th largest value of a column of finite doubles, from counts in ever finer bins (BINS rows reach the driver each time); infinity for none."""
-    low, high = rows.agg(F.min(key), F.max(key)).first()
-    if low is None or k <= 0:
-        return float("inf")
-    above = 0
-    while low < high:
-        width = (high - low) / BINS
-        if low + width == low or high - width == high:
-            break
-        bin_of = F.least(F.lit(BINS - 1), F.floor((F.col(key) - low) / width)).cast("int")
-        counts = rows.where(F.col(key).between(low, high)).groupBy(bin_of.alias("bin")).agg(F.count("*").alias("n"), F.min(key).alias("low"), F.max(key).alias("high")).collect()
-        for b in sorted(counts, key=lambda b: -b["bin"]):
-            if above + b["n"] >= k:
-                low, high = b["low"], b["high"]
-                break
-            above += b["n"]
-    return low
-

@@ -17,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.common import LOWER, UPPER
+from attestra.llm.common import LOWER, UPPER, kth_largest, materialize
 
 #: Fixed values: (verdict, rule). A rule is a host and the start of a path.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 #: Words that mark a name as unwanted.
 UNWANTED = ("adult", "ads", "bet", "bets", "betting", "casino", "escort", "gambling", "loans", "pills", "poker", "porn", "pharma", "sex", "slots", "spam", "viagra", "warez", "xxx")
-#: Words of the unigram model, by count over all pages; the rest is spelled out. Bounds what is broadcast.
+#: Words of the unigram model, at most: those with more occurrences on all pages than the one of this rank; the rest is spelled out. Bounds what is broadcast.
 VOCABULARY = 50_000
 #: Characters of a word at most, and what a character of an unknown word costs (as a log probability).
 LONGEST, UNKNOWN = 24, -12.0
@@ -112,8 +112,10 @@ def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def trained(pages: DataFrame) -> Judge:
     """A judge from all pages (url, html). VOCABULARY words reach the driver, and the counts of those and of UNWANTED."""
     sc = pages.sparkSession.sparkContext
-    words = pages.select("url", "html").mapInArrow(word_counts, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    segmenter = Segmenter({r.word: r.n for r in words.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()})
+    words = materialize(pages.select("url", "html").mapInArrow(word_counts, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    if words.count() > VOCABULARY:
+        words = words.where(F.col("n") > kth_largest(words, "n", VOCABULARY))
+    segmenter = Segmenter({r.word: r.n for r in words.collect()})
     shared = sc.broadcast(segmenter)
 
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

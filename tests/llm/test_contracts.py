@@ -307,3 +307,8 @@ def test_kth_largest(spark):
     df = spark.createDataFrame([(v,) for v in values], "x double")
     for k in (1, 2, 3, 4, 6, 30, len(values)):
         assert kth_largest(df, "x", k) == sorted(values, reverse=True)[k - 1]
+    close = [1.0, math.nextafter(1.0, 0), math.nextafter(1.0, 2), 1.0, math.nextafter(math.nextafter(1.0, 0), 0)]
+    df = spark.createDataFrame([(v,) for v in close], "x double")
+    for k in range(1, 6):
+        assert kth_largest(df, "x", k) == sorted(close, reverse=True)[k - 1]
+    assert kth_largest(df, "x", 0) == kth_largest(df.limit(0), "x", 3) == math.inf
