@@ -16,10 +16,10 @@ BUCKETS = 64
 
 
 def cumulated(df: DataFrame, group: Sequence[str], value: str, order: Sequence[str], weight: str) -> DataFrame:
-    """Adds before: the sum of weight (long) over the rows of the group that come earlier by order, which starts with value (a number, not null); and total."""
+    """Adds before: the sum of weight (long) over the rows of the group that come earlier by order, which starts with value (a number; null comes first); total; and unknown, the weight of nulls."""
     at = [i / BUCKETS for i in range(1, BUCKETS)]
-    edges = df.groupBy(*group).agg(F.percentile_approx(F.col(value).cast("double"), at, 10_000).alias("edges"), F.sum(weight).alias("total"))
-    dealt = df.join(edges, list(group)).withColumn("bucket", F.size(F.filter("edges", lambda e: e < F.col(value).cast("double")))).drop("edges")
+    edges = df.groupBy(*group).agg(F.percentile_approx(F.col(value).cast("double"), at, 10_000).alias("edges"), F.sum(weight).alias("total"), F.sum(F.when(F.col(value).isNull(), F.col(weight)).otherwise(0)).alias("unknown"))
+    dealt = df.join(edges, list(group)).withColumn("bucket", F.when(F.col(value).isNull(), 0).otherwise(F.size(F.filter("edges", lambda e: e < F.col(value).cast("double"))))).drop("edges")
     sums = dealt.groupBy(*group, "bucket").agg(F.sum(weight).alias("in_bucket"))
     earlier = Window.partitionBy(*group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*group, "bucket", F.coalesce(F.sum("in_bucket").over(earlier), F.lit(0)).alias("bucket_start"))
@@ -30,20 +30,22 @@ def cumulated(df: DataFrame, group: Sequence[str], value: str, order: Sequence[s
 
 def value_ranks(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     """Adds pct (as percent_rank has it) and median. Equal values are counted before they are ordered; a null value comes first and counts in no median."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("n"))
+    counts = df.groupBy(*group, value).agg(F.count("*").alias("n"))
     ranked = cumulated(counts, group, value, [value], "n")
-    middle = [F.when((F.col("before") <= F.floor(m)) & (F.floor(m) < F.col("before") + F.col("n")), F.col(value)) for m in ((F.col("total") - 1) / 2, F.col("total") / 2)]
-    medians = ranked.groupBy(*group).agg((F.max(middle[0]) * 0.5 + F.max(middle[1]) * 0.5).alias("median"), F.max("total").alias("known"))
-    nulls = df.groupBy(*group).agg(F.count(F.when(F.col(value).isNull(), 1)).alias("unknown"))
-    low = F.when(F.col("before").isNull(), 0).otherwise(F.col("unknown") + F.col("before"))
-    pct = F.coalesce(F.try_divide(low, F.coalesce("known", F.lit(0)) + F.col("unknown") - 1), F.lit(0.0))
-    out = df.join(ranked.select(*group, value, "before"), [*group, value], "left").join(medians, list(group), "left").join(nulls, list(group))
-    return out.withColumn("pct", pct).drop("before", "known", "unknown")
+    known = F.col("total") - F.col("unknown")
+    middle = [F.when((F.col("before") <= F.floor(m)) & (F.floor(m) < F.col("before") + F.col("n")), F.col(value)) for m in (F.col("unknown") + (known - 1) / 2, F.col("unknown") + known / 2)]
+    medians = ranked.groupBy(*group).agg((F.max(middle[0]) * 0.5 + F.max(middle[1]) * 0.5).alias("median"))
+    pct = F.coalesce(F.try_divide("before", F.col("total") - 1), F.lit(0.0))
+    places = ranked.select(*(F.col(g).alias(f"{g}_") for g in group), F.col(value).alias("value_"), pct.alias("pct"))
+    same = F.col(value).eqNullSafe(F.col("value_"))
+    for g in group:
+        same &= F.col(g) == F.col(f"{g}_")
+    return df.join(places, same).drop("value_", *(f"{g}_" for g in group)).join(medians, list(group))
 
 
 def with_neighbours(df: DataFrame, group: str, value: str, key: str, k: int, block: int = 10_000) -> DataFrame:
     """Adds near: up to k rows before and k after in the group's order by value and key, as structs of key and value. Blocks of the order overlap by k rows."""
-    placed = cumulated(df.withColumn("one", F.lit(1)), [group], value, [value, key], "one").drop("one", "total")
+    placed = cumulated(df.withColumn("one", F.lit(1)), [group], value, [value, key], "one").drop("one", "total", "unknown")
     own, place = F.floor(F.col("before") / block), F.col("before") % block
     blocks = F.array_compact(F.array(own, F.when(place < k, own - 1), F.when(place >= block - k, own + 1)))
     spread = placed.withColumn("own", own).withColumn("block", F.explode(blocks))

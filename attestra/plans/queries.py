@@ -360,7 +360,8 @@ LEFT JOIN history USING (corp, fy) LEFT JOIN fees USING (corp, fy)""",
 def acceptance_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = restated(spark, sf_dir).join(px.filings(spark, sf_dir).select(F.col("receipt").alias("key"), "corp", "fy"), "key")
     candidates = found.groupBy("corp", "fy").agg(F.count(F.when(F.col("candidate"), 1)).alias("candidates"))
-    return audit.acceptance_pack(concern(spark, sf_dir), candidates, audit_history(spark, sf_dir), peer_fees(spark, sf_dir))
+    ratios = fees(spark, sf_dir).select("corp", "fy", F.try_divide("non_audit_fee", "audit_fee").alias("ratio"))
+    return audit.acceptance_pack(concern(spark, sf_dir), candidates, audit_history(spark, sf_dir), ratios)
 
 
 def subsidiaries(spark: SparkSession, sf_dir: str) -> DataFrame:
