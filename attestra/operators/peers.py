@@ -30,15 +30,19 @@ def peers_by_list(companies: DataFrame, target: int | str, keys: Sequence[int] |
 def peers_by_size(companies: DataFrame, k: int = 5) -> DataFrame:
     """companies: corp, industry, size. For every company the k of its industry nearest in size: target, peer, rank, distance, rule.
 
-    The nearest in one dimension are among the k before and the k after in order of size, so that an order
-    within industries takes the place of comparing all pairs. Ties go to the lower key (among those 2k). A company of
-    unknown size has no peers and is none.
+    Sizes are put in order, each once, with its lowest k + 1 keys: the nearest of a company have its own size or one of
+    the k sizes before or after it, and a size's higher keys come after k others. So an order within industries takes
+    the place of comparing all pairs. Ties go to the lower key. A company of unknown size has no peers and is none.
     """
     companies = companies.where("size IS NOT NULL")
-    near = with_neighbours(companies, "industry", "size", "corp", k)
-    pairs = near.select("corp", "size", F.explode("near").alias("p")).select(F.col("corp").alias("target"), F.col("p.peer").alias("peer"), F.abs(F.col("size") - F.col("p.peer_value")).alias("distance"))
-    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("target").orderBy("distance", "peer")).cast("long"))
-    return ranked.where(F.col("rank") <= k).select("target", "peer", "rank", F.col("distance").cast("double").alias("distance"), F.lit(f"adaptive:industry,nearest {k}").alias("rule"))
+    lowest = companies.withColumn("place", F.row_number().over(Window.partitionBy("industry", "size").orderBy("corp"))).where(F.col("place") <= k + 1)
+    sizes = lowest.groupBy("industry", "size").agg(F.array_sort(F.collect_list("corp")).alias("keys"))
+    near = with_neighbours(sizes, "industry", "size", "keys", k)
+    own = F.array(F.struct(F.col("keys").alias("peer"), F.col("size").alias("peer_value")))
+    each = F.flatten(F.transform(F.concat("near", own), lambda s: F.transform(s["peer"], lambda p: F.struct(F.abs(F.col("size") - s["peer_value"]).alias("distance"), p.alias("peer")))))
+    nearest = near.select("industry", "size", F.slice(F.array_sort(each), 1, k + 1).alias("nearest"))
+    found = companies.join(nearest, ["industry", "size"]).select("corp", F.posexplode(F.slice(F.filter("nearest", lambda p: p["peer"] != F.col("corp")), 1, k)).alias("at", "p"))
+    return found.select(F.col("corp").alias("target"), F.col("p.peer").alias("peer"), (F.col("at") + 1).cast("long").alias("rank"), F.col("p.distance").cast("double").alias("distance"), F.lit(f"adaptive:industry,nearest {k}").alias("rule"))
 
 
 def peers_by_band(companies: DataFrame, target: int | str, low: float = 0.8, high: float = 1.25) -> DataFrame:
