@@ -26,6 +26,8 @@ TRAIN_ROWS = 20_000
 SMOOTHING = 0.5
 #: n-grams scored at once, over all languages.
 AT_ONCE = 1 << 20
+#: Labelled rows below the bound that fit is held against, as a share, and how far below them it is, in parts of their distance to the median.
+CLEAN_SHARE, MARGIN = 0.001, 0.5
 LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 
@@ -63,16 +65,34 @@ class LanguageModel:
     def __init__(self, langs: list[str], counts: np.ndarray) -> None:
         smooth = counts + SMOOTHING
         self.langs, self.logs = langs, np.ascontiguousarray(np.log(smooth / smooth.sum(axis=1, keepdims=True)).T.astype(np.float32))
+        self.totals = smooth.sum(axis=1)
 
     def judged(self, text: str | None) -> tuple[str, float]:
         """The likeliest language and its posterior. A text without a letter, or null, is unknown, at 0."""
+        return self.explained(text)[:2]
+
+    def explained(self, text: str | None) -> tuple[str, float, float]:
+        """The likeliest language, its posterior, and the mean log probability of an n-gram in it (-inf for unknown)."""
         if not self.langs or not text or not LETTER.search(text):
-            return UNKNOWN, 0.0
-        total = np.zeros(len(self.langs))
+            return UNKNOWN, 0.0, float("-inf")
+        total, n = np.zeros(len(self.langs)), 0
         for h in gram_buckets(text):
             total += self.logs[h].sum(axis=0, dtype=np.float64)
+            n += len(h)
         best = int(total.argmax())
-        return self.langs[best], float(1 / np.exp(total - total[best]).sum())
+        return self.langs[best], float(1 / np.exp(total - total[best]).sum()), float(total[best] / n)
+
+    def fit_to_others(self, text: str, own: str) -> float:
+        """The mean log probability of an n-gram of a text that was counted for a language, once its counts are taken out; -inf without a letter."""
+        if not LETTER.search(text):
+            return float("-inf")
+        seen = sum(np.bincount(h, minlength=BUCKETS) for h in gram_buckets(text))
+        (at,) = seen.nonzero()
+        seen, n, i = seen[at], int(seen.sum()), self.langs.index(own)
+        total = seen @ self.logs[at].astype(np.float64)
+        others = np.maximum(np.exp(self.logs[at, i].astype(np.float64)) * self.totals[i] - seen, SMOOTHING)
+        total[i] = seen @ np.log(others / max(self.totals[i] - n, SMOOTHING))
+        return float(total.max() / n)
 
 
 def held_out(id_col: Column) -> Column:
@@ -80,11 +100,19 @@ def held_out(id_col: Column) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> LanguageModel:
-    """labelled: doc_id, text, lang. Rows without text or language are passed over; without any, the model knows no language. One row per (language, bucket) reaches the driver."""
+def training_sample(labelled: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
+    """labelled: doc_id, text, lang. About ``rows`` of those that have text and language."""
     labelled = labelled.where("text IS NOT NULL AND lang IS NOT NULL")
     share = rows / max(1, labelled.count())
-    sample = labelled.where(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(7)), F.lit(1 << 30)) < int(min(1, share) * (1 << 30)))
+    return labelled.where(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(7)), F.lit(1 << 30)) < int(min(1, share) * (1 << 30)))
+
+
+def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> LanguageModel:
+    """labelled: doc_id, text, lang. Rows without text or language are passed over; without any, the model knows no language. One row per (language, bucket) reaches the driver."""
+    return fitted(training_sample(labelled, rows))
+
+
+def fitted(sample: DataFrame) -> LanguageModel:
     counts = materialize(sample.select("lang", "text").mapInArrow(counted, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "grams")
     table = counts.toArrow().to_pandas()
     langs = sorted(table.lang.unique())
@@ -93,6 +121,19 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> LanguageModel:
     return LanguageModel(langs, matrix)
 
 
+def least_fit(model: LanguageModel, sample: DataFrame) -> float:
+    """The fit under which a text is in no language of the model: below all but CLEAN_SHARE of the rows it learned from, each scored without its own counts, by MARGIN of their distance to the median; -inf without rows."""
+    shared = sample.sparkSession.sparkContext.broadcast(model)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([shared.value.fit_to_others(t, x) for x, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)], pa.float64())], ["fit"])
+
+    fits = sample.select("lang", "text").mapInArrow(score, "fit double").where(F.col("fit") > float("-inf"))
+    low, middle = fits.agg(F.percentile("fit", [CLEAN_SHARE, 0.5])).first()[0] or (float("-inf"), 0.0)
+    return low - MARGIN * (middle - low)
+
+
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """lang_pred and score of every row's whole text, after the columns in keep."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -120,7 +161,15 @@ def predicted_languages(docs: DataFrame) -> DataFrame:
 
 
 def in_known_language(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """docs, in their columns, without those that the model rejects: no letter, or no language with a posterior of ``least``. A declared language plays no part in that."""
-    model = train(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
-    columns = tuple(docs.columns)
-    return identify(docs, model, keep=columns).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*columns)
+    """docs, in their columns, without those that the model rejects: no letter, no language with a posterior of ``least``, or none that explains the text's n-grams (``least_fit``). A declared language plays no part in that."""
+    sample = training_sample(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
+    model = fitted(sample)
+    shared, bound, columns = docs.sparkSession.sparkContext.broadcast(model), least_fit(model, sample), docs.columns
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(columns.index("text")).to_pylist()
+            known = [lang != UNKNOWN and score >= least and fit >= bound for lang, score, fit in map(shared.value.explained, texts)]
+            yield batch.filter(pa.array(known, pa.bool_()))
+
+    return docs.mapInArrow(clean, docs.schema)
