@@ -26,25 +26,40 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where the setting is unset, as in tests."""
+    """The cluster's shared folder. Where the setting is unset, a temporary one in local mode only: on a cluster each machine would write to its own disk."""
     if not (path := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="attestra-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+def _folder(spark: SparkSession, path: str):  # noqa: ANN202
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df once to the shared folder and reads it back: lineage ends there, and lost executors lose nothing.
 
-    The files go when the application ends.
+    The files go when the application ends, or by discard().
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/attestra-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    files, where = _folder(spark, path)
+    files.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of materialized tables that nothing will read again."""
+    for df in tables:
+        files, where = _folder(df.sparkSession, df.written_at)
+        files.delete(where, True)
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -52,6 +67,24 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """docs, in their columns, with one row of each group: that with the smallest doc_id, nulls last; of rows that repeat it, one.
+
+    groups: doc_id, th (xxhash64 of text) and root for each row of docs, written before. Rows are told by id and text.
+    Those that go, and those of which only one stays, are marked; all others pass.
+    """
+    id_and_text = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "th")
+    least = groups.groupBy("root").agg(F.min(id_and_text).alias("least"))
+    keys = groups.groupBy("root", "doc_id", "th").agg(F.count("*").alias("n")).join(least, "root").withColumn("thin", id_and_text.eqNullSafe(F.col("least")))
+    marked = materialize(keys.where("NOT thin OR n > 1").select(F.xxhash64("doc_id", "th").alias("key"), "th", "thin"), "marked")
+    th = F.xxhash64(F.col("text"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.xxhash64(F.col("doc_id").cast("long"), th).alias("key"), th.alias("th")).join(small(marked), ["key", "th"], "left")
+    out = rows.where("thin IS NULL").select("row")
+    if not marked.where("thin").isEmpty():
+        out = out.unionByName(rows.where("thin").dropDuplicates(["key", "th"]).select("row"))
+    return out.select("row.*")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(text, UPPER, LOWER)

@@ -125,12 +125,12 @@ def cluster(n, flips, seed=0):
 
 
 @pytest.mark.parametrize("flips", [2, 4, 7])
-def test_both_ways_of_a_leaf_agree(flips):
+@pytest.mark.parametrize("at_once", [1 << 18, 7])
+def test_groups_of_a_leaf(flips, at_once, monkeypatch):
+    monkeypatch.setattr(s, "LINKS_AT_ONCE", at_once)
+    monkeypatch.setattr(s, "AT_ONCE", 50 * at_once)
     prints = cluster(200, flips)
-    want = groups(prints)
-    assert s.joined(len(prints), *s.flipped(prints)).tolist() == want
-    if (pairs := s.linked(prints, np.ones(len(prints), bool))) is not None:
-        assert s.joined(len(prints), *pairs).tolist() == want
+    assert s.grouped(prints, np.ones(len(prints), bool)).tolist() == groups(prints)
 
 
 def test_tree_lets_every_pair_meet():
@@ -151,18 +151,29 @@ def test_tree_lets_every_pair_meet():
                 assert a in at_leaf[home[b]] or b in at_leaf[home[a]]
 
 
-@pytest.mark.parametrize("most", [200_000, 5])
+@pytest.mark.parametrize("most", [200_000, 60])
 def test_links_of_crowded_leaves(spark, monkeypatch, most):
+    """Leaves of over ``most`` rows get trees of their own, level after level."""
     monkeypatch.setattr(s, "LEAF_MOST", most)
-    monkeypatch.setattr(s, "LEAF_ROWS", 40)
-    prints = cluster(250, 5, seed=5).view(np.int64)
+    monkeypatch.setattr(s, "LEAF_ROWS", 200)
+    monkeypatch.setattr(s, "SAMPLE_EACH", 10)
+    prints = cluster(700, 5, seed=5).view(np.int64)
     df = spark.createDataFrame([(int(p),) for p in prints], "fp long")
+    levels = {r.leaf >> 32 for r in s.leaves(df).select("leaf").distinct().collect()}
+    assert len(levels) > 1 or most > 60
     roots = {r.u: r.root for r in components(s.links(spark, df)).collect()}
     got = [roots.get(int(p), int(p)) for p in prints]
     want = groups(prints.view(np.uint64))
     assert len(set(zip(got, want, strict=True))) == len(set(got)) == len(set(want))
 
 
+def test_visits_of_two_million_fingerprints():
+    rng = np.random.default_rng(1)
+    prints = rng.integers(0, 1 << 63, 2_000_000).astype(np.uint64) * np.uint64(2) + rng.integers(0, 2, 2_000_000).astype(np.uint64)
+    tree = s.Tree(prints[: s.SAMPLE_EACH * len(prints) // s.LEAF_ROWS], s.SAMPLE_EACH)
+    assert sum(len(at) for _, at, _ in tree.routed(prints)) < 5 * len(prints)
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, x) for x in range(101, 140)] + [(-5, 200), (7, 7)]
     got = {r.u: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
