@@ -50,7 +50,7 @@ def shown(excerpt: Column, state: Column) -> Column:
 
 def grid(companies: DataFrame, years: Sequence[int], topics: Sequence[str] = ()) -> DataFrame:
     """A row for each company, year and topic asked for. Years and topics are short lists of the request."""
-    out = companies.withColumn("fy", F.explode(F.array(*map(F.lit, years))))
+    out = companies.withColumn("fy", F.explode(F.array(*map(F.lit, years)).cast("array<int>")))
     return out.withColumn("topic", F.explode(F.array(*map(F.lit, topics)))) if topics else out
 
 

@@ -25,11 +25,11 @@ def score_going_concern(factors: DataFrame, names: Sequence[str] = FACTORS) -> D
     return factors.select("corp", "fy", count(lambda c: c).alias("points"), (len(names) - missing).alias("evaluated"), missing.alias("missing"), state.alias("state"))
 
 
-def detect_restatement(originals: DataFrame, later: DataFrame, threshold: float = 0.01) -> DataFrame:
-    """originals and later: key, value (double). Candidates, not findings: key, original, re_reported, gap (relative), candidate, state."""
-    both = originals.select("key", F.col("value").alias("original")).join(later.select("key", F.col("value").alias("re_reported")), "key", "left")
+def detect_restatement(originals: DataFrame, later: DataFrame, threshold: float = 0.01, keep: Sequence[str] = ()) -> DataFrame:
+    """originals and later: key, value (double). Candidates, not findings: key, columns to keep of originals, original, re_reported, gap (relative), candidate, state. A gap is computed, so it is summary_only at best."""
+    both = originals.select("key", *keep, F.col("value").alias("original")).join(later.select("key", F.col("value").alias("re_reported")), "key", "left")
     gap = F.try_divide(F.col("re_reported") - F.col("original"), F.abs("original"))
-    return both.withColumn("gap", gap).select("key", "original", "re_reported", "gap", (F.abs("gap") > threshold).alias("candidate"), F.when(F.col("re_reported").isNotNull(), AVAILABLE).otherwise(UNAVAILABLE).alias("state"))
+    return both.withColumn("gap", gap).select("key", *keep, "original", "re_reported", "gap", (F.abs("gap") > threshold).alias("candidate"), F.when(F.col("re_reported").isNotNull(), SUMMARY_ONLY).otherwise(UNAVAILABLE).alias("state"))
 
 
 def audit_hours_proxy(values: DataFrame, group: str = "industry") -> DataFrame:

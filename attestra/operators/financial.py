@@ -47,11 +47,13 @@ def before(value: str) -> Column:
     return F.when(F.lag("fy").over(w) == F.col("fy") - 1, F.lag(value).over(w))
 
 
-def quality_of_earnings(values: DataFrame) -> DataFrame:
-    """values: corp, fy, gross, net (doubles). conversion: net to gross; yoy: growth of net over the year before; avg3: mean conversion of three years on file."""
+def quality_of_earnings(values: DataFrame, whole: int | None = None) -> DataFrame:
+    """values: corp, fy, gross, net (doubles). conversion: net to gross; yoy: growth of net over the year before, up to the last whole year, if one is given; avg3: mean conversion of three years on file."""
     w = Window.partitionBy("corp").orderBy("fy")
     out = values.withColumn("conversion", F.try_divide("net", "gross")).withColumn("prior", before("net"))
-    return out.select("corp", "fy", "conversion", (F.try_divide("net", "prior") - 1).alias("yoy"), F.avg("conversion").over(w.rowsBetween(-2, 0)).alias("avg3"))
+    yoy = F.try_divide("net", "prior") - 1
+    yoy = yoy if whole is None else F.when(F.col("fy") <= whole, yoy)
+    return out.select("corp", "fy", "conversion", yoy.alias("yoy"), F.avg("conversion").over(w.rowsBetween(-2, 0)).alias("avg3"))
 
 
 def dcf_inputs(values: DataFrame, last: int) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestra.functions.bounds import bounded_keys, bounded_limit
-from attestra.functions.evidence import AVAILABLE, UNAVAILABLE, UNVERIFIED, shown
+from attestra.functions.evidence import AVAILABLE, SUMMARY_ONLY, UNAVAILABLE, UNVERIFIED, shown
+from attestra.operators.ranking import with_neighbours
 from attestra.operators.search import occurrences
 
 
@@ -44,14 +45,19 @@ def compare_peer_policies(sections: DataFrame, group: Sequence[str] = ("lang", "
 
 
 def compare_peer_notes(policies: DataFrame, facts: DataFrame) -> DataFrame:
-    """policies: of compare_peer_policies; facts: doc_id, fact. Adds both facts and a state: unverified where one of them is missing."""
+    """policies: of compare_peer_policies; facts: doc_id, fact. Adds both facts and a state: counts of shared lines are summary_only at best, unverified where one of the facts is missing."""
     of = lambda key, name: facts.select(F.col("doc_id").alias(key), F.col("fact").alias(name))
     out = policies.join(of("doc_id", "fact"), "doc_id", "left").join(of("target", "target_fact"), "target", "left")
-    return out.select("doc_id", "target", "shared", "fact", "target_fact", F.when(F.col("fact").isNull() | F.col("target_fact").isNull(), UNVERIFIED).otherwise(AVAILABLE).alias("state"))
+    return out.select("doc_id", "target", "shared", "fact", "target_fact", F.when(F.col("fact").isNull() | F.col("target_fact").isNull(), UNVERIFIED).otherwise(SUMMARY_ONLY).alias("state"))
 
 
 def policy_changes(documents: DataFrame, group: Sequence[str] = ("lang", "source")) -> DataFrame:
-    """documents: doc_id, text and the group's columns. Each document against the one before in its group: doc_id, prev, added, removed (distinct lines)."""
-    w = Window.partitionBy(*group).orderBy("doc_id")
-    out = documents.withColumn("lines", F.split("text", "\n")).withColumn("prev", F.lag("doc_id").over(w)).withColumn("before", F.lag("lines").over(w)).where("prev IS NOT NULL")
+    """documents: doc_id, text and the group's columns. Each document against the one before in its group: doc_id, prev, added, removed (distinct lines).
+
+    Who comes before is found from ids alone, in buckets of each group; then texts meet in pairs.
+    """
+    near = with_neighbours(documents.select(*group, "doc_id"), group, "doc_id", "doc_id", 1)
+    pairs = near.select("doc_id", F.get(F.filter("near", lambda x: x["peer"] < F.col("doc_id")), F.lit(0))["peer"].alias("prev")).where("prev IS NOT NULL")
+    lines = documents.select("doc_id", F.split("text", "\n").alias("lines"))
+    out = lines.join(pairs, "doc_id").join(lines.select(F.col("doc_id").alias("prev"), F.col("lines").alias("before")), "prev")
     return out.select("doc_id", "prev", F.size(F.array_except("lines", "before")).cast("long").alias("added"), F.size(F.array_except("before", "lines")).cast("long").alias("removed"))

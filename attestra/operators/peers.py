@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from attestra.functions.bounds import bounded_keys
 from attestra.operators.ranking import with_neighbours
+from attestra.tables import joined
 
 
 def peers_by_prefix(companies: DataFrame, target: int | str, prefix: str) -> DataFrame:
@@ -37,21 +38,35 @@ def peers_by_size(companies: DataFrame, k: int = 5) -> DataFrame:
     companies = companies.where("size IS NOT NULL")
     lowest = companies.withColumn("place", F.row_number().over(Window.partitionBy("industry", "size").orderBy("corp"))).where(F.col("place") <= k + 1)
     sizes = lowest.groupBy("industry", "size").agg(F.array_sort(F.collect_list("corp")).alias("keys"))
-    near = with_neighbours(sizes, "industry", "size", "keys", k)
+    near = with_neighbours(sizes, ["industry"], "size", "keys", k)
     own = F.array(F.struct(F.col("keys").alias("peer"), F.col("size").alias("peer_value")))
     each = F.flatten(F.transform(F.concat("near", own), lambda s: F.transform(s["peer"], lambda p: F.struct(F.abs(F.col("size") - s["peer_value"]).alias("distance"), p.alias("peer")))))
     nearest = near.select("industry", "size", F.slice(F.array_sort(each), 1, k + 1).alias("nearest"))
-    found = companies.join(nearest, ["industry", "size"]).select("corp", F.posexplode(F.slice(F.filter("nearest", lambda p: p["peer"] != F.col("corp")), 1, k)).alias("at", "p"))
+    found = joined(companies, nearest, ["industry", "size"]).select("corp", F.posexplode(F.slice(F.filter("nearest", lambda p: p["peer"] != F.col("corp")), 1, k)).alias("at", "p"))
     return found.select(F.col("corp").alias("target"), F.col("p.peer").alias("peer"), (F.col("at") + 1).cast("long").alias("rank"), F.col("p.distance").cast("double").alias("distance"), F.lit(f"adaptive:industry,nearest {k}").alias("rule"))
 
 
-def peers_by_band(companies: DataFrame, target: int | str, low: float = 0.8, high: float = 1.25) -> DataFrame:
-    """companies: corp, industry, size. target, peer, rule: those of the target's industry whose size is between low and high times the target's."""
+def peers_by_code(companies: DataFrame, targets: DataFrame, digits: int) -> DataFrame:
+    """companies and targets: corp, code. target, peer, rule: for each target the companies whose code starts with the same digits."""
+    start = F.substring("code", 1, digits)
+    wanted = targets.select(F.col("corp").alias("target"), start.alias("prefix"))
+    return companies.select("corp", start.alias("prefix")).join(wanted, "prefix").where("corp <> target").select("target", F.col("corp").alias("peer"), F.concat(F.lit("prefix:"), "prefix").alias("rule"))
+
+
+def peers_by_band(companies: DataFrame, targets: DataFrame, low: float = 0.8, high: float = 1.25) -> DataFrame:
+    """companies and targets: corp, industry, size. target, peer, rule: those of the target's industry whose size is between low and high times the target's.
+
+    Sizes are put in steps of a ratio, and a target looks into the steps that its band touches: an equi-join, not all pairs of an industry.
+    """
     if not 0 < low <= high:
         raise ValueError("a band needs 0 < low <= high")
-    one = companies.where(F.col("corp") == target).select(F.col("corp").alias("target"), "industry", F.col("size").alias("target_size"))  # a single company
-    inside = F.col("size").cast("double").between(F.col("target_size").cast("double") * low, F.col("target_size").cast("double") * high)
-    return companies.join(F.broadcast(one), "industry").where(inside & (F.col("corp") != F.col("target"))).select("target", F.col("corp").alias("peer"), F.lit(f"adaptive:industry,size {low:g}-{high:g}").alias("rule"))
+    size = F.col("size").cast("double")
+    step = lambda x, slack=0.0: F.when(x > 0, F.floor(F.log(x) / F.log(F.lit(1.25)) + slack)).otherwise(F.lit(-(10**6)))
+    wanted = targets.select(F.col("corp").alias("target"), "industry", (size * low).alias("low"), (size * high).alias("high"))
+    wanted = wanted.withColumn("step", F.explode(F.sequence(step(F.col("low"), -1e-9), step(F.col("high"), 1e-9))))
+    sized = companies.select("corp", "industry", size.alias("size"), step(size).alias("step"))
+    found = joined(sized, wanted, ["industry", "step"]).where(F.col("size").between(F.col("low"), F.col("high")) & (F.col("corp") != F.col("target")))
+    return found.select("target", F.col("corp").alias("peer"), F.lit(f"adaptive:industry,size {low:g}-{high:g}").alias("rule"))
 
 
 def composed(*cohorts: DataFrame) -> DataFrame:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestra.functions.bounds import bounded_keys, bounded_limit
+from attestra.functions.bounds import MOST_KEYS, bounded_limit
 from attestra.functions.evidence import AVAILABLE, SUMMARY_ONLY
 
 
@@ -25,10 +24,14 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def peer_context(vectors: DataFrame, targets: Sequence[int], k: int = 5) -> DataFrame:
-    """vectors: id, vector (unit length). The k nearest of each named target by cosine: target, peer, rank, score. Targets are a bounded list, held against all vectors in one pass."""
-    wanted = vectors.where(F.col("id").isin(bounded_keys(targets))).select(F.col("id").alias("target"), F.col("vector").alias("wanted"))
-    # at most bounds.MOST_KEYS rows
+def peer_context(vectors: DataFrame, targets: DataFrame, k: int = 5) -> DataFrame:
+    """vectors and targets: id, vector (unit length). The k nearest of each target by cosine: target, peer, rank, score. Targets are a stated query set, held against all vectors in blocks of about MOST_KEYS."""
+    blocks = -(-targets.count() // MOST_KEYS) or 1
+    return reduce(DataFrame.unionByName, (_nearest(vectors, targets.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b), k) for b in range(blocks)))
+
+
+def _nearest(vectors: DataFrame, targets: DataFrame, k: int) -> DataFrame:
+    wanted = targets.select(F.col("id").alias("target"), F.col("vector").alias("wanted"))
     scored = vectors.join(F.broadcast(wanted), F.col("id") != F.col("target")).select("target", F.col("id").alias("peer"), dot(F.col("vector"), F.col("wanted")).alias("score"))
     w = Window.partitionBy("target").orderBy(F.desc("score"), "peer")
     return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= bounded_limit(k)).select("target", "peer", "rank", "score")

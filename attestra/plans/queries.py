@@ -15,6 +15,7 @@ from attestra.operators import audit, disclosure, financial, notes, peers, searc
 from attestra.plans import proxies as px
 from attestra.plans.proxies import double, read
 from attestra.streaming.events import windowed
+from attestra.tables import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -23,18 +24,19 @@ ORACLE_SQL: dict[str, str] = {}
 #: Common parts of the SQL below.
 CTE = {
     "company": "company AS (SELECT c_custkey AS corp, c_name AS name, c_mktsegment AS industry, CAST(n_regionkey AS VARCHAR) || lpad(CAST(c_nationkey AS VARCHAR), 2, '0') AS code, c_acctbal AS balance, CAST(c_nationkey AS BIGINT) AS nation FROM customer JOIN nation ON c_nationkey = n_nationkey)",
-    "filing": "filing AS (SELECT o_orderkey AS receipt, o_custkey AS corp, CAST(year(o_orderdate) AS BIGINT) AS fy, o_orderdate AS filed_at, CAST(o_totalprice AS DECIMAL(15,2)) AS value, CASE o_orderstatus WHEN 'F' THEN 'available' WHEN 'P' THEN 'summary_only' WHEN 'O' THEN 'unverified' ELSE 'unavailable' END AS state FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '2001-01-01')",
+    "filing": "filing AS (SELECT o_orderkey AS receipt, o_custkey AS corp, CAST(year(o_orderdate) AS BIGINT) AS fy, o_orderdate AS filed_at, CAST(o_totalprice AS DECIMAL(15,2)) AS value, CASE o_orderstatus WHEN 'F' THEN 'available' WHEN 'P' THEN 'summary_only' WHEN 'O' THEN 'unverified' ELSE 'unavailable' END AS state FROM orders)",
+    "span": "span AS (SELECT min(fy) AS first_year, max(fy) AS last_year, (SELECT CAST(year(max(o_orderdate) + INTERVAL 1 MONTH) - 1 AS BIGINT) FROM orders) AS whole_year FROM filing)",
     "yearly": "yearly AS (SELECT corp, fy, count(*) AS n_filings, sum(value) AS value FROM filing GROUP BY corp, fy)",
     "line": "line AS (SELECT receipt, corp, fy, l_partkey AS part, l_suppkey AS supplier, l_returnflag AS flag, gross, gross * (1 - discount) AS net, gross * (1 - discount) * CAST(l_tax AS DECIMAL(5,2)) AS tax, discount FROM (SELECT *, CAST(l_extendedprice AS DECIMAL(15,2)) AS gross, CAST(l_discount AS DECIMAL(5,2)) AS discount FROM lineitem) JOIN filing ON l_orderkey = receipt)",
-    "cell": "cell AS (SELECT corp, industry, balance, nation, fy FROM company, unnest(range(1995, 2001)) AS y(fy))",
+    "cell": "cell AS (SELECT corp, industry, balance, nation, fy FROM company, (SELECT unnest(range(first_year, last_year + 1)) AS fy FROM span))",
     "engagement": "engagement AS (SELECT corp, fy, CAST(n_regionkey AS BIGINT) AS auditor, sum(CASE WHEN flag = 'N' THEN net ELSE 0 END) AS audit_fee, sum(CASE WHEN flag = 'N' THEN 0 ELSE net END) AS non_audit_fee FROM line JOIN supplier ON supplier = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY corp, fy, n_regionkey)",
     "lead_auditor": "lead_auditor AS (SELECT corp, fy, auditor FROM engagement QUALIFY row_number() OVER (PARTITION BY corp, fy ORDER BY audit_fee + non_audit_fee DESC, auditor) = 1)",
     "history": "history AS (SELECT corp, fy, auditor, prior, CASE WHEN prior IS NULL THEN 'first' WHEN prior = auditor THEN 'retained' ELSE 'changed' END AS status FROM (SELECT *, lag(auditor) OVER (PARTITION BY corp ORDER BY fy) AS prior FROM lead_auditor))",
-    "quality": "quality AS (SELECT corp, fy, n_filings, conversion, net / CASE WHEN prior_fy = fy - 1 THEN prior END - 1 AS yoy, avg(conversion) OVER (PARTITION BY corp ORDER BY fy ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS avg3 FROM (SELECT *, net / gross AS conversion, lag(net) OVER w AS prior, lag(fy) OVER w AS prior_fy FROM (SELECT corp, fy, n_filings, CAST(sum(gross) AS DOUBLE) AS gross, CAST(sum(net) AS DOUBLE) AS net FROM line JOIN yearly USING (corp, fy) GROUP BY corp, fy, n_filings) WINDOW w AS (PARTITION BY corp ORDER BY fy)))",
+    "quality": "quality AS (SELECT corp, fy, n_filings, conversion, CASE WHEN fy <= (SELECT whole_year FROM span) THEN net / CASE WHEN prior_fy = fy - 1 THEN prior END - 1 END AS yoy, avg(conversion) OVER (PARTITION BY corp ORDER BY fy ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS avg3 FROM (SELECT *, net / gross AS conversion, lag(net) OVER w AS prior, lag(fy) OVER w AS prior_fy FROM (SELECT corp, fy, n_filings, CAST(sum(gross) AS DOUBLE) AS gross, CAST(sum(net) AS DOUBLE) AS net FROM line JOIN yearly USING (corp, fy) GROUP BY corp, fy, n_filings) WINDOW w AS (PARTITION BY corp ORDER BY fy)))",
     "concern": """factor AS (
   SELECT cell.corp, cell.fy, balance < 0 AS negative_balance,
-    CASE WHEN value IS NOT NULL AND lag(value) OVER w IS NOT NULL THEN value < lag(value) OVER w END AS decline,
-    CASE WHEN cell.fy > 1995 THEN lag(value) OVER w IS NULL END AS gap,
+    CASE WHEN cell.fy <= (SELECT whole_year FROM span) AND value IS NOT NULL AND lag(value) OVER w IS NOT NULL THEN value < lag(value) OVER w END AS decline,
+    CASE WHEN cell.fy > (SELECT first_year FROM span) THEN lag(value) OVER w IS NULL END AS gap,
     return_share > 0.5 AS high_returns, mean_discount > 0.06 AS high_discount,
     last_filed < make_date(cell.fy, 7, 1) AS no_recent_filing
   FROM cell LEFT JOIN (SELECT corp, fy, CAST(value AS DOUBLE) AS value FROM yearly) USING (corp, fy)
@@ -47,14 +49,14 @@ counted AS (
   FROM factor),
 concern AS (SELECT corp, fy, points, 6 - missing AS evaluated, missing, CASE missing WHEN 0 THEN 'summary_only' WHEN 6 THEN 'unavailable' ELSE 'unverified' END AS state FROM counted)""",
     "restated": """restated AS (
-  SELECT key, original, re_reported, (re_reported - original) / nullif(abs(original), 0) AS gap, abs((re_reported - original) / nullif(abs(original), 0)) > 0.01 AS candidate, CASE WHEN re_reported IS NULL THEN 'unavailable' ELSE 'available' END AS state
+  SELECT key, original, re_reported, (re_reported - original) / nullif(abs(original), 0) AS gap, abs((re_reported - original) / nullif(abs(original), 0)) > 0.01 AS candidate, CASE WHEN re_reported IS NULL THEN 'unavailable' ELSE 'summary_only' END AS state
   FROM (SELECT receipt AS key, CAST(value AS DOUBLE) AS original FROM filing)
     LEFT JOIN (SELECT l_orderkey AS key, CAST(sum(CAST(l_extendedprice AS DECIMAL(15,2))) AS DOUBLE) AS re_reported FROM lineitem GROUP BY l_orderkey) USING (key))""",
     "fees": "fees AS (SELECT corp, fy, industry, CAST(sum(audit_fee) AS DOUBLE) AS audit_fee, CAST(sum(non_audit_fee) AS DOUBLE) AS non_audit_fee FROM engagement JOIN company USING (corp) GROUP BY corp, fy, industry)",
     "sections": "sections AS (SELECT doc_id, lang, source, unnest(string_split(text, chr(10))) AS section, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents)",
 }
 #: What a part needs before it.
-NEEDS = {"yearly": ["filing"], "line": ["filing"], "cell": ["company"], "engagement": ["line"], "lead_auditor": ["engagement"], "history": ["lead_auditor"], "quality": ["yearly", "line"], "concern": ["cell", "yearly", "line"], "restated": ["filing"], "fees": ["engagement", "company"]}
+NEEDS = {"yearly": ["filing"], "line": ["filing"], "span": ["filing"], "cell": ["company", "span"], "engagement": ["line"], "lead_auditor": ["engagement"], "history": ["lead_auditor"], "quality": ["yearly", "line", "span"], "concern": ["cell", "yearly", "line"], "restated": ["filing"], "fees": ["engagement", "company"]}
 
 
 def sql(body: str, *parts: str) -> str:
@@ -88,7 +90,7 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
 @query(sql("SELECT corp, fy, CASE min(CASE state WHEN 'available' THEN 0 WHEN 'summary_only' THEN 1 WHEN 'unverified' THEN 2 ELSE 3 END) WHEN 0 THEN 'available' WHEN 1 THEN 'summary_only' WHEN 2 THEN 'unverified' ELSE 'unavailable' END AS state, count(receipt) AS n_sources FROM cell LEFT JOIN filing USING (corp, fy) GROUP BY corp, fy", "cell", "filing"))
 def evidence_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: what is known of each company and year. Filings are aggregated before they meet the grid."""
-    cells = grid(px.companies(spark, sf_dir).select("corp"), px.YEARS).withColumn("fy", F.col("fy").cast("long"))
+    cells = grid(px.companies(spark, sf_dir).select("corp"), px.span(spark, sf_dir).years).withColumn("fy", F.col("fy").cast("long"))
     sources = px.filings(spark, sf_dir).groupBy("corp", "fy").agg(best(F.col("state")).alias("state"), F.count("*").alias("n_sources"))
     return cells.join(sources, ["corp", "fy"], "left").select("corp", "fy", F.coalesce("state", F.lit("unavailable")).alias("state"), F.coalesce("n_sources", F.lit(0)).alias("n_sources"))
 
@@ -135,9 +137,14 @@ def resolve_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # peers
 
 
-@query(sql("SELECT CAST(0 AS BIGINT) AS target, corp AS peer, 'prefix:1' AS rule FROM company WHERE starts_with(code, '1') AND corp <> 0", "company"))
+#: The query set of searches over companies and vectors: every row whose key is divisible by this, against all rows.
+EACH = 100
+
+
+@query(sql("SELECT t.corp AS target, c.corp AS peer, 'prefix:' || t.code AS rule FROM company t JOIN company c ON t.code = c.code AND t.corp <> c.corp WHERE t.corp % 100 = 0", "company"))
 def peers_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return peers.peers_by_prefix(px.companies(spark, sf_dir), 0, "1")
+    companies = px.companies(spark, sf_dir).select("corp", "code")
+    return peers.peers_by_code(companies, companies.where(F.col("corp") % EACH == 0), 3)
 
 
 @query(sql("SELECT CAST(0 AS BIGINT) AS target, corp AS peer, 'explicit' AS rule FROM company WHERE corp IN (3, 5, 8, 13, 21, 34, 1000000007)", "company"))
@@ -161,17 +168,19 @@ def peers_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return peers.peers_by_size(sized(spark, sf_dir), 5)
 
 
-BAND = "SELECT a.corp AS target, b.corp AS peer, 'adaptive:industry,size 0.8-1.25' AS rule FROM sized a JOIN sized b ON a.industry = b.industry AND a.corp = 0 AND b.corp <> 0 AND CAST(b.size AS DOUBLE) BETWEEN CAST(a.size AS DOUBLE) * 0.8 AND CAST(a.size AS DOUBLE) * 1.25"
+BAND = "SELECT a.corp AS target, b.corp AS peer, 'adaptive:industry,size 0.8-1.25' AS rule FROM sized a JOIN sized b ON a.industry = b.industry AND a.corp % 100 = 0 AND b.corp <> a.corp AND CAST(b.size AS DOUBLE) BETWEEN CAST(a.size AS DOUBLE) * 0.8 AND CAST(a.size AS DOUBLE) * 1.25"
 
 
 @query(sql(BAND, "company", "yearly").replace(" SELECT a.corp", f", {SIZED} SELECT a.corp"))
 def peers_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return peers.peers_by_band(sized(spark, sf_dir), 0)
+    companies = sized(spark, sf_dir)
+    return peers.peers_by_band(companies, companies.where(F.col("corp") % EACH == 0))
 
 
-@query(sql("SELECT CAST(0 AS BIGINT) AS target, corp AS peer, 'prefix:1+explicit' AS rule FROM company WHERE starts_with(code, '1') AND corp IN (3, 5, 8, 13, 21, 34)", "company"))
+@query(sql(BAND.replace("size 0.8-1.25' AS rule", "size 0.8-1.25+prefix:' || left(a.code, 1) AS rule") + " AND left(a.code, 1) = left(b.code, 1)", "company", "yearly").replace(" SELECT a.corp", f", {SIZED.replace('corp, industry,', 'corp, industry, code,').replace('GROUP BY corp, industry', 'GROUP BY corp, industry, code')} SELECT a.corp"))
 def peers_composed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return peers.composed(peers_prefix(spark, sf_dir), peers.peers_by_list(px.companies(spark, sf_dir), 0, [3, 5, 8, 13, 21, 34]))
+    companies = px.companies(spark, sf_dir).select("corp", "code")
+    return peers.composed(peers_band(spark, sf_dir), peers.peers_by_code(companies, companies.where(F.col("corp") % EACH == 0), 1))
 
 
 # financial
@@ -201,7 +210,7 @@ def compare_industry_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = px.lines(spark, sf_dir).groupBy("corp", "fy").agg(double(F.sum("gross")).alias("gross"), double(F.sum("net")).alias("net"))
-    return financial.quality_of_earnings(values)
+    return financial.quality_of_earnings(values, px.span(spark, sf_dir).whole)
 
 
 @query(sql("SELECT corp, fy, conversion, yoy, avg3 FROM quality", "quality"))
@@ -214,16 +223,17 @@ def quality_of_earnings(spark: SparkSession, sf_dir: str) -> DataFrame:
         """SELECT corp, input, value, CASE WHEN value IS NULL THEN 'unavailable' ELSE 'summary_only' END AS state FROM (
 SELECT corp, unnest(['mean_value', 'growth', 'tax_share']) AS input, unnest([
   CAST(sum(value) AS DOUBLE) / count(*),
-  CAST(sum(value) FILTER (WHERE fy = 2000) AS DOUBLE) / CAST(sum(value) FILTER (WHERE fy = 1998) AS DOUBLE) - 1,
+  CAST(sum(value) FILTER (WHERE fy = whole_year) AS DOUBLE) / CAST(sum(value) FILTER (WHERE fy = whole_year - 2) AS DOUBLE) - 1,
   CAST(sum(tax) AS DOUBLE) / CAST(sum(net) AS DOUBLE)]) AS value
-FROM yearly LEFT JOIN (SELECT corp, fy, sum(net) AS net, sum(tax) AS tax FROM line GROUP BY corp, fy) USING (corp, fy) WHERE fy BETWEEN 1998 AND 2000 GROUP BY corp)""",
+FROM yearly LEFT JOIN (SELECT corp, fy, sum(net) AS net, sum(tax) AS tax FROM line GROUP BY corp, fy) USING (corp, fy), span WHERE fy BETWEEN whole_year - 2 AND whole_year GROUP BY corp)""",
         "yearly",
         "line",
+        "span",
     )
 )
 def dcf_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from_lines = px.lines(spark, sf_dir).groupBy("corp", "fy").agg(F.sum("net").alias("net"), F.sum("tax").alias("tax"))
-    return financial.dcf_inputs(px.yearly(spark, sf_dir).join(from_lines, ["corp", "fy"], "left"), px.YEARS[-1])
+    return financial.dcf_inputs(px.yearly(spark, sf_dir).join(from_lines, ["corp", "fy"], "left"), px.span(spark, sf_dir).whole)
 
 
 @query(
@@ -275,20 +285,22 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 # audit
 
 
-def concern(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = grid(px.companies(spark, sf_dir).select("corp", "balance"), px.YEARS).withColumn("fy", F.col("fy").cast("long"))
+def concern(spark: SparkSession, sf_dir: str, active: DataFrame | None = None) -> DataFrame:
+    span = px.span(spark, sf_dir)
+    cells = grid(px.companies(spark, sf_dir).select("corp", "balance"), span.years).withColumn("fy", F.col("fy").cast("long"))
     filed = px.filings(spark, sf_dir).groupBy("corp", "fy").agg(double(F.sum("value")).alias("value"), F.max("filed_at").alias("last_filed"))
-    line = px.lines(spark, sf_dir).groupBy("corp", "fy").agg(
+    lines = px.lines(spark, sf_dir).withColumn("n", F.lit(1)) if active is None else active
+    line = lines.groupBy("corp", "fy").agg(
         (double(F.sum(F.when(F.col("flag") == "R", F.col("net")).otherwise(0))) / double(F.sum("net"))).alias("return_share"),
-        (double(F.sum("discount")) / F.count("*")).alias("mean_discount"),
+        (double(F.sum("discount")) / F.sum("n")).alias("mean_discount"),
     )
     rows = cells.join(filed, ["corp", "fy"], "left").join(line, ["corp", "fy"], "left").withColumn("prior", financial.before("value"))
     factors = rows.select(
         "corp",
         "fy",
         (F.col("balance") < 0).alias("negative_balance"),
-        (F.col("value") < F.col("prior")).alias("decline"),
-        F.when(F.col("fy") > px.YEARS[0], F.col("prior").isNull()).alias("gap"),
+        F.when(F.col("fy") <= span.whole, F.col("value") < F.col("prior")).alias("decline"),
+        F.when(F.col("fy") > span.first, F.col("prior").isNull()).alias("gap"),
         (F.col("return_share") > 0.5).alias("high_returns"),
         (F.col("mean_discount") > 0.06).alias("high_discount"),
         (F.col("last_filed") < F.make_date(F.col("fy").cast("int"), F.lit(7), F.lit(1))).alias("no_recent_filing"),
@@ -301,10 +313,10 @@ def going_concern(spark: SparkSession, sf_dir: str) -> DataFrame:
     return concern(spark, sf_dir)
 
 
-def restated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    originals = px.filings(spark, sf_dir).select(F.col("receipt").alias("key"), double(F.col("value")).alias("value"))
+def restated(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
+    originals = px.filings(spark, sf_dir).select(F.col("receipt").alias("key"), double(F.col("value")).alias("value"), *keep)
     later = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("key")).agg(double(F.sum(px.money("l_extendedprice"))).alias("value"))
-    return audit.detect_restatement(originals, later)
+    return audit.detect_restatement(originals, later, keep=keep)
 
 
 @query(sql("SELECT * FROM restated", "restated"))
@@ -332,11 +344,15 @@ def audit_hours_proxy(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def audit_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.audit_history(audit.lead_auditors(px.engagements(spark, sf_dir)))
+    return audit.audit_history(audit.lead_auditors(engaged(spark, sf_dir)))
+
+
+def engaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return px.engagements(px.activity(spark, sf_dir))
 
 
 def fees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sums = px.engagements(spark, sf_dir).groupBy("corp", "fy").agg(double(F.sum("audit_fee")).alias("audit_fee"), double(F.sum("non_audit_fee")).alias("non_audit_fee"))
+    sums = engaged(spark, sf_dir).groupBy("corp", "fy").agg(double(F.sum("audit_fee")).alias("audit_fee"), double(F.sum("non_audit_fee")).alias("non_audit_fee"))
     return sums.join(px.companies(spark, sf_dir).select("corp", "industry"), "corp")
 
 
@@ -358,15 +374,17 @@ LEFT JOIN history USING (corp, fy) LEFT JOIN fees USING (corp, fy)""",
     )
 )
 def acceptance_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = restated(spark, sf_dir).join(px.filings(spark, sf_dir).select(F.col("receipt").alias("key"), "corp", "fy"), "key")
-    candidates = found.groupBy("corp", "fy").agg(F.count(F.when(F.col("candidate"), 1)).alias("candidates"))
-    ratios = fees(spark, sf_dir).select("corp", "fy", F.try_divide("non_audit_fee", "audit_fee").alias("ratio"))
-    return audit.acceptance_pack(concern(spark, sf_dir), candidates, audit_history(spark, sf_dir), ratios)
+    """Lines are read once for concern, history and fees, and once more, by receipt, for restatements."""
+    active = materialize(px.activity(spark, sf_dir), "activity")
+    engaged = px.engagements(active)
+    candidates = restated(spark, sf_dir, "corp", "fy").groupBy("corp", "fy").agg(F.count(F.when(F.col("candidate"), 1)).alias("candidates"))
+    ratios = engaged.groupBy("corp", "fy").agg(F.try_divide(double(F.sum("non_audit_fee")), double(F.sum("audit_fee"))).alias("ratio"))
+    return audit.acceptance_pack(concern(spark, sf_dir, active), candidates, audit.audit_history(audit.lead_auditors(engaged)), ratios)
 
 
 def subsidiaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    perimeter = grid(px.companies(spark, sf_dir).select(F.col("nation").alias("parent"), "corp"), px.YEARS).withColumn("fy", F.col("fy").cast("long"))
-    return audit.subsidiary_auditors(perimeter, audit.lead_auditors(px.engagements(spark, sf_dir)))
+    perimeter = grid(px.companies(spark, sf_dir).select(F.col("nation").alias("parent"), "corp"), px.span(spark, sf_dir).years).withColumn("fy", F.col("fy").cast("long"))
+    return audit.subsidiary_auditors(perimeter, audit.lead_auditors(engaged(spark, sf_dir)))
 
 
 @query(sql("SELECT nation AS parent, corp, fy, auditor, CASE WHEN auditor IS NULL THEN 'unavailable' ELSE 'available' END AS state FROM cell LEFT JOIN lead_auditor USING (corp, fy)", "cell", "lead_auditor"))
@@ -376,8 +394,8 @@ def subsidiary_auditors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql("SELECT nation AS parent, corp, fy FROM cell WHERE NOT EXISTS (SELECT 1 FROM lead_auditor l WHERE l.corp = cell.corp AND l.fy = cell.fy)", "cell", "lead_auditor"))
 def missing_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    perimeter = grid(px.companies(spark, sf_dir).select(F.col("nation").alias("parent"), "corp"), px.YEARS).withColumn("fy", F.col("fy").cast("long"))
-    return audit.missing_evidence(perimeter, px.engagements(spark, sf_dir).select("corp", "fy"))
+    perimeter = grid(px.companies(spark, sf_dir).select(F.col("nation").alias("parent"), "corp"), px.span(spark, sf_dir).years).withColumn("fy", F.col("fy").cast("long"))
+    return audit.missing_evidence(perimeter, engaged(spark, sf_dir).select("corp", "fy"))
 
 
 @query(sql("SELECT nation AS parent, fy, " + ", ".join(f"count(*) FILTER (WHERE auditor = {a}) AS auditor_{a}" for a in range(5)) + ", count(*) FILTER (WHERE auditor IS NULL) AS missing FROM cell LEFT JOIN lead_auditor USING (corp, fy) GROUP BY nation, fy", "cell", "lead_auditor"))
@@ -405,7 +423,7 @@ FROM (SELECT industry, auditor, sum(audit_fee + non_audit_fee) AS fee, CAST(grou
     )
 )
 def audit_landscape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = px.engagements(spark, sf_dir).join(px.companies(spark, sf_dir).select("corp", "industry"), "corp")
+    joined = engaged(spark, sf_dir).join(px.companies(spark, sf_dir).select("corp", "industry"), "corp")
     return audit.industry_audit_landscape(joined.select("industry", "auditor", (F.col("audit_fee") + F.col("non_audit_fee")).alias("fee")))
 
 
@@ -417,13 +435,14 @@ def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     sql(
         """SELECT corp, topic, fy, CASE WHEN prior IS NULL THEN 'new' WHEN prior = fy - 1 THEN 'continued' ELSE 'returned' END AS entry,
-CASE WHEN fy = 2000 THEN 'open' WHEN following = fy + 1 THEN 'kept' ELSE 'dropped' END AS exit
+CASE WHEN fy = (SELECT last_year FROM span) THEN 'open' WHEN following = fy + 1 THEN 'kept' ELSE 'dropped' END AS exit
 FROM (SELECT *, lag(fy) OVER w AS prior, lead(fy) OVER w AS following FROM (SELECT DISTINCT corp, p_type AS topic, fy FROM line JOIN part ON part = p_partkey) WINDOW w AS (PARTITION BY corp, topic ORDER BY fy))""",
         "line",
+        "span",
     )
 )
 def kam_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.kam_lifecycle(topics(spark, sf_dir), px.YEARS[-1])
+    return audit.kam_lifecycle(topics(spark, sf_dir), px.span(spark, sf_dir).last)
 
 
 # reports and notes
@@ -432,7 +451,8 @@ def kam_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql("SELECT doc_id, pos, CAST(coalesce(sum(length(section) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, length(section) AS length, CASE WHEN regexp_matches(section, 'Licen[sc]e') THEN 'license' WHEN regexp_matches(section, '[0-9]{3}') THEN 'figures' WHEN contains(section, '!!') THEN 'emphasis' END AS topic FROM sections", "sections"))
 def report_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     topic = notes.topic_of(F.col("section"), {"license": "Licen[sc]e", "figures": "[0-9]{3}", "emphasis": "!!"})
-    return px.sections(spark, sf_dir).select("doc_id", "pos", "start", F.length("section").cast("long").alias("length"), topic.alias("topic"))
+    found = px.sections(spark, sf_dir).select("doc_id", "pos", F.length("section").cast("long").alias("length"), topic.alias("topic"))
+    return px.starts(found).select("doc_id", "pos", "start", "length", "topic")
 
 
 SCORED = "SELECT doc_id, pos, score FROM (SELECT doc_id, pos, CAST((length(section) - length(replace(lower(section), '{0}', ''))) / {1} AS BIGINT) AS score FROM sections) WHERE score > 0 ORDER BY score DESC, doc_id, pos LIMIT 50"
@@ -464,7 +484,7 @@ def peer_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notes.compare_peer_policies(px.sections(spark, sf_dir))
 
 
-@query(sql("SELECT p.doc_id, target, shared, a.quality AS fact, b.quality AS target_fact, CASE WHEN a.quality IS NULL OR b.quality IS NULL THEN 'unverified' ELSE 'available' END AS state FROM peers p LEFT JOIN labels a ON p.doc_id = a.doc_id LEFT JOIN labels b ON target = b.doc_id", "sections").replace(" SELECT p.doc_id, target", f", {PEERS} SELECT p.doc_id, target"))
+@query(sql("SELECT p.doc_id, target, shared, a.quality AS fact, b.quality AS target_fact, CASE WHEN a.quality IS NULL OR b.quality IS NULL THEN 'unverified' ELSE 'summary_only' END AS state FROM peers p LEFT JOIN labels a ON p.doc_id = a.doc_id LEFT JOIN labels b ON target = b.doc_id", "sections").replace(" SELECT p.doc_id, target", f", {PEERS} SELECT p.doc_id, target"))
 def peer_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notes.compare_peer_notes(notes.compare_peer_policies(px.sections(spark, sf_dir)), read(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("fact")))
 
@@ -506,7 +526,8 @@ def company_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """SELECT a.vec_id AS target, b.vec_id AS peer, row_number() OVER (PARTITION BY a.vec_id ORDER BY s.score DESC, b.vec_id) AS rank, s.score
 FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id, LATERAL (SELECT list_reduce(list_transform(range(1, len(a.embedding) + 1), lambda i: CAST(a.embedding[i] AS DOUBLE) * CAST(b.embedding[i] AS DOUBLE)), lambda x, y: x + y) AS score) s
-WHERE a.vec_id IN (0, 7, 42, 99, 123) QUALIFY rank <= 5"""
+WHERE a.vec_id % 100 = 0 QUALIFY rank <= 5"""
 )
 def peer_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return semantic.peer_context(read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), [0, 7, 42, 99, 123], 5)
+    vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return semantic.peer_context(vectors, vectors.where(F.col("id") % EACH == 0), 5)

@@ -42,6 +42,6 @@ def test_filters_and_columns_reach_the_scan(spark):
 
     from .conftest import DATA
 
-    plan = proxies.filings(spark, str(DATA))._jdf.queryExecution().toString()
+    plan = proxies.filings(spark, str(DATA), range(1995, 2001))._jdf.queryExecution().toString()
     assert "GreaterThanOrEqual(o_orderdate" in plan
     assert "ReadSchema" in plan and "o_orderpriority" not in plan.split("ReadSchema")[1]

@@ -27,9 +27,15 @@ def test_neighbours_cross_blocks(spark):
     rng = random.Random(5)
     rows = [(i, "ab"[i % 5 == 0], float(rng.randrange(90))) for i in range(300)]
     df = spark.createDataFrame(rows, "id long, g string, v double")
-    got = {r.id: [x.peer for x in r.near] for r in with_neighbours(df, "g", "v", "id", 3, block=10).collect()}
+    got = {r.id: [x.peer for x in r.near] for r in with_neighbours(df, ["g"], "v", "id", 3, block=10).collect()}
     assert len(got) == 300
     for g in "ab":
         order = [i for v, i in sorted((v, i) for i, x, v in rows if x == g)]
         for at, i in enumerate(order):
             assert got[i] == order[max(0, at - 3) : at] + order[at + 1 : at + 4]
+
+
+def test_rows_without_a_group_are_a_group(spark):
+    rows = [(1, None, 2020, 5.0), (2, None, 2020, 7.0), (3, "a", None, 1.0), (4, "a", 2020, None)]
+    got = value_ranks(spark.createDataFrame(rows, "id long, g string, fy int, v double"), ["g", "fy"], "v").collect()
+    assert sorted((r.id, r.pct, r.median) for r in got) == [(1, 0.0, 6.0), (2, 1.0, 6.0), (3, 0.0, 1.0), (4, 0.0, None)]
