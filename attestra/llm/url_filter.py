@@ -1,8 +1,13 @@
 """URL filtering: rules first, then naive Bayes over segmented host names and path tokens.
 
-A unigram model, counted over the words of all pages, splits concatenated names by Viterbi.
-Naive Bayes is trained on all urls, labelled weakly: a url is unwanted if a segmented word
-is one of UNWANTED. What else such urls have in common, it learns.
+A unigram model, counted over the words of all pages, splits concatenated names by Viterbi. No
+vocabulary is cut or broadcast whole: the substrings of each distinct name are joined to the
+words that are counted, and each name is split by its own words.
+
+Naive Bayes learns from all urls. Where a rule fits, its verdict is the label, whatever the url
+says; elsewhere a url is taken to be unwanted if a segmented word is one of UNWANTED. So a listed word that
+the rules let pass speaks for allowing, and words that the rules block speak against urls that no
+rule fits. The words that rules name are no features: they would only repeat the rules.
 """
 
 from __future__ import annotations
@@ -10,27 +15,26 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 from math import log
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.common import LOWER, UPPER, kth_largest, materialize
+from attestra.llm.common import LOWER, UPPER, materialize, sliced, small
 
 #: Fixed values: (verdict, rule). A rule is a host and the start of a path.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 #: Words that mark a name as unwanted.
 UNWANTED = ("adult", "ads", "bet", "bets", "betting", "casino", "escort", "gambling", "loans", "pills", "poker", "porn", "pharma", "sex", "slots", "spam", "viagra", "warez", "xxx")
-#: Words of the unigram model, at most: those with more occurrences on all pages than the one of this rank; the rest is spelled out. Bounds what is broadcast.
-VOCABULARY = 50_000
-#: Characters of a word at most, and what a character of an unknown word costs (as a log probability).
-LONGEST, UNKNOWN = 24, -12.0
+#: What a character of an unknown word costs (as a log probability).
+UNKNOWN = -12.0
 #: Weight of UNWANTED words in the unigram model, in words of a million.
 KNOWN_SHARE = 1e-4
 SMOOTHING = 0.5
-TAGS, LETTERS, TOKEN = re.compile(r"<(script|style)\b.*?</\1>|<[^>]*>", re.S), re.compile("[a-z]+"), re.compile("[a-z]+|[0-9]+")
+#: Distinct words that a task counts, or names that it tells apart, before it passes them on.
+FLUSH = 1 << 19
+TAGS, LETTERS, TOKEN = re.compile(r"<(script|style)\b.*?</\1>|<[^>]*>", re.S), re.compile(r"[^\W\d_]+"), re.compile("[a-z]+|[0-9]+")
 HOST, PATH = re.compile("[^/?#]*"), re.compile("[^?#]*")
 ASCII_LOWER = str.maketrans(UPPER, LOWER)
 
@@ -48,21 +52,28 @@ def ruled(host: str, path: str) -> tuple[str, str] | None:
     return max(fits, key=lambda x: len(x[1]), default=None)
 
 
+#: Words that rules name.
+RULE_WORDS = sorted({w for _, rule in RULES for w in TOKEN.findall(rule)})
+
+
 class Segmenter:
-    """Splits names into words by Viterbi over a unigram model."""
+    """Splits names into words by Viterbi over a unigram model. total: the sum of all counts, if more words were counted than are given."""
 
-    def __init__(self, counts: dict[str, int]) -> None:
-        total = sum(counts.values()) or 1
-        self.logs = {w: log(n / total) for w, n in counts.items()} | {w: max(log(KNOWN_SHARE), log(counts.get(w, 1) / total)) for w in UNWANTED}
+    def __init__(self, counts: dict[str, int], total: int | None = None) -> None:
+        total = total or sum(counts.values()) or 1
+        self.logs = {w: log(n / total) for w, n in counts.items() if n} | {w: max(log(KNOWN_SHARE), log(counts.get(w, 0) / total or KNOWN_SHARE)) for w in UNWANTED}
+        self.lengths = sorted({len(w) for w in self.logs})
 
     def words(self, name: str) -> list[str]:
         """The likeliest words of a run of letters. Letters that are in no known word come out together."""
         best: list[tuple[float, int, bool]] = [(0.0, 0, True)]
         for end in range(1, len(name) + 1):
             found = [(best[end - 1][0] + UNKNOWN, end - 1, False)]
-            for begin in range(max(0, end - LONGEST), end):
-                if (p := self.logs.get(name[begin:end])) is not None:
-                    found.append((best[begin][0] + p, begin, True))
+            for n in self.lengths:
+                if n > end:
+                    break
+                if (p := self.logs.get(name[end - n : end])) is not None:
+                    found.append((best[end - n][0] + p, end - n, True))
             best.append(max(found))
         out: list[str] = []
         end, whole = len(name), True
@@ -76,62 +87,63 @@ class Segmenter:
         return out[::-1]
 
 
-class Judge:
-    """Naive Bayes over a url's words. counts: word -> (allowed, blocked); urls: the same for whole urls."""
-
-    def __init__(self, segmenter: Segmenter, counts: dict[str, tuple[int, int]], urls: tuple[int, int]) -> None:
-        self.segmenter = segmenter
-        totals = [sum(x[i] for x in counts.values()) + SMOOTHING * len(counts) for i in (0, 1)]
-        self.prior = log((urls[1] + SMOOTHING) / (urls[0] + SMOOTHING))
-        self.odds = {w: log((b + SMOOTHING) / totals[1]) - log((a + SMOOTHING) / totals[0]) for w, (a, b) in counts.items()}
-
-    def log_odds(self, host: str, path: str) -> float:
-        """Of being unwanted. Words never trained on have no say."""
-        return self.prior + sum(self.odds.get(w, 0.0) for w in tokens(self.segmenter, host, path))
+def names(host: str, path: str) -> list[str]:
+    """Runs of letters of the host, marked as such, and of the path; numbers count as one word."""
+    return [f"{mark}{'0' if t.isdigit() else t}" for mark, part in (("h:", host), ("p:", path.translate(ASCII_LOWER))) for t in TOKEN.findall(part)]
 
 
-def tokens(segmenter: Segmenter, host: str, path: str) -> list[str]:
-    """Words of the host, marked as such, and of the path; numbers count as one word."""
-    return [f"{mark}{w}" for mark, part in (("h:", host), ("p:", path.translate(ASCII_LOWER))) for t in TOKEN.findall(part) for w in (["0"] if t.isdigit() else segmenter.words(t))]
-
-
-def is_unwanted(words: list[str]) -> bool:
-    return any(w[2:] in UNWANTED for w in words)
+def counted(counts: Counter[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"word": pa.array(counts.keys(), pa.string()), "n": pa.array(counts.values(), pa.int64())})
 
 
 def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words of the pages' text, and the parts of hyphenated host names. Columns: url, html."""
     counts: Counter[str] = Counter()
-    for batch in batches:
+    for batch in sliced(batches):
         for url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            counts.update(w for w in LETTERS.findall(TAGS.sub(" ", html or "").translate(ASCII_LOWER)) if 1 < len(w) <= LONGEST)
-            counts.update(w for label in split_url(url)[0].split(".") if "-" in label for w in LETTERS.findall(label) if len(w) > 1)
-    yield pa.RecordBatch.from_pydict({"word": pa.array(counts.keys(), pa.string()), "n": pa.array(counts.values(), pa.int64())})
+            counts.update(LETTERS.findall(TAGS.sub(" ", html or "").translate(ASCII_LOWER)))
+            counts.update(w for label in split_url(url)[0].split(".") if "-" in label for w in LETTERS.findall(label))
+        if len(counts) > FLUSH:
+            yield counted(counts)
+            counts.clear()
+    yield counted(counts)
+
+
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """page_id, host, path, rule, ruled (its verdict), names. Columns: page_id, url."""
+    for batch in sliced(batches):
+        split = [split_url(u) for u in batch.column(1).to_pylist()]
+        rules = [ruled(*p) or (None, None) for p in split]
+        columns = [[h for h, _ in split], [p for _, p in split], [r for _, r in rules], [v for v, _ in rules]]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.string()) for c in columns), pa.array([names(*p) for p in split], pa.list_(pa.string()))], ["page_id", "host", "path", "rule", "ruled", "names"])
+
+
+def segmented(found: DataFrame, words: DataFrame) -> DataFrame:
+    """found: name (distinct); words: word, n, written before. name and its words, each name split by those of its substrings that are words."""
+    total = words.agg(F.sum("n")).first()[0] or 1
+    listed = found.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, UNWANTED))).alias("word"), F.lit(0).cast("long").alias("n"))
+    lengths = [r.k for r in words.select(F.length("word").alias("k")).union(listed.select(F.length("word"))).distinct().collect()]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                for k in lengths:
+                    if pieces := {name[i : i + k] for i in range(len(name) - k + 1)}:
+                        yield pa.RecordBatch.from_pydict({"name": pa.array([name] * len(pieces), pa.string()), "word": pa.array(pieces, pa.string())})
 
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            rows = zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
+            out = [(name, Segmenter(dict(zip(words or (), counts or (), strict=True)), total).words(name) if name != "0" else ["0"]) for name, words, counts in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.list_(pa.string()))], ["name", "words"])
+
+    known = found.where("name <> '0'").mapInArrow(cut, "name string, word string").join(words, "word").groupBy("name").agg(F.collect_list(F.struct("word", "n")).alias("own"))
+    return found.join(known, "name", "left").select("name", F.col("own.word").alias("words"), F.col("own.n").alias("counts")).mapInArrow(split, "name string, words array<string>")
 
-def trained(pages: DataFrame) -> Judge:
-    """A judge from all pages (url, html). VOCABULARY words reach the driver, and the counts of those and of UNWANTED."""
-    sc = pages.sparkSession.sparkContext
-    words = materialize(pages.select("url", "html").mapInArrow(word_counts, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    if words.count() > VOCABULARY:
-        words = words.where(F.col("n") > kth_largest(words, "n", VOCABULARY))
-    segmenter = Segmenter({r.word: r.n for r in words.collect()})
-    shared = sc.broadcast(segmenter)
-
-    def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = lru_cache(1 << 14)(lambda *x: tokens(shared.value, *x))
-        counts: Counter[tuple[str, bool]] = Counter()
-        for batch in batches:
-            for url in batch.column(0).to_pylist():
-                own = found(*split_url(url))
-                bad = is_unwanted(own)
-                counts["", bad] += 1
-                counts.update((w, bad) for w in own if w[2:] in shared.value.logs or w[2:] == "0")
-        yield pa.RecordBatch.from_pydict({"word": pa.array([w for w, _ in counts], pa.string()), "bad": pa.array([b for _, b in counts], pa.bool_()), "n": pa.array(counts.values(), pa.int64())})
 
-    sums = pages.select("url").mapInArrow(labelled, "word string, bad boolean, n bigint").groupBy("word").agg(F.sum(F.when(F.col("bad"), 0).otherwise(F.col("n"))).alias("good"), F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("bad"))
-    counts = {r.word: (r.good, r.bad) for r in sums.collect()}
-    return Judge(segmenter, counts, counts.pop("", (0, 0)))
+def odds(good: Column, bad: Column, totals: tuple[float, float]) -> Column:
+    """What a word of so many good and bad urls adds to the log odds; rounded, so that a sum is the same in any order."""
+    return (F.log((bad + SMOOTHING) / totals[1]) - F.log((good + SMOOTHING) / totals[0])).cast("decimal(20,12)")
 
 
 def judged_urls(pages: DataFrame) -> DataFrame:
@@ -141,16 +153,32 @@ def judged_urls(pages: DataFrame) -> DataFrame:
     ``://`` has neither host nor path, and only the prior speaks. Repeated rows are judged alike. Other columns are not
     looked at; an empty table gives an empty result.
     """
-    pages = pages.select("page_id", "url", "html")
-    shared = pages.sparkSession.sparkContext.broadcast(trained(pages))
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = [split_url(u) for u in batch.column(1).to_pylist()]
-            rules = [ruled(*p) for p in parts]
-            odds = [shared.value.log_odds(*p) for p in parts]
-            verdicts = [r[0] if r else "block" if x > 0 else "allow" for r, x in zip(rules, odds, strict=True)]
-            columns = [batch.column(0), pa.array([h for h, _ in parts], pa.string()), pa.array([p for _, p in parts], pa.string()), pa.array([r and r[1] for r in rules], pa.string()), pa.array(verdicts, pa.string()), pa.array(odds, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, ["page_id", "host", "path", "rule", "verdict", "log_odds"])
-
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url").mapInArrow(judge, "page_id long, host string, path string, rule string, verdict string, log_odds double")
+    words = materialize(pages.select("url", "html").mapInArrow(word_counts, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url").mapInArrow(parts, "page_id long, host string, path string, rule string, ruled string, names array<string>")
+    rows = materialize(rows.withColumn("rid", F.monotonically_increasing_id()), "urls")
+    marked = rows.select("rid", "ruled", F.explode("names").alias("marked"))
+    found = marked.select(F.substring("marked", 3, 1 << 30).alias("name")).distinct()
+    split = materialize(segmented(found, words), "segments").withColumn("listed", F.arrays_overlap("words", F.array(*map(F.lit, UNWANTED))))
+
+    # labels: the rule's verdict, or else whether a word is listed
+    name = F.substring("marked", 3, 1 << 30)
+    listed = small(materialize(split.where("listed").select("name", "listed"), "listed"))
+    weak = marked.withColumn("name", name).join(listed, "name").select("rid").distinct().withColumn("listed", F.lit(True))
+    bad = F.coalesce(F.col("ruled") == "block", F.col("listed"), F.lit(False))
+    labels = materialize(rows.select("rid", "ruled", "names").join(weak, "rid", "left").select("names", bad.alias("bad")), "labels")
+    urls = {r.bad: r["count"] for r in labels.groupBy("bad").count().collect()}
+    prior = log((urls.get(True, 0) + SMOOTHING) / (urls.get(False, 0) + SMOOTHING))
+
+    # words of marked names, with the urls of either label that have them
+    sums = labels.select(F.explode("names").alias("marked"), "bad").groupBy("marked").agg(F.count(F.when(F.col("bad"), 1)).alias("bad"), F.count(F.when(~F.col("bad"), 1)).alias("good"))
+    spread = materialize(sums.withColumn("name", name).join(split.select("name", "words"), "name").select("marked", "good", "bad", F.explode("words").alias("word")).where(~F.col("word").isin(RULE_WORDS)).withColumn("word", F.concat(F.substring("marked", 1, 2), "word")), "name-words")
+    model = materialize(spread.groupBy("word").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")), "model")
+    good, blocked, n = model.agg(F.coalesce(F.sum("good"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0)), F.count("*")).first()
+    totals = (good + SMOOTHING * n, blocked + SMOOTHING * n)
+    shares = materialize(spread.select("marked", "word").join(model, "word").groupBy("marked").agg(F.sum(odds(F.col("good"), F.col("bad"), totals)).alias("odds")), "odds") if n else None
+
+    scores = marked.join(small(shares), "marked").groupBy("rid").agg(F.sum("odds").alias("odds")) if n else rows.select("rid", F.lit(None).cast("double").alias("odds"))
+    log_odds = F.lit(prior) + F.coalesce(F.col("odds").cast("double"), F.lit(0.0))
+    out = rows.join(scores, "rid", "left").withColumn("log_odds", log_odds)
+    verdict = F.coalesce("ruled", F.when(F.col("log_odds") > 0, "block").otherwise("allow"))
+    return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "log_odds")
