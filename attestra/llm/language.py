@@ -1,8 +1,9 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Training counts are summed by Spark from a bounded sample of labelled rows; the matrix of
-log probabilities (languages x BUCKETS, a fixed width) is broadcast; texts are scored in
-batches with numpy, each text whole.
+log probabilities (languages x buckets, MATRIX_CELLS at most) is broadcast; texts are scored in
+batches with numpy: the n-grams of many texts are one sparse matrix, multiplied by that one. Each
+text counts whole.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.common import materialize
+from attestra.llm.common import materialize, sliced
 
 BUCKETS = 1 << 15
 #: Lengths of the n-grams, in characters.
@@ -24,73 +25,119 @@ GRAMS = (2, 3)
 TRAIN_ROWS = 20_000
 #: Languages with fewer characters than this in the sample still count; a bucket never seen has this count.
 SMOOTHING = 0.5
-#: n-grams scored at once, over all languages.
-AT_ONCE = 1 << 20
+#: Cells of the broadcast matrix at most, 8 bytes each. Over 512 languages have fewer buckets: half of them for twice as many languages.
+MATRIX_CELLS = 1 << 24
+#: Characters scored at once; longer texts are taken in pieces.
+AT_ONCE = 1 << 18
+OVERLAP = GRAMS[-1] - 1
 #: Labelled rows below the bound that fit is held against, as a share, and how far below them it is, in parts of their distance to the median.
 CLEAN_SHARE, MARGIN = 0.001, 0.5
 LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 
 
-def gram_buckets(text: str) -> Iterator[np.ndarray]:
-    """Buckets of the text's n-grams: lower case, one blank on either side, line ends as blanks. In pieces that overlap by what an n-gram needs."""
-    for begin in range(0, len(text), AT_ONCE):
-        piece = " " * (not begin) + text[max(0, begin - GRAMS[-1] + 1) : begin + AT_ONCE].lower().replace("\n", " ") + " " * (begin + AT_ONCE >= len(text))
-        c = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32)
-        for n in GRAMS:
-            if (size := len(c) - n + 1) > 0:
-                h = np.full(size, n, np.uint32)
-                for i in range(n):
-                    h = (h ^ c[i : i + size]) * np.uint32(0x9E3779B1)
-                    h ^= h >> np.uint32(15)
-                yield (h % BUCKETS).astype(np.int32)
+def pieces(text: str) -> list[tuple[str, bool]]:
+    """The text in lower case, line ends as blanks, with a blank on either side, in pieces of AT_ONCE characters that overlap by what an n-gram needs; whether a piece continues another."""
+    padded = f" {text.lower()} ".replace("\n", " ")
+    return [(padded[i : i + AT_ONCE + OVERLAP], i > 0) for i in range(0, max(1, len(padded) - OVERLAP), AT_ONCE)]
+
+
+def hashed(parts: list[tuple[str, bool]], buckets: int = BUCKETS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length of n-grams: the bucket of the one at each character of all pieces, and where each piece begins. ``buckets`` itself stands where there is none, or the piece before has it."""
+    ends = np.cumsum([len(x) for x, _ in parts])
+    begins = ends - [len(x) for x, _ in parts]
+    more = begins[[c for _, c in parts]]
+    c = np.frombuffer("".join(x for x, _ in parts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    for n in GRAMS:
+        h = np.full(len(c) - n + 1, n, np.uint32)
+        for i in range(n):
+            h = (h ^ c[i : i + len(h)]) * np.uint32(0x9E3779B1)
+            h ^= h >> np.uint32(15)
+        out = np.full(len(c), buckets, np.int32)
+        out[: len(h)] = h % buckets
+        for i in range(1, n):
+            out[ends - i] = buckets
+        for i in range(OVERLAP - n + 1):
+            out[more + i] = buckets
+        yield out, begins
+
+
+def gram_buckets(text: str, buckets: int = BUCKETS) -> Iterator[np.ndarray]:
+    """Buckets of the text's n-grams."""
+    for part in pieces(text):
+        for h, _ in hashed([part], buckets):
+            yield h[h < buckets]
+
+
+def in_batches(texts: list[str]) -> Iterator[tuple[np.ndarray, list[tuple[str, bool]]]]:
+    """(text of each piece, pieces), about AT_ONCE characters at a time."""
+    at, parts, n = [], [], 0
+    for i, text in enumerate(texts):
+        for part in pieces(text):
+            at.append(i)
+            parts.append(part)
+            n += len(part[0])
+            if n >= AT_ONCE:
+                yield np.array(at), parts
+                at, parts, n = [], [], 0
+    if parts:
+        yield np.array(at), parts
 
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of a partition: lang, bucket, n."""
     counts: dict[str, np.ndarray] = {}
-    for batch in batches:
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            own = counts.setdefault(lang, np.zeros(BUCKETS, np.int64))
-            for h in gram_buckets(text):
-                own += np.bincount(h, minlength=BUCKETS)
+    for batch in sliced(batches):
+        langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
+        for lang in set(langs):
+            own = counts.setdefault(lang, np.zeros(BUCKETS + 1, np.int64))
+            for _, parts in in_batches([t for x, t in zip(langs, texts, strict=True) if x == lang]):
+                for h, _ in hashed(parts):
+                    own += np.bincount(h, minlength=BUCKETS + 1)
     for lang, own in counts.items():
-        (at,) = own.nonzero()
+        (at,) = own[:-1].nonzero()
         yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(at), pa.string()), "bucket": at.astype(np.int32), "n": own[at]})
 
 
 class LanguageModel:
-    """langs in order; logs: log probabilities, BUCKETS x languages. Languages are weighed alike."""
+    """langs in order; logs: log probabilities, languages x buckets, and a last column of zeros. Languages are weighed alike."""
 
     def __init__(self, langs: list[str], counts: np.ndarray) -> None:
         smooth = counts + SMOOTHING
-        self.langs, self.logs = langs, np.ascontiguousarray(np.log(smooth / smooth.sum(axis=1, keepdims=True)).T.astype(np.float32))
+        self.langs, self.buckets = langs, counts.shape[1]
         self.totals = smooth.sum(axis=1)
+        self.logs = np.zeros((len(langs), self.buckets + 1))
+        self.logs[:, :-1] = np.log(smooth / self.totals[:, None])
 
     def judged(self, text: str | None) -> tuple[str, float]:
         """The likeliest language and its posterior. A text without a letter, or null, is unknown, at 0."""
-        return self.explained(text)[:2]
-
-    def explained(self, text: str | None) -> tuple[str, float, float]:
-        """The likeliest language, its posterior, and the mean log probability of an n-gram in it (-inf for unknown)."""
-        if not self.langs or not text or not LETTER.search(text):
-            return UNKNOWN, 0.0, float("-inf")
-        total, n = np.zeros(len(self.langs)), 0
-        for h in gram_buckets(text):
-            total += self.logs[h].sum(axis=0, dtype=np.float64)
-            n += len(h)
-        best = int(total.argmax())
-        return self.langs[best], float(1 / np.exp(total - total[best]).sum()), float(total[best] / n)
+        return self.explained([text])[0][:2]
+
+    def explained(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
+        """Of each text: the likeliest language, its posterior, and the mean log probability of an n-gram in it (-inf for unknown)."""
+        out: list[tuple[str, float, float]] = [(UNKNOWN, 0.0, float("-inf"))] * len(texts)
+        some = [i for i, t in enumerate(texts) if self.langs and t and LETTER.search(t)]
+        total, n = np.zeros((len(self.langs), len(some))), np.zeros(len(some), np.int64)
+        for at, parts in in_batches([texts[i] for i in some]):
+            for h, begins in hashed(parts, self.buckets):
+                np.add.at(n, at, np.add.reduceat(h < self.buckets, begins, dtype=np.int64))
+                for lang, logs in zip(total, self.logs, strict=True):
+                    np.add.at(lang, at, np.add.reduceat(logs[h], begins))
+        for j, i in enumerate(some):
+            own = total[:, j]
+            best = int(own.argmax())
+            out[i] = self.langs[best], float(1 / np.exp(own - own[best]).sum()), float(own[best] / n[j])
+        return out
 
     def fit_to_others(self, text: str, own: str) -> float:
         """The mean log probability of an n-gram of a text that was counted for a language, once its counts are taken out; -inf without a letter."""
         if not LETTER.search(text):
             return float("-inf")
-        seen = sum(np.bincount(h, minlength=BUCKETS) for h in gram_buckets(text))
+        seen = sum(np.bincount(h, minlength=self.buckets) for h in gram_buckets(text, self.buckets))
         (at,) = seen.nonzero()
         seen, n, i = seen[at], int(seen.sum()), self.langs.index(own)
-        total = seen @ self.logs[at].astype(np.float64)
-        others = np.maximum(np.exp(self.logs[at, i].astype(np.float64)) * self.totals[i] - seen, SMOOTHING)
+        total = self.logs[:, at] @ seen
+        others = np.maximum(np.exp(self.logs[i, at]) * self.totals[i] - seen, SMOOTHING)
         total[i] = seen @ np.log(others / max(self.totals[i] - n, SMOOTHING))
         return float(total.max() / n)
 
@@ -116,8 +163,11 @@ def fitted(sample: DataFrame) -> LanguageModel:
     counts = materialize(sample.select("lang", "text").mapInArrow(counted, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "grams")
     table = counts.toArrow().to_pandas()
     langs = sorted(table.lang.unique())
-    matrix = np.zeros((len(langs), BUCKETS))
-    matrix[table.lang.map({x: i for i, x in enumerate(langs)}).to_numpy(int), table.bucket.to_numpy()] = table.n
+    buckets = BUCKETS
+    while len(langs) * buckets > MATRIX_CELLS:
+        buckets //= 2
+    matrix = np.zeros((len(langs), buckets))
+    np.add.at(matrix, (table.lang.map({x: i for i, x in enumerate(langs)}).to_numpy(int), table.bucket.to_numpy() % buckets), table.n)
     return LanguageModel(langs, matrix)
 
 
@@ -126,7 +176,7 @@ def least_fit(model: LanguageModel, sample: DataFrame) -> float:
     shared = sample.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             yield pa.RecordBatch.from_arrays([pa.array([shared.value.fit_to_others(t, x) for x, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)], pa.float64())], ["fit"])
 
     fits = sample.select("lang", "text").mapInArrow(score, "fit double").where(F.col("fit") > float("-inf"))
@@ -140,9 +190,9 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep
     schema = docs.select(*keep).schema
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shared.value.judged(x.as_py()) for x in batch.column(len(keep))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], [*keep, "lang_pred", "score"])
+        for batch in sliced(batches):
+            lang, score, _ = zip(*shared.value.explained(batch.column(len(keep)).to_pylist()), strict=True)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
 
     out = schema.add("lang_pred", "string").add("score", "double")
     return docs.select(*keep, F.col(text_col).alias("text_to_judge")).mapInArrow(score, out)
@@ -167,9 +217,8 @@ def in_known_language(docs: DataFrame, least: float = 0.5) -> DataFrame:
     shared, bound, columns = docs.sparkSession.sparkContext.broadcast(model), least_fit(model, sample), docs.columns
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(columns.index("text")).to_pylist()
-            known = [lang != UNKNOWN and score >= least and fit >= bound for lang, score, fit in map(shared.value.explained, texts)]
+        for batch in sliced(batches):
+            known = [lang != UNKNOWN and score >= least and fit >= bound for lang, score, fit in shared.value.explained(batch.column(columns.index("text")).to_pylist())]
             yield batch.filter(pa.array(known, pa.bool_()))
 
     return docs.mapInArrow(clean, docs.schema)

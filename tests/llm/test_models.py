@@ -31,7 +31,9 @@ def plain_buckets(text: str) -> Counter:
     return out
 
 
-def test_language_agrees_with_plain_naive_bayes(odd, odd_rows):
+def test_language_agrees_with_plain_naive_bayes(odd, odd_rows, monkeypatch):
+    from attestra.llm import language
+
     counts = {}
     for i, t, lang, *_ in odd_rows:
         if zlib.crc32(b"" if i is None else str(i).encode()) % 4 != 2 and t is not None and lang is not None:
@@ -46,14 +48,22 @@ def test_language_agrees_with_plain_naive_bayes(odd, odd_rows):
         logs = {x: sum(n * math.log((counts[x][b] + SMOOTHING) / total[x]) for b, n in plain_buckets(t).items()) for x in langs}
         best = max(langs, key=lambda x: logs[x])
         want[i, t] = (best, 1 / sum(math.exp(logs[x] - logs[best]) for x in langs))
-    ids = Counter(i for i, *_ in odd_rows)
-    got = predicted_languages(odd).collect()
-    assert len(got) == len(odd_rows)
-    by_id = {r.doc_id: r for r in got}
-    for (i, _), (lang, score) in want.items():
-        if ids[i] == 1:
-            assert by_id[i].lang_pred == lang and by_id[i].score == pytest.approx(score, abs=1e-2)
-            assert by_id[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2)
+    for at_once in (1 << 18, 60):  # rows with equal ids, or none, among them; texts whole and in pieces
+        monkeypatch.setattr(language, "AT_ONCE", at_once)
+        got = sorted(((str(r.doc_id), r.held_out, r.lang_pred, r.score) for r in predicted_languages(odd).collect()), key=repr)
+        wanted = sorted(((str(i), zlib.crc32(b"" if i is None else str(i).encode()) % 4 == 2, *want[i, t]) for i, t, *_ in odd_rows), key=repr)
+        assert [x[:3] for x in got] == [x[:3] for x in wanted]
+        assert [x[3] for x in got] == pytest.approx([x[3] for x in wanted], abs=1e-6)
+
+
+def test_many_languages_share_fewer_buckets(spark, monkeypatch):
+    from attestra.llm import language
+
+    monkeypatch.setattr(language, "MATRIX_CELLS", 1 << 14)
+    rows = [(i, f"{chr(97 + i % 26) * 2}{chr(98 + i % 25)} " * 9, f"l{i % 26}") for i in range(260)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.langs) == 26 and model.buckets == 512
+    assert sum(model.judged(t)[0] == x for _, t, x in rows) > 230
 
 
 def test_language_held_out_accuracy(spark):
@@ -70,8 +80,7 @@ def test_pieces_of_long_texts_lose_no_gram(monkeypatch):
     assert whole == plain_buckets(text)
     monkeypatch.setattr(language, "AT_ONCE", 100)
     pieces = Counter(itertools.chain.from_iterable(h.tolist() for h in gram_buckets(text)))
-    extra = pieces - whole
-    assert not whole - pieces and sum(extra.values()) <= 10  # bigrams where pieces meet
+    assert pieces == whole
 
 
 def test_model_without_languages():
@@ -165,6 +174,54 @@ def test_viterbi_finds_the_likeliest_split():
         assert cost(s.words(name)) == pytest.approx(max(map(cost, splits)))
 
 
+def test_long_words_and_letters_are_words_too():
+    s = u.Segmenter({"a": 5, "x" * 40: 3, "b": 1})
+    assert s.words("a" + "x" * 40 + "b") == ["a", "x" * 40, "b"]
+
+
+def plain_odds(rows):
+    """log odds of each (url, html), all counts in dictionaries."""
+    counts = Counter()
+    for url, html in rows:
+        counts.update(u.LETTERS.findall(u.TAGS.sub(" ", html or "").translate(u.ASCII_LOWER)))
+        counts.update(w for label in u.split_url(url)[0].split(".") if "-" in label for w in u.LETTERS.findall(label))
+    s = u.Segmenter(counts)
+    own, bad = [], []
+    for url, _ in rows:
+        host, path = u.split_url(url)
+        split = [(n[:2], w) for n in u.names(host, path) for w in (["0"] if n[2:] == "0" else s.words(n[2:]))]
+        rule = u.ruled(host, path)
+        bad.append(rule[0] == "block" if rule else any(w in u.UNWANTED for _, w in split))
+        own.append([m + w for m, w in split if w not in u.RULE_WORDS])
+    n = [Counter(), Counter()]
+    for words, b in zip(own, bad, strict=True):
+        n[b].update(words)
+    size = len(n[0] | n[1])
+    total = [sum(c.values()) + u.SMOOTHING * size for c in n]
+    prior = math.log((sum(bad) + u.SMOOTHING) / (len(bad) - sum(bad) + u.SMOOTHING))
+    return [prior + sum(math.log((n[1][w] + u.SMOOTHING) / total[1]) - math.log((n[0][w] + u.SMOOTHING) / total[0]) for w in words) for words in own]
+
+
+def test_log_odds_agree_with_plain_naive_bayes(spark):
+    rows = [(f"https://news{i % 7}.example.com/en/{i}", "<p>free bets on horses, cheap flights, été I a big farm</p>") for i in range(60)]
+    rows += [(f"http://{n}.example.{t}/{p}/{i}", None) for i in range(3) for n in ("casino-win", "cheappills", "bigfarm", "freebets") for t in ("com", "net", "org") for p in ("de", "fr", "en")]
+    rows += [(None, None), ("nothing", ""), ("http://" + "cheapbig" * 4000 + ".org/x", ""), ("://", "x"), ("http://ÄB.org/Q/é", "<style>a</style>")]
+    got = u.judged_urls(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string").repartition(3)).collect()
+    assert [r.log_odds for r in sorted(got)] == pytest.approx(plain_odds(rows), abs=1e-6)
+
+
+def test_verdicts_that_are_not_the_lists(spark):
+    """Held-out urls, which no rule fits: words that rules block are blocked without being listed, and a listed word that rules allow is allowed."""
+    rows = [(f"http://{w}.example.net/fr/{i}", "zorp widget") for i in range(40) for w in ("zorp", "widget")]
+    rows += [(f"http://{w}.example.org/fr/{i}", "poker garden club") for i in range(40) for w in ("poker-club", "garden")]
+    rows += [(f"http://garden-club.example.com/en/{i}", "") for i in range(40)]
+    held = {"http://zorpwidget.example.com/en/1": "block", "http://widget.example.org/en/2": "block", "http://poker-club.example.com/en/3": "allow", "http://garden.example.org/de/4": "allow"}
+    got = u.judged_urls(spark.createDataFrame([(i, *r) for i, r in enumerate([*rows, *((x, "") for x in held)])], "page_id long, url string, html string")).where(f"page_id >= {len(rows)}").collect()
+    assert all(r.rule is None for r in got) and [r.verdict for r in sorted(got)] == list(held.values())
+    listed = ["block" if any(w in x for w in u.UNWANTED) else "allow" for x in held]
+    assert sum(a != b for a, b in zip(listed, held.values(), strict=True)) == 3
+
+
 def test_urls_by_rule_and_by_words(spark):
     rows = [(i, f"https://news{i % 7}.example.com/en/{i}", "<p>free bets on horses, cheap flights, big farm</p>") for i in range(200)]
     rows += [(1000 + i, f"http://{n}.example.com/en/{i}", "<p>x</p>") for i in range(5) for n in ("casino-win", "cheappills", "spam-farm", "freebets")]
