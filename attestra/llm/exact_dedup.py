@@ -3,8 +3,8 @@
 Misra-Gries summaries of every partition's digests, added up, name all digests that may
 have a share of HEAVY_SHARE of the rows. Their true counts and winners are computed with
 a map-side aggregate; those that do have that share (at most 1 / HEAVY_SHARE digests) are
-broadcast and settle their rows where they are. All other digests are shuffled, and no
-group among them is larger than that share.
+broadcast and settle their rows where they are. All other digests are shuffled: counts and
+winners are aggregated, map side first, and joined back, so no group is gathered in one task.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestra.llm.common import ascii_lower, materialize
@@ -66,15 +66,15 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     winners = rows.join(F.broadcast(named.select("digest")), "digest", "left_semi").groupBy("digest").agg(*group).where(F.col("group_size") >= n * HEAVY_SHARE)
     winners = materialize(winners, "winners")
 
-    light = rows.join(F.broadcast(winners), "digest", "left_anti")
-    same = Window.partitionBy("digest")
-    light = light.withColumn("keep_id", F.max("doc_id").over(same)).withColumn("group_size", F.count("*").over(same))
+    light = rows.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
+    light = light.join(light.groupBy("digest").agg(*group), "digest")
     heavy = rows.join(F.broadcast(winners), "digest").select(*light.columns)
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     return heavy.unionByName(light).select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that exact_duplicates drops, in the columns of docs. Rows with an id that stays elsewhere are told apart by digest."""
-    kept = exact_duplicates(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("its_id"), F.unhex("text_sha256").alias("its_digest")).distinct()
-    return docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("its_id")) & (digest_of(F.col(text_col)) == F.col("its_digest")), "left_semi")
+def without_copies(docs: DataFrame) -> DataFrame:
+    """docs, in their columns, with one row of each group of equal texts: that with the largest doc_id; nulls before all others; of rows that repeat it, one."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    rows = docs.select(row, digest_of(F.col("text")).alias("digest"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"))
+    return rows.groupBy("digest").agg(F.max_by("row", "id").alias("row")).select("row.*")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.common import as_bytes, materialize
+from attestra.llm.common import as_bytes, materialize, sliced
 
 MIN_SITES = 10
 #: Sketches of 2**LG_K buckets: their estimates have a relative standard error of 1.04 / sqrt(2**LG_K).
@@ -59,7 +59,7 @@ def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, site_col: s
         gone = docs.sparkSession.sparkContext.broadcast(frozenset(rows.to_pylist()))
 
         def remove(batches: Iterator[pa.RecordBatch], gone=gone) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in sliced(batches):
                 n, texts = batch.column("n_removed").to_pylist(), as_bytes(batch.column("text"))
                 for i, text in enumerate(texts):
                     if text is not None:
@@ -71,4 +71,6 @@ def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, site_col: s
                 yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())], batch.schema.names)
 
         out = out.mapInArrow(remove, out.schema)
+        if block < blocks - 1:  # or all blocks would be in memory together
+            out = materialize(out, "lines-left")
     return out
