@@ -49,6 +49,14 @@ def industries(r: Release, digits: int = 2) -> DataFrame:
     return r["company"].select("corp", F.substring("code", 1, digits).alias("industry"))
 
 
+def with_cohort(found: DataFrame, values: DataFrame, keys: list[str], corp: str, digits: int) -> DataFrame:
+    """Adds rule and n_cohort (companies) of the company's industry."""
+    own = values.where(F.col("corp") == corp).select("industry", *keys).distinct()
+    sizes = values.join(own, ["industry", *keys], "left_semi").groupBy("industry", *keys).agg(F.countDistinct("corp").alias("n_cohort"))
+    rule = F.concat(F.lit(f"industry:{digits} digits:"), F.col("industry"))
+    return found.join(sizes.select(*keys, rule.alias("rule"), "n_cohort"), keys, "left")
+
+
 def known(column: str) -> Column:
     return F.when(F.col(column).isNotNull(), F.lit(AVAILABLE)).otherwise(F.lit(UNAVAILABLE))
 
@@ -66,8 +74,8 @@ def search_dataset(r: Release, query: str, limit: int = 100) -> DataFrame:
     """Companies, sections, notes and disclosures with the term: kind, id, label, score."""
     kinds = [
         ("company", r["company"].select(F.col("corp").alias("id"), F.col("name").alias("label"), F.col("name").alias("text"))),
-        ("section", r["section"].where(F.col("state") == AVAILABLE).select(F.col("receipt").alias("id"), F.col("topic").alias("label"), "text")),
-        ("note", r["note"].where(F.col("state") == AVAILABLE).select(F.col("receipt").alias("id"), F.col("topic").alias("label"), F.col("excerpt").alias("text"))),
+        ("section", r["section"].where(F.col("state") == AVAILABLE).select(F.col("receipt").alias("id"), F.col("topic").alias("label"), "text", F.col("start").alias("at"))),
+        ("note", r["note"].where(F.col("state") == AVAILABLE).select(F.col("receipt").alias("id"), F.col("topic").alias("label"), F.col("excerpt").alias("text"), F.col("locator.start").alias("at"))),
         ("disclosure", r["disclosure"].select(F.col("event_id").alias("id"), F.col("type").alias("label"), F.concat_ws(" ", "type", "attrs").alias("text"))),
     ]
     return search.search_dataset(kinds, query, limit)
@@ -101,22 +109,36 @@ def get_financial_snapshot(r: Release, corp: str, fy: int, accounts: Sequence[st
 
 @tool
 def compare_to_industry(r: Release, corp: str, account: str, fy: int, digits: int = 2) -> DataFrame:
+    """pct, median and gap, with the cohort: its rule and how many companies of it have the value."""
     values = facts_of(r, years=[fy]).where(F.col("account") == account).join(industries(r, digits), "corp")
-    return financial.compare_to_industry(values.select("corp", "fy", "industry", "value")).where(F.col("corp") == corp).withColumn("state", F.lit(SUMMARY_ONLY))
+    ranked = financial.compare_to_industry(values.select("corp", "fy", "industry", "value"))
+    return with_cohort(ranked.where(F.col("corp") == corp), values, ["fy"], corp, digits).withColumn("state", F.lit(SUMMARY_ONLY))
 
 
 @tool
 def compare_to_industry_multi(r: Release, corp: str, accounts: Sequence[str], fy: int, digits: int = 2) -> DataFrame:
     values = wide(r, bounded_keys(accounts), years=[fy]).join(industries(r, digits), "corp")
     ranked = financial.compare_to_industry_multi(values, accounts)
-    return ranked.where(F.col("corp") == corp).withColumn("state", derived(known("value")))
+    return with_cohort(ranked.where(F.col("corp") == corp), values, ["fy"], corp, digits).withColumn("state", derived(known("value")))
 
 
 @tool
 def get_quality_of_earnings_pack(r: Release, corp: str, years: Sequence[int]) -> DataFrame:
-    """Cash flow from operations to net income, growth of income, mean conversion: corp, fy, conversion, yoy, avg3, state."""
+    """Cash flow from operations to net income, growth of income, mean conversion: corp, fy, conversion, yoy, avg3, state; and the four parts of an answer."""
     values = wide(r, ["net_income", "operating_cash_flow"], [corp], years).select("corp", "fy", F.col("net_income").alias("gross"), F.col("operating_cash_flow").alias("net"))
-    return financial.quality_of_earnings(values).withColumn("state", derived(known("conversion")))
+    found = financial.quality_of_earnings(values).join(values, ["corp", "fy"]).join(receipts_of(r), ["corp", "fy"], "left")
+    parts = answer(
+        {"net_income": F.col("gross"), "operating_cash_flow": F.col("net")},
+        {c: F.col(c) for c in ("conversion", "yoy", "avg3")},
+        [F.when(F.col("conversion") < 0.8, F.lit("compare receivables with revenue")), F.when(F.col("yoy") < 0, F.lit("compare with the industry"))],
+        {"corp": F.col("corp"), "fy": F.col("fy"), "receipt": F.col("receipt"), "topic": F.lit("quality of earnings"), "state": derived(known("conversion"))},
+    )
+    return found.select("corp", "fy", "conversion", "yoy", "avg3", derived(known("conversion")).alias("state"), *parts)
+
+
+def receipts_of(r: Release) -> DataFrame:
+    """corp, fy, receipt: the latest filing of a year."""
+    return r["filing"].groupBy("corp", "fy").agg(F.max_by("receipt", F.struct("filed_at", "receipt")).alias("receipt"))
 
 
 @tool
@@ -130,7 +152,7 @@ def get_investor_signals(r: Release, corp: str, years: Sequence[int]) -> DataFra
     """corp, fy, facts, analysis, next_checks, provenance: the parts of an answer, apart."""
     money = wide(r, ["net_income", "operating_cash_flow", "debt", "equity"], [corp], years)
     events = r["disclosure"].where(F.col("corp") == corp).groupBy("corp", F.year("ts").alias("fy")).agg(F.count("*").alias("n_events"))
-    receipts = r["filing"].groupBy("corp", "fy").agg(F.max_by("receipt", "filed_at").alias("receipt"))
+    receipts = receipts_of(r)
     rows = grid(r["company"].where(F.col("corp") == corp).select("corp"), bounded_keys(years)).join(money, ["corp", "fy"], "left").join(events, ["corp", "fy"], "left").join(receipts, ["corp", "fy"], "left")
     conversion, leverage = F.try_divide("operating_cash_flow", "net_income"), F.try_divide("debt", "equity")
     parts = answer(
@@ -180,7 +202,16 @@ def concern_factors(r: Release, corps: Sequence[str] | None, years: Sequence[int
 
 @tool
 def score_going_concern(r: Release, corp: str, years: Sequence[int]) -> DataFrame:
-    return audit.score_going_concern(concern_factors(r, [corp], years), CONCERN)
+    """points, evaluated, missing, state; and the parts of an answer: factors as facts, the score as analysis, missing factors as next checks."""
+    factors = concern_factors(r, [corp], years)
+    found = factors.join(audit.score_going_concern(factors, CONCERN), ["corp", "fy"]).join(receipts_of(r), ["corp", "fy"], "left")
+    parts = answer(
+        {c: F.col(c) for c in CONCERN},
+        {c: F.col(c) for c in ("points", "evaluated", "missing")},
+        [F.when(F.col(c).isNull(), F.lit(f"look for what {c} needs")) for c in CONCERN],
+        {"corp": F.col("corp"), "fy": F.col("fy"), "receipt": F.col("receipt"), "topic": F.lit("going concern"), "state": F.col("state")},
+    )
+    return found.select("corp", "fy", "points", "evaluated", "missing", "state", *parts)
 
 
 @tool
@@ -223,7 +254,8 @@ def leads(r: Release, corps: DataFrame | None = None) -> DataFrame:
 
 @tool
 def get_audit_history(r: Release, corp: str) -> DataFrame:
-    return audit.audit_history(leads(r).where(F.col("corp") == corp))
+    """auditor, prior, status, tenure; the year's receipt; computed, so summary_only."""
+    return audit.audit_history(leads(r).where(F.col("corp") == corp)).join(receipts_of(r), ["corp", "fy"], "left").withColumn("state", F.lit(SUMMARY_ONLY))
 
 
 @tool
@@ -242,7 +274,7 @@ def get_subsidiary_auditors(r: Release, parent: str, fy: int, depth: int = 3) ->
 def get_industry_audit_landscape(r: Release, prefix: str, fy: int, digits: int = 2) -> DataFrame:
     companies = industries(r, digits).where(F.col("industry").startswith(search_term(prefix)))
     fees = r["engagement"].where(F.col("fy") == fy).join(companies, "corp").select("industry", "auditor", (F.coalesce("audit_fee", F.lit(0)) + F.coalesce("non_audit_fee", F.lit(0))).alias("fee"))
-    return audit.industry_audit_landscape(fees)
+    return audit.industry_audit_landscape(fees).withColumn("fy", F.lit(fy)).withColumn("rule", F.lit(f"prefix:{prefix}")).withColumn("state", F.lit(SUMMARY_ONLY))
 
 
 @tool
@@ -260,9 +292,13 @@ def compare_peer_audit_fees(r: Release, cohort: DataFrame, fy: int) -> DataFrame
 
 @tool
 def get_audit_report_sections(r: Release, corp: str, fy: int, topic: str | None = None) -> DataFrame:
+    """The sections of a year's audit report (of one topic); one row without a source, ``unavailable``, where there is none."""
     sections = r["section"].where((F.col("corp") == corp) & (F.col("fy") == fy) & (F.col("kind") == "audit"))
-    sections = sections if topic is None else sections.where(F.col("topic") == topic)
-    return sections.select("corp", "fy", "receipt", "topic", "start", "end", shown(F.col("text"), F.col("state")).alias("text"), "state")
+    asked = r.spark.range(1).select(F.lit(corp).alias("corp"), F.lit(fy).alias("fy"))
+    if topic is not None:
+        sections, asked = sections.where(F.col("topic") == topic), asked.withColumn("topic", F.lit(topic))
+    found = asked.join(sections, asked.columns, "left").withColumn("state", F.coalesce("state", F.lit(UNAVAILABLE)))
+    return found.select("corp", "fy", "receipt", "topic", "start", "end", shown(F.col("text"), F.col("state")).alias("text"), "state")
 
 
 def _search_kind(r: Release, kind: str, query: str, cohort: DataFrame | None, limit: int) -> DataFrame:
@@ -285,8 +321,10 @@ def search_audit_procedures(r: Release, query: str, cohort: DataFrame | None = N
 
 @tool
 def get_kam_lifecycle(r: Release, corp: str, last: int, topic: str | None = None) -> DataFrame:
-    topics = r["kam"].where(F.col("corp") == corp).select("corp", "topic", "fy").distinct()
-    return audit.kam_lifecycle(topics if topic is None else topics.where(F.col("topic") == topic), last)
+    """entry and exit of each matter, with the receipt that names it; the places in the cycle are computed, so summary_only."""
+    named = r["kam"].where(F.col("corp") == corp).groupBy("corp", "topic", "fy").agg(F.min("receipt").alias("receipt"))
+    named = named if topic is None else named.where(F.col("topic") == topic)
+    return audit.kam_lifecycle(named.drop("receipt"), last).join(named, ["corp", "topic", "fy"]).withColumn("state", F.lit(SUMMARY_ONLY))
 
 
 # accounting notes

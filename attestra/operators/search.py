@@ -24,9 +24,10 @@ def search_company(companies: DataFrame, query: str, limit: int = 20) -> DataFra
 
 
 def search_dataset(kinds: Sequence[tuple[str, DataFrame]], query: str, limit: int = 100) -> DataFrame:
-    """kinds: (kind, DataFrame of id, label, text), ids of one type. Hits of all kinds by number of occurrences, then by kind and id."""
+    """kinds: (kind, DataFrame of id, label, text and, where ids repeat, at), ids of one type. Hits of all kinds by number of occurrences, then by kind, id, label and at."""
     out = None
     for kind, df in kinds:
-        hits = df.select(F.lit(kind).alias("kind"), "id", "label", occurrences(F.col("text"), query).alias("score")).where("score > 0")
+        at = F.col("at").cast("long") if "at" in df.columns else F.lit(0).cast("long")
+        hits = df.select(F.lit(kind).alias("kind"), "id", "label", at.alias("at"), occurrences(F.col("text"), query).alias("score")).where("score > 0")
         out = hits if out is None else out.unionByName(hits)
-    return out.orderBy(F.desc("score"), "kind", "id").limit(bounded_limit(limit))
+    return out.orderBy(F.desc("score"), "kind", "id", "label", "at").limit(bounded_limit(limit)).drop("at")

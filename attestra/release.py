@@ -43,6 +43,17 @@ class Release:
     def __getitem__(self, name: str) -> DataFrame:
         return self.tables[name] if name in self.tables else self.spark.createDataFrame([], SCHEMAS[name])
 
+    def features(self) -> DataFrame:
+        """Per table that tells of companies and years, and year: companies that it tells of, and their share of the release's: what a release can answer, table by table."""
+        n = F.lit(self["company"].select("corp").distinct().count())
+        out = None
+        for name in self.tables:
+            df = self[name]
+            if {"corp", "fy"} <= set(df.columns):
+                rows = df.groupBy("fy").agg(F.countDistinct("corp").alias("n_sourced")).select(F.lit(name).alias("table"), "fy", n.alias("n_companies"), "n_sourced", F.try_divide("n_sourced", n).alias("ratio"))
+                out = rows if out is None else out.unionByName(rows)
+        return out
+
     def coverage(self) -> DataFrame:
         """Per year: companies in the release, those with a filing, and their share. Grades are this ratio and no more."""
         known = self["company"].select("corp").distinct()

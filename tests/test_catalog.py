@@ -184,3 +184,23 @@ def test_an_empty_release_knows_nothing(spark):
     empty = Release(spark, {})
     assert rows(c.get_accounting_policy(empty, "001", 2023, ["leases"])) == []
     assert rows(c.search_dataset(empty, "x")) == []
+
+
+def test_results_say_where_they_come_from(release):
+    assert {r["state"] for r in rows(c.get_audit_history(release, "001"))} == {"summary_only"} and by(c.get_audit_history(release, "001"), "fy")[2023]["receipt"] == "r0012023"
+    life = rows(c.get_kam_lifecycle(release, "001", 2023))
+    assert life and all(r["receipt"] and r["state"] == "summary_only" for r in life)
+    got = rows(c.compare_to_industry(release, "002", "revenue", 2023))[0]
+    assert (got["rule"], got["n_cohort"]) == ("industry:2 digits:26", 3)
+    assert all(r["rule"] == "prefix:26" and r["state"] == "summary_only" for r in rows(c.get_industry_audit_landscape(release, "26", 2023)))
+    missing = rows(c.get_audit_report_sections(release, "004", 2023, "opinion"))
+    assert [(r["corp"], r["topic"], r["text"], r["state"]) for r in missing] == [("004", "opinion", None, "unavailable")]
+    concern = by(c.score_going_concern(release, "001", [2023, 2024]), "fy")
+    assert concern[2023]["provenance"]["receipt"] == "r0012023" and len(concern[2024]["next_checks"]) == 6 and concern[2023]["facts"]["modified_opinion"]
+    pack = by(c.get_quality_of_earnings_pack(release, "001", [2023]), "fy")[2023]
+    assert pack["facts"]["net_income"] == 12 and pack["provenance"]["topic"] == "quality of earnings"
+
+
+def test_features(release):
+    got = {(r["table"], r["fy"]): r["n_sourced"] for r in rows(release.features())}
+    assert got["filing", 2023] == 3 and got["kam", 2021] == 1 and ("company", None) not in got
