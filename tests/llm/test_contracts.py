@@ -48,7 +48,8 @@ def test_exact_dedup(odd, odd_rows):
     assert as_rows(exact_duplicates(odd)) == sorted(want, key=repr)
     left = without_copies(odd)
     assert left.columns == odd.columns
-    assert {digest(r.text) for r in left.collect()} == set(groups)
+    ids = {d: max((x for x in group if x is not None), default=None) for d, group in groups.items()}
+    assert sorted((digest(r.text), str(r.doc_id)) for r in left.collect()) == sorted((d, str(i)) for d, i in ids.items())
 
 
 def test_substring_dedup(odd, odd_rows):
@@ -76,8 +77,8 @@ def test_substring_dedup_with_small_chunks_and_frequent_hashes(odd, odd_rows, sp
     from attestra.llm import substring_dedup as s
 
     want = as_rows(without_repeats(odd))
-    monkeypatch.setattr(s, "frequent_hashes", lambda docs: __import__("numpy").arange(0, dtype="uint64"))
-    monkeypatch.setattr(s, "SHARDS_PER_PARTITION", 1)
+    monkeypatch.setattr(s, "frequent_routes", lambda docs: __import__("numpy").arange(0, dtype="uint64"))
+    monkeypatch.setattr(s, "SHARD_BYTES", 100_000)
     assert as_rows(without_repeats(odd)) == want
 
 
@@ -159,8 +160,20 @@ def test_decontamination_in_blocks(odd, spark, monkeypatch):
 
     bench = spark.createDataFrame([(i, " ".join(f"p{x}" for x in range(i, i + 30))) for i in range(20)], "item_id long, text string")
     want = as_rows(contaminated(odd, bench))
+    left = as_rows(without_benchmark(odd, bench))
     monkeypatch.setattr(d, "BLOCK_BYTES", 300)
     assert as_rows(contaminated(odd, bench)) == want
+    assert as_rows(without_benchmark(odd, bench)) == left
+
+
+def test_line_dedup_in_blocks(spark, monkeypatch):
+    from attestra.llm import line_dedup as ld
+
+    docs = spark.createDataFrame([(i, f"head {i % 3}\nown {i}\nfoot {i % 2}", f"site{i}") for i in range(40)], "doc_id long, text string, source string")
+    want = as_rows(without_boilerplate(docs, 5))
+    assert {r[3] for r in want} == {f"own {i}" for i in range(40)}
+    monkeypatch.setattr(ld, "BLOCK_LINES", 2)
+    assert as_rows(without_boilerplate(docs, 5)) == want
 
 
 def test_sharding(odd, odd_rows):
@@ -190,6 +203,34 @@ def test_shards_are_even_and_groups_stay_together(spark):
     assert all(len(s) == 1 for t, s in shards.items() if not t.startswith("one hot"))
 
 
+def test_large_groups_stay_whole(spark):
+    """Groups of equal texts of 0.05 to 1 shard, none split; shards even within the stated tolerance; the rest fills up what they leave."""
+    shards, part = 16, 40_000
+    parts = [1.0] * 2 + [0.9] * 2 + [0.6] * 3 + [0.5] * 4 + [0.3] * 5 + [0.1] * 8 + [0.05] * 16
+    rows, at = [], 0
+    for g, x in enumerate(parts):
+        for _ in range(round(x * part / 100)):
+            rows.append((at, f"group {g} ".ljust(84, "x")))
+            at += 1
+    rest = (shards * part - 100 * len(rows)) // 50
+    rows += [(at + i, f"single {i} ".ljust(34, "y")) for i in range(rest)]
+    got = shard_by_splitters(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), shards=shards).collect()
+    sizes, where, text = Counter(), defaultdict(set), dict(rows)
+    for r in got:
+        sizes[r.shard] += r.size
+        where[text[r.doc_id]].add(r.shard)
+    assert len(got) == len(rows) and all(len(x) == 1 for x in where.values())
+    assert len(sizes) == shards and all(abs(n / part - 1) < 0.07 for n in sizes.values()), sizes
+
+
+def test_packing_cuts_only_what_no_shard_can_hold():
+    from attestra.llm.sharding import packed
+
+    pieces, load = packed([(1, 250), (2, 60), (3, 60), (4, 25)], 4, 100.0)
+    assert sum(load) == 395 and max(load) <= 105
+    assert [p[0] for p in pieces].count(1) == 3 and {h: n for h, n in Counter(p[0] for p in pieces).items() if h in (2, 4)} == {2: 1, 4: 1}
+
+
 def brute_targets(sizes):
     order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     weight = {s: i % 3 + 1 for i, s in enumerate(order)}
@@ -249,6 +290,58 @@ def test_permutations_hit_every_index(spark, n):
     assert n < 10 or [r.a for r in df] != [r.b for r in df]
 
 
+def test_targets_of_many_sources(spark, monkeypatch):
+    """Levels and places agree with sharing anew source by source, also where sources are numbered by several tasks."""
+    import random
+
+    from attestra.llm import mixing as m
+
+    monkeypatch.setattr(m, "SOURCE_CHUNK", 7)
+    rng = random.Random(9)
+    sizes = {s: rng.choice([0, 1, 5, 40, 300, 9000]) for s in [None, "", "ß", "Z", "a", *(f"s{i}" for i in range(40))]}
+    got = m.source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    assert {r.source: r.sid for r in got} == {s: i for i, s in enumerate(order)}
+    assert {r.source: pytest.approx(r.target) for r in got} == brute_targets(sizes)
+
+
+def test_source_counts_of_shards_are_multinomial_given_their_sum(spark):
+    """Mean and variance over 80 seeds of what the permutation gives a shard of each source; the same without the condition is a multinomial draw."""
+    from statistics import mean, variance
+
+    from pyspark.sql import functions as F
+
+    from attestra.llm.mixing import permuted
+
+    counts, shard, seeds = {0: 300, 1: 900, 2: 60}, 400, 80
+    n = sum(counts.values())
+    rows = spark.range(n).withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1)))).withColumn("sid", F.when(F.col("id") < 300, 0).when(F.col("id") < 1200, 1).otherwise(2))
+    found = rows.where(permuted(F.col("id"), F.lit(n).cast("long"), F.col("seed")) < shard).groupBy("seed", "sid").count().collect()
+    for sid, size in counts.items():
+        drawn = [r["count"] for r in found if r.sid == sid]
+        want, spread = shard * size / n, shard * size / n * (1 - size / n) * (n - shard) / (n - 1)
+        assert len(drawn) == seeds and abs(mean(drawn) - want) < 4 * (spread / seeds) ** 0.5
+        assert 0.6 < variance(drawn) / spread < 1.6
+
+
+def test_taken_agrees_with_blocks_counted_one_by_one(odd, odd_rows):
+    """taken, from the slots: each block's words, as often as it is drawn; passes before the last draw every block once."""
+    from attestra.llm.mixing import Mix
+
+    mix = Mix(odd, block_words=16)
+    drawn = defaultdict(Counter)
+    for r in mix.slots().collect():
+        drawn[r.sid][r.block] += 1
+    for r in mix.sources.collect():
+        times = sorted(drawn[r.sid].values())
+        assert sum(times) == r.n_slots and (not times or times[-1] - (times[0] if len(times) == r.n_blocks else 0) <= 1)
+    want, rest = Counter(), {r.rid: r for r in mix.rows.collect()}
+    for r in mix.streamed.collect():
+        want[r.rid] = sum(drawn[r.sid][p // 16] for p in range(r.start, r.start + r.size))
+    got = Counter((r.doc_id, r.size, r.taken) for r in mix_counts(odd, block_words=16).collect())
+    assert got == Counter((r.doc_id, r.size, want[i]) for i, r in rest.items())
+
+
 def test_line_dedup(odd, odd_rows, spark):
     rows = [(1000 + i, f"own {i}\n  boiler plate \t\nrare line\r\n\n" if i < 9 else f"boiler plate\n{'rare line' if i == 9 else ''}", "en", f"site{i // 2 if i < 12 else i}", 0) for i in range(30)]
     rows += [*odd_rows, (5000, "boiler plate", None, None, 0), (5001, None, None, None, 0)]
