@@ -1,9 +1,7 @@
-"""What several operators share: written intermediate tables, checked broadcasts, text batches."""
+"""What several operators share: text batches, one row of each group, ranks."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from math import ulp
 
@@ -11,10 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attestra.tables import discard, materialize, small
+
+__all__ = ["discard", "materialize", "small"]
+
 #: Words are runs of anything but ASCII white space, as Python's bytes.split() and this pattern both have it.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows up to which a table of a few short columns may be broadcast.
-BROADCAST_ROWS = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LAST_ID = 2**63 - 1
 #: Bins of a search for a rank.
@@ -25,48 +25,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder. Where the setting is unset, a temporary one in local mode only: on a cluster each machine would write to its own disk."""
-    if not (path := spark.conf.get("spark.checkpoint.dir", None)):
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = tempfile.mkdtemp(prefix="attestra-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def _folder(spark: SparkSession, path: str):  # noqa: ANN202
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df once to the shared folder and reads it back: lineage ends there, and lost executors lose nothing.
-
-    The files go when the application ends, or by discard().
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/attestra-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    files, where = _folder(spark, path)
-    files.deleteOnExit(where)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.written_at = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes the files of materialized tables that nothing will read again."""
-    for df in tables:
-        files, where = _folder(df.sparkSession, df.written_at)
-        files.delete(where, True)
-
-
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most ``limit`` rows, else as it is (then Spark shuffles). df: written before, so counting is cheap."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """docs, in their columns, with one row of each group: that with the smallest doc_id, nulls last; of rows that repeat it, one.
 
@@ -74,8 +32,8 @@ def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
     Those that go, and those of which only one stays, are marked; all others pass.
     """
     id_and_text = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "th")
-    least = groups.groupBy("root").agg(F.min(id_and_text).alias("least"))
-    keys = groups.groupBy("root", "doc_id", "th").agg(F.count("*").alias("n")).join(least, "root").withColumn("thin", id_and_text.eqNullSafe(F.col("least")))
+    least = materialize(groups.groupBy("root").agg(F.min(id_and_text).alias("least")), "least")
+    keys = groups.groupBy("root", "doc_id", "th").agg(F.count("*").alias("n")).join(small(least), "root").withColumn("thin", id_and_text.eqNullSafe(F.col("least")))
     marked = materialize(keys.where("NOT thin OR n > 1").select(F.xxhash64("doc_id", "th").alias("key"), "th", "thin"), "marked")
     th = F.xxhash64(F.col("text"))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.xxhash64(F.col("doc_id").cast("long"), th).alias("key"), th.alias("th")).join(small(marked), ["key", "th"], "left")
@@ -99,6 +57,13 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that Python holds few rows at once as objects of its own."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, rows):
+            yield batch.slice(begin, rows)
+
+
 def by_volume(texts: list[bytes], most: int = 1 << 20) -> Iterator[range]:
     """Consecutive index ranges of about ``most`` bytes, so that work arrays stay small whatever a batch holds. A longer text is a range of its own."""
     begin, total = 0, 0

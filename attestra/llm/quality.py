@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.common import as_bytes, by_volume, kth_largest, materialize
+from attestra.llm.common import as_bytes, by_volume, kth_largest, materialize, sliced
 from attestra.llm.shingles import Words
 
 LG_BUCKETS = 16
@@ -41,7 +41,7 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A partition's counts: bucket, raw, target. Columns: text, whether it is target text."""
     raw, target = np.zeros(1 << LG_BUCKETS, np.int64), np.zeros(1 << LG_BUCKETS, np.int64)
-    for batch in batches:
+    for batch in sliced(batches):
         texts, wanted = as_bytes(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
         for part in by_volume(texts):
             bucket, text = grams(texts[part.start : part.stop])
@@ -81,7 +81,7 @@ def resampled(docs: DataFrame, labels: DataFrame, keep: float | None = None, see
     shared = docs.sparkSession.sparkContext.broadcast(log_ratios(docs, materialize(target, "target")))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [t or b"" for t in as_bytes(batch.column(1))]
             weights = np.zeros(len(texts))
             for part in by_volume(texts):

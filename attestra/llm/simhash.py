@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm.common import as_bytes, materialize, one_of_each
+from attestra.llm.common import as_bytes, materialize, one_of_each, sliced, small
 from attestra.llm.components import components
 
 SHINGLE = 3
@@ -62,7 +62,7 @@ def majority(ones: np.ndarray, n: int) -> int:
 
 
 def fingerprinted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         prints = np.array([fingerprint(t) for t in as_bytes(batch.column(2))], np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints)], ["doc_id", "th", "fp"])
 
@@ -229,8 +229,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     an id. Repeated rows are rows of one group. Other columns are not looked at; an empty table gives an empty result.
     """
     rows = materialize(groups(docs, id_col, text_col), "groups")
-    least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(least, "root").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    least = materialize(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")  # written, so that Spark can split a large group's rows in the join
+    return rows.join(small(least), "root").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:

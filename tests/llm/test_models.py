@@ -113,6 +113,21 @@ def test_quality_agrees_with_plain_models(spark):
     assert {r.doc_id: pytest.approx(r.log_weight) for r in got.collect()} == want
 
 
+def test_quality_takes_the_top_of_gumbel_noise(spark):
+    """Kept rows are the k largest of weight and noise; the noise follows Gumbel's law; long texts, clashing names and repeated null ids are rows like any other."""
+    rows = [(i, f"w{i % 50} v{i % 7}", 1.0, "k") for i in range(4000)] + [(None, "x " * 200_000, 1.0, "k"), (None, "x y", 1.0, "k"), (None, None, 1.0, "k"), (7, "", 1.0, "k")]
+    labels = [(i, i % 3 == 0, 0) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, perturbed double, kept string")
+    got = resampled(docs, spark.createDataFrame([(i, int(a), b) for i, a, b in labels], "doc_id long, quality int, toxic int"), keep=0.3).collect()
+    order = sorted((r.perturbed for r in got), reverse=True)
+    k = math.ceil(0.3 * len(rows))
+    assert len(got) == len(rows) and {r.perturbed for r in got if r.kept} == set(order[:k]) and sum(r.kept for r in got) >= k
+    noise = np.array([r.perturbed - r.log_weight for r in got if r.doc_id is not None and r.doc_id != 7])
+    assert abs(noise.mean() - 0.5772) < 0.08 and abs(noise.var() - math.pi**2 / 6) < 0.25
+    share = np.mean(noise < 1.0)
+    assert abs(share - math.exp(-math.exp(-1.0))) < 0.03
+
+
 def test_quality_prefers_labelled_good(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     kept = {r.quality: r.share for r in resampled(docs, labels).join(labels, "doc_id").selectExpr("quality", "cast(kept as int) k").groupBy("quality").agg({"k": "avg"}).withColumnRenamed("avg(k)", "share").collect()}

@@ -58,3 +58,9 @@ def test_run(spark):
     assert [n for n, _ in p.STAGES] == ["language_id", "simhash_dedup", "decontamination", "mixing", "sharding"]
     first, again = (as_rows(p.run(spark, str(DATA)).select("doc_id", "size", "text_crc32")) for _ in range(2))
     assert first and first == again
+
+
+def test_run_over_empty_tables(spark, tmp_path):
+    for name in ("documents", "benchmark"):
+        spark.read.parquet(f"{DATA}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert p.run(spark, str(tmp_path)).count() == 0
