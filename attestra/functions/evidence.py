@@ -61,3 +61,8 @@ def answer(facts: dict[str, Column], analysis: dict[str, Column], next_checks: S
     parts = {"facts": facts, "analysis": analysis, "provenance": provenance}
     structs = {name: F.struct(*(c.alias(k) for k, c in columns.items())).alias(name) for name, columns in parts.items()}
     return [structs["facts"], structs["analysis"], F.array_compact(F.array(*next_checks)).alias("next_checks"), structs["provenance"]]
+
+
+def response(df: DataFrame) -> DataFrame:
+    """One JSON string for each row, nulls included, so that what is missing is seen: what a caller of a tool gets."""
+    return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("response"))

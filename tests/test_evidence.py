@@ -138,3 +138,28 @@ def test_context_states(spark):
     a = spark.createDataFrame([("a", 2020, 1)], "corp string, fy int, x int")
     b = spark.createDataFrame([("a", 2020, 2), ("b", 2020, 3)], "corp string, fy int, y int")
     assert rows(semantic.company_context(a, b)) == [("a", 2020, 1, 2, "available"), ("b", 2020, None, 3, "summary_only")]
+
+
+def test_a_response_shows_what_is_missing(spark):
+    import json
+
+    from attestra.functions.evidence import response
+
+    df = spark.sql("SELECT '001' AS corp, named_struct('receipt', CAST(NULL AS string), 'state', 'unavailable') AS provenance, array('a') AS next_checks, CAST(NULL AS double) AS value")
+    assert json.loads(response(df).first().response) == {"corp": "001", "provenance": {"receipt": None, "state": "unavailable"}, "next_checks": ["a"], "value": None}
+
+
+def test_intermediate_tables_need_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from attestra.tables import shared_dir
+
+    def session(**conf):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: conf.get(key, default)))
+
+    assert shared_dir(session(**{"spark.master": "yarn", "spark.checkpoint.dir": "hdfs://a/b/"})) == "hdfs://a/b"
+    for master in ("yarn", "local-cluster[3,2,1000]", "spark://x:7077"):
+        with pytest.raises(ValueError):
+            shared_dir(session(**{"spark.master": master}))

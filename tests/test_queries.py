@@ -45,3 +45,13 @@ def test_filters_and_columns_reach_the_scan(spark):
     plan = proxies.filings(spark, str(DATA), range(1995, 2001))._jdf.queryExecution().toString()
     assert "GreaterThanOrEqual(o_orderdate" in plan
     assert "ReadSchema" in plan and "o_orderpriority" not in plan.split("ReadSchema")[1]
+
+
+def test_fees_and_packs_read_lines_once(spark):
+    """What ranks and packs need more than once is written: their last plans shuffle little and scan no lines again."""
+    from .conftest import DATA
+
+    plan = QUERIES["peer_fees"](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem" not in plan and plan.count("Exchange hashpartitioning") <= 8
+    plan = QUERIES["acceptance_pack"](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lineitem.parquet") == 1
