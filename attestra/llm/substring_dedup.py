@@ -1,17 +1,19 @@
 """Substring dedup with an FM-index per shard.
 
 A window is WINDOW consecutive words. Windows are dealt to shards by content: by the least
-hash of GRAM consecutive words within, which neighbouring windows share, so that what is
-shuffled are short runs of words, and all places of one word sequence meet in one shard.
-There, runs of windows whose hash is in two documents are indexed (suffix order, wavelet
-matrix over the Burrows-Wheeler transform) and streamed against the index: backward search
-gives, for each window, the interval of suffixes that start with its very words, and so the
-smallest id that has them.
-
-Before the shuffle, windows that a smaller id has in the same chunk of a task are settled
-there, words compared, so that a passage in a third of all documents is sent once for each
-chunk. Windows around it, which share its least hash, are dealt by a hash of their own where a
-sample of documents shows that hash to be frequent; the sample decides nothing else.
+hash of GRAM consecutive words within (the route), which neighbouring windows share, so that
+what is shuffled are short runs of words, and all places of one word sequence meet in one
+shard. Shards are as many as the text's bytes ask for. A shard indexes its runs (suffix order,
+wavelet matrix over the Burrows-Wheeler transform) and streams them against the index: backward
+search gives, for each window, the interval of suffixes that start with its very words, and so
+the smallest id that has them. Runs whose route no other document has are passed over: they have
+nothing to be held against. Memory is bounded by INDEX_WORDS: routes are indexed in groups of that
+size, and a larger one is dealt on by its windows' hashes.
+
+Routes that a sample of documents shows to be frequent would make hot shards. Their windows are
+indexed and searched within each chunk of a task first, so that a passage in a third of all
+documents is sent once for each chunk, and go to shards by a hash of their own. The sample
+decides on load, not on results.
 """
 
 from __future__ import annotations
@@ -29,17 +31,19 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.common import LAST_ID, as_bytes, by_volume, materialize
+from attestra.llm.common import LAST_ID, as_bytes, by_volume, materialize, small
 from attestra.llm.fm_index import FmIndex
 from attestra.llm.shingles import WORD_BASE, mixed
 
 WINDOW, GRAM = 13, 3
-#: UTF-8 bytes of text taken at once, about, and windows in a run at most.
-CHUNK_BYTES, RUN_MOST = 8 << 20, 24
-#: Documents (about) that frequent hashes are looked for in; the part of these that makes a hash frequent.
-SAMPLE_DOCS, FREQUENT = 2000, 0.02
-#: Shards for each shuffle partition: more of them need less memory at once.
-SHARDS_PER_PARTITION = 2
+#: UTF-8 bytes of text taken at once, about; windows in a run at most; UTF-8 bytes of text for each shard.
+CHUNK_BYTES, RUN_MOST, SHARD_BYTES = 8 << 20, 24, 8 << 20
+#: Words in one index, about.
+INDEX_WORDS = 4_000_000
+#: A route is frequent if it is in this share of documents, or in so many of them; it then occurs SEEN times in the sample, about.
+FREQUENT, ROUTE_DOCS, SEEN = 0.02, 50_000, 40
+#: Frequent routes at most (the most frequent); 8 bytes each are broadcast.
+FREQUENT_MOST = 1 << 22
 
 
 def chained(h: np.ndarray, k: int) -> np.ndarray:
@@ -61,7 +65,7 @@ def least_of(h: np.ndarray, k: int) -> np.ndarray:
 
 
 class Chunk:
-    """Words of some texts: number in vocabulary, text, place in the text; windows by their first word."""
+    """Words of some texts: number in vocabulary, text, place in the text; windows by their first word, each with its route and whether that is frequent."""
 
     def __init__(self, texts: list[bytes], frequent: np.ndarray) -> None:
         words = [t.split() for t in texts]
@@ -69,6 +73,7 @@ class Chunk:
         numbers: defaultdict[bytes, int] = defaultdict(count().__next__)
         self.ids = np.fromiter(map(numbers.__getitem__, chain.from_iterable(words)), np.int32, int(self.lengths.sum()))
         self.vocabulary = np.array(list(numbers), object)
+        self.sizes = np.fromiter(map(len, numbers), np.int64, len(numbers)) + 1
         del words
         self.text = np.repeat(np.arange(len(texts), dtype=np.int32), self.lengths)
         begin = (np.cumsum(self.lengths) - self.lengths).astype(np.int32)
@@ -77,24 +82,9 @@ class Chunk:
         self.windows = np.flatnonzero(self.place[:n] + WINDOW <= self.lengths[self.text[:n]])
         if len(self.windows):
             h = np.array([xxhash.xxh64_intdigest(w) for w in numbers], np.uint64)[self.ids]
-            self.hashes = chained(h, WINDOW)[self.windows]
-            route = least_of(chained(h, GRAM), WINDOW - GRAM + 1)[self.windows]
-            self.route = np.where(np.isin(route, frequent), self.hashes, route) if len(frequent) else route
-
-    def settled(self, owner: np.ndarray) -> np.ndarray:
-        """Whether a text of a smaller owner in this chunk has the window's words. owner: of each window."""
-        order = np.argsort(self.hashes, kind="stable")
-        same = self.hashes[order][1:] == self.hashes[order][:-1]
-        a, b = self.windows[order[1:][same]], self.windows[order[:-1][same]]
-        equal = np.ones(len(a), bool)
-        for i in range(WINDOW):
-            equal &= self.ids[a + i] == self.ids[b + i]
-        same[same] = equal
-        starts = np.flatnonzero(np.concatenate([[True], ~same]))
-        least = np.minimum.reduceat(owner[order], starts)
-        out = np.empty(len(order), bool)
-        out[order] = owner[order] > np.repeat(least, np.diff(np.append(starts, len(order))))
-        return out
+            self.route = least_of(chained(h, GRAM), WINDOW - GRAM + 1)[self.windows]
+            self.frequent = np.isin(self.route, frequent)
+            self.route[self.frequent] = chained(h, WINDOW)[self.windows[self.frequent]]
 
 
 def runs(*columns: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,87 +112,134 @@ def packed(*parts: object) -> bytes:
     return zstandard.compress(pickle.dumps(parts, 5), 3)
 
 
-def dealt(ids: list[int], texts: list[bytes], shards: int, frequent: np.ndarray, turn: int) -> Iterator[tuple[int, bytes]]:
-    """(shard, runs of words) of a chunk; and what is settled in it, as a message to no shard (a negative number)."""
+#: Columns of a message: windows, text, place, half of the route, and bytes (with a blank after each word) of each run; id and key of each text. Numbers that go up are told by their steps.
+OF_RUNS, OF_TEXTS = (np.uint8, np.int32, np.int32, np.uint32, np.uint32), (np.int64, np.int64)
+
+
+def message(words: bytes, *columns: np.ndarray) -> bytes:
+    """Runs for a shard. words: of all runs, one blank between them."""
+    length, own, place, route, size, ids, keys = columns
+    parts = zip(OF_RUNS + OF_TEXTS, (length, np.diff(own, prepend=0), place, route, size, np.diff(ids, prepend=0), keys), strict=True)
+    return zstandard.compress(b"".join([np.array([len(length), len(ids)], np.int32).tobytes(), *(c.astype(kind).tobytes() for kind, c in parts), words]), 3)
+
+
+def opened(packet: bytes) -> tuple[bytes, list[np.ndarray]]:
+    """What message() was given."""
+    raw = zstandard.decompress(packet)
+    n_runs, n_texts = np.frombuffer(raw, np.int32, 2).tolist()
+    columns, at = [], 8
+    for kinds, n in ((OF_RUNS, n_runs), (OF_TEXTS, n_texts)):
+        for kind in kinds:
+            columns.append(np.frombuffer(raw, kind, n, at))
+            at += columns[-1].nbytes
+    return raw[at:], [np.cumsum(c) if i in (1, 5) else c for i, c in enumerate(columns)]
+
+
+def repeated(words: np.ndarray, length: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """words: numbers from 1, of runs one after the other; length: words of each run. Runs of windows that a smaller owner has too: run, first window, number of windows."""
+    text, start, least = FmIndex(words, length, owner, WINDOW).streamed()
+    later = least < owner[text]
+    text, start = text[later], start[later]
+    order = np.lexsort((start, text))
+    text, start = text[order], start[order]
+    first, n = runs(text, step=start)
+    return text[first], start[first], n
+
+
+def dealt(ids: list[int], keys: list[int], texts: list[bytes], shards: int, frequent: np.ndarray, turn: int) -> Iterator[tuple[int, bytes]]:
+    """(shard, runs of words) of a chunk; and what is found in it already, as a message to no shard (a negative number)."""
     chunk = Chunk(texts, frequent)
     if not len(chunk.windows):
         return
-    ids, keys = np.array(ids, np.int64), np.array([xxhash.xxh64_intdigest(t, 42) for t in texts], np.uint64).view(np.int64)
-    text = chunk.text[chunk.windows]
-    done = chunk.settled(ids[text])
-    first, n = runs(text[done], step=chunk.windows[done])
-    if len(first):
-        at, own = chunk.windows[done][first], text[done][first]
-        yield -1 - turn % shards, packed(ids[own], keys[own], chunk.place[at], n)
-    window, text, route = chunk.windows[~done], text[~done], chunk.route[~done]
+    ids, keys = np.array(ids, np.int64), np.array(keys, np.int64)
+    window, text, route = chunk.windows, chunk.text[chunk.windows], chunk.route
+    if chunk.frequent.any():
+        common = np.flatnonzero(chunk.frequent)
+        first, n = runs(text[common], step=window[common])
+        at, own = window[common[first]], text[common[first]]
+        run, start, n_found = repeated(chunk.ids[spread(at, n + WINDOW - 1)] + 1, n + WINDOW - 1, ids[own])
+        yield -1 - turn % shards, packed(ids[own[run]], keys[own[run]], chunk.place[at[run]] + start, n_found)
+        left = np.ones(len(window), bool)
+        left[common[spread(first[run] + start, n_found)]] = False
+        window, text, route = window[left], text[left], route[left]
     first, n = runs(text, route, step=window)
     shard = (route[first] % np.uint64(shards)).astype(np.int64)
     order = np.argsort(shard, kind="stable")
     bounds = np.searchsorted(shard[order], np.arange(shards + 1))
-    for s in range(shards):
-        if len(mine := order[bounds[s] : bounds[s + 1]]):
-            at, own, length = window[first[mine]], text[first[mine]], n[mine]
-            words = chunk.ids[spread(at, length + WINDOW - 1)]
-            seen = np.zeros(len(chunk.vocabulary), bool)
-            seen[words] = True
-            local = np.cumsum(seen) - 1
-            small = np.uint16 if seen.sum() < 1 << 16 else np.int32
-            texts_here, own = np.unique(own, return_inverse=True)
-            yield s, packed(b"\n".join(chunk.vocabulary[seen]), local[words].astype(small), length.astype(np.uint8), np.diff(own, prepend=0).astype(np.int32), chunk.place[at].astype(np.int32), ids[texts_here], keys[texts_here])
-
-
-def repeated(messages: list[bytes]) -> tuple[np.ndarray, ...]:
+    for s in np.flatnonzero(np.diff(bounds)).tolist():
+        mine = order[bounds[s] : bounds[s + 1]]
+        at, own, length = window[first[mine]], text[first[mine]], n[mine]
+        numbers = chunk.ids[spread(at, length + WINDOW - 1)]
+        sizes = np.add.reduceat(chunk.sizes[numbers], np.cumsum(length + WINDOW - 1) - (length + WINDOW - 1))
+        texts_here, own = np.unique(own, return_inverse=True)
+        yield s, message(b" ".join(chunk.vocabulary[numbers]), length, own, chunk.place[at], half(route[first[mine]]), sizes, ids[texts_here], keys[texts_here])
+
+
+def half(route: np.ndarray) -> np.ndarray:
+    return (route >> np.uint64(32)).astype(np.uint32)
+
+
+def with_company(route: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Which runs have a route that another owner has too."""
+    order = np.argsort(route, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], route[order][1:] != route[order][:-1]]))
+    several = np.minimum.reduceat(owner[order], first) < np.maximum.reduceat(owner[order], first)
+    out = np.empty(len(order), bool)
+    out[order] = np.repeat(several, np.diff(np.append(first, len(order))))
+    return out
+
+
+def unpacked(messages: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Of one shard, runs whose route another owner has: their words as numbers from 1, a hash of each number's word; windows, owner, key and place of each run. Words of all other runs stay packed."""
+    numbers: defaultdict[bytes, int] = defaultdict(count(1).__next__)
+    packets = [opened(m) for m in messages]
+    kept = with_company(np.concatenate([c[3] for _, c in packets]), np.concatenate([c[5][c[1]] for _, c in packets]))
+    parts, at = [], 0
+    for words, (length, own, place, _, size, ids, keys) in packets:
+        (some,) = kept[at : at + len(length)].nonzero()
+        at += len(length)
+        end = np.cumsum(size, dtype=np.int64)
+        spans = zip((end - size)[some].tolist(), (end[some] - 1).tolist(), strict=True)
+        found = [x for a, b in spans for x in words[a:b].split(b" ")]
+        parts.append((np.fromiter(map(numbers.__getitem__, found), np.int32, len(found)), length[some].astype(np.int32), ids[own[some]], keys[own[some]], place[some]))
+    words, *rest = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return words, np.array([0, *map(xxhash.xxh64_intdigest, numbers)], np.uint64), *rest
+
+
+def grouped(route: np.ndarray, size: np.ndarray, owner: np.ndarray) -> Iterator[np.ndarray]:
+    """Groups of runs to be indexed together, of INDEX_WORDS or little more: all runs of some routes, but for routes of one owner."""
+    order = np.argsort(route, kind="stable")
+    order = order[with_company(route, owner)[order]]
+    if not len(order):
+        return
+    first = np.flatnonzero(np.concatenate([[True], route[order][1:] != route[order][:-1]]))
+    begin = np.cumsum(np.add.reduceat(size[order], first)) // INDEX_WORDS
+    part = np.repeat(begin, np.diff(np.append(first, len(order))))
+    for cut in np.split(order, np.flatnonzero(np.diff(part)) + 1):
+        yield np.sort(cut)
+
+
+def found_in(messages: list[bytes]) -> tuple[np.ndarray, ...]:
     """Of one shard: owner, key, first window and number of windows for runs of windows that a smaller owner has."""
-    parts, hashes, vocabularies, begin = [], [], [], [0]
-    for m in messages:
-        vocabulary, words, length, own, place, ids, keys = pickle.loads(zstandard.decompress(m))
-        entries = vocabulary.split(b"\n")
-        own = np.cumsum(own)
-        parts.append((words.astype(np.int32) + np.int32(begin[-1]), length.astype(np.int32), ids[own], keys[own], place))
-        hashes.append(np.fromiter(map(xxhash.xxh64_intdigest, entries), np.uint64, len(entries)))
-        vocabularies.append(vocabulary)
-        begin.append(begin[-1] + len(entries))
-    words, length, owner, key, place = (np.concatenate(x) for x in zip(*parts, strict=True))
-    del parts
-    # windows whose hash two owners have, as runs again
-    run_words = length + WINDOW - 1
-    window = spread(np.cumsum(run_words) - run_words, length)
-    run = np.repeat(np.arange(len(length)), length)
-    h = chained(np.concatenate(hashes)[words], WINDOW)[window]
-    order = np.argsort(h, kind="stable")
-    starts = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
-    owners = owner[run[order]]
-    several = np.minimum.reduceat(owners, starts) < np.maximum.reduceat(owners, starts)
-    keep = np.empty(len(order), bool)
-    keep[order] = np.repeat(several, np.diff(np.append(starts, len(order))))
-    if not keep.any():
+    words, hashes, length, owner, key, place = unpacked(messages)
+    if not len(length):
         return (np.zeros(0, np.int64),) * 4
-    at = place[run] + window - (np.cumsum(run_words) - run_words)[run]
-    window, run, at = window[keep], run[keep], at[keep]
-    first, n = runs(run, step=window)
-    owner, key, at = owner[run[first]], key[run[first]], at[first]
-    words = words[spread(window[first], n + WINDOW - 1)]
-
-    # the words themselves take the place of hashes: one number for each, whatever message it came in
-    used = np.zeros(begin[-1], bool)
-    used[words] = True
-    exact = np.zeros(begin[-1], np.int64)
-    numbers: defaultdict[bytes, int] = defaultdict(count(1).__next__)
-    for vocabulary, low, high in zip(vocabularies, begin, begin[1:], strict=False):
-        if len(some := np.flatnonzero(used[low:high])):
-            entries = vocabulary.split(b"\n")
-            exact[low + some] = [numbers[entries[i]] for i in some.tolist()]
-    words = exact[words]
-
-    index = FmIndex(words, n + WINDOW - 1, owner, WINDOW)
-    text, start, least = index.streamed()
-    later = least < owner[text]
-    text, start = text[later], start[later]
-    order = np.lexsort((start, text))
-    text, start = text[order], start[order]
-    first, n = runs(text, step=start)
-    text, start = text[first], start[first]
-    return owner[text], key[text], at[text] + start, n
+    begin = np.cumsum(length + WINDOW - 1) - (length + WINDOW - 1)
+    route = least_of(chained(hashes[words], GRAM), WINDOW - GRAM + 1)[begin]
+    out = []
+    for some in grouped(route, length + WINDOW - 1, owner):
+        if (length[some] + WINDOW - 1).sum() <= 2 * INDEX_WORDS:
+            todo = [(begin[some], length[some], owner[some], key[some], place[some])]
+        else:  # one large route: its windows by their own hash
+            window, run = spread(begin[some], length[some]), np.repeat(some, length[some])
+            at, h = place[run] + window - begin[run], np.zeros(len(window), np.uint64)
+            for i in range(WINDOW):
+                h = h * np.uint64(WORD_BASE) + hashes[words[window + i]]
+            todo = [(window[x], np.ones(len(x), np.int32), owner[run[x]], key[run[x]], at[x]) for x in grouped(mixed(h), np.full(len(h), WINDOW), owner[run])]
+        for at, n, who, which, where in todo:
+            run, start, n_found = repeated(words[spread(at, n + WINDOW - 1)], n + WINDOW - 1, who)
+            out.append((who[run], which[run], where[run] + start, n_found))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 4
 
 
 def judged(table: pa.Table) -> pa.Table:
@@ -210,43 +247,56 @@ def judged(table: pa.Table) -> pa.Table:
     if table.column("shard")[0].as_py() < 0:
         found = [np.concatenate(x) for x in zip(*(pickle.loads(zstandard.decompress(m)) for m in messages), strict=True)]
     else:
-        found = repeated(messages)
+        found = found_in(messages)
     return pa.table([pa.array(x.astype(np.int64)) for x in found], ["owner", "key", "first", "n"])
 
 
-def frequent_hashes(docs: DataFrame) -> np.ndarray:
-    """Least hashes of windows in over FREQUENT of a sample of documents."""
-    share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
+def frequent_routes(docs: DataFrame) -> np.ndarray:
+    """Routes of windows in over FREQUENT of the documents, or over ROUTE_DOCS of them, as a sample has it. Its size follows from what it must show."""
+    n = max(1, docs.count())
+    share = min(FREQUENT, ROUTE_DOCS / n)
+    drawn = min(1.0, SEEN / share / n)
 
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def routes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = as_bytes(batch.column(0))
-            for part in by_volume(texts):
+            for part in by_volume(texts, CHUNK_BYTES):
                 chunk = Chunk(texts[part.start : part.stop], np.zeros(0, np.uint64))
                 if len(chunk.windows):
-                    for text in np.unique(chunk.text[chunk.windows]):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.unique(chunk.route[chunk.text[chunk.windows] == text]).view(np.int64))], ["h"])
+                    text = chunk.text[chunk.windows]
+                    order = np.lexsort((chunk.route, text))
+                    h, text = chunk.route[order], text[order]
+                    new = np.append(True, (h[1:] != h[:-1]) | (text[1:] != text[:-1]))
+                    yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64))], ["h"])
+
+    sample = docs.where(F.pmod(F.xxhash64("owner", F.lit(5)), F.lit(1 << 40)) <= int(drawn * (1 << 40)))
+    found = sample.select("text").mapInArrow(routes, "h long").groupBy("h").count().where(F.col("count") > max(SEEN // 2, share * drawn * n))
+    return found.orderBy(F.desc("count")).limit(FREQUENT_MOST).select("h").toArrow().column(0).to_numpy().view(np.uint64)
+
 
-    sample = docs.where(F.pmod(F.xxhash64("owner", F.lit(5)), F.lit(1 << 30)) <= int(share * (1 << 30)))
-    found = sample.select("text").mapInArrow(hashes, "h long").groupBy("h").count().where(F.col("count") > max(20, FREQUENT * SAMPLE_DOCS)).select("h")
-    return found.toArrow().column(0).to_numpy().view(np.uint64)
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs: owner, text, and what else. Adds key, which tells texts of one owner apart: a hash where an owner has several, else 0, which costs messages nothing."""
+    several = docs.groupBy("owner").agg(F.min(F.xxhash64("text")).alias("low"), F.max(F.xxhash64("text")).alias("high")).where("low < high")
+    several = small(materialize(several.select("owner", F.lit(True).alias("several")), "several"))
+    return docs.join(several, "owner", "left").withColumn("key", F.when(F.col("several"), F.xxhash64("text")).otherwise(0)).drop("several")
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """docs: owner, text. Runs of windows whose words a smaller owner has too: owner, key (hash of the text), first, n."""
-    shards = SHARDS_PER_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_hashes(docs))
+    """docs: owner, key, text. Runs of windows whose words a smaller owner has too: owner, key, first, n."""
+    shards = 1 + (docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // SHARD_BYTES
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_routes(docs))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = 0
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), as_bytes(batch.column(1))
+            ids, keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2))
             for part in by_volume(texts, CHUNK_BYTES):
-                for shard, message in dealt(ids[part.start : part.stop], texts[part.start : part.stop], shards, frequent.value, turn):
+                own = slice(part.start, part.stop)
+                for shard, message in dealt(ids[own], keys[own], texts[own], shards, frequent.value, turn):
                     yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([message], pa.binary())], ["shard", "message"])
                 turn += 1
 
-    messages = docs.select("owner", "text").mapInArrow(deal, "shard int, message binary")
+    messages = docs.select("owner", "key", "text").mapInArrow(deal, "shard int, message binary")
     return messages.groupBy("shard").applyInArrow(judged, "owner long, key long, first long, n long")
 
 
@@ -259,9 +309,10 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     not looked at; an empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("owner", F.coalesce("doc_id", F.lit(LAST_ID)))
+    docs = keyed(docs)
     found = materialize(repeated_windows(docs.where("text IS NOT NULL")), "repeats")
     found = found.groupBy("owner", "key").agg(F.collect_list("first").alias("first"), F.collect_list("n").alias("n"))
-    rows = docs.withColumn("key", F.xxhash64("text")).join(found.hint("shuffle_hash"), ["owner", "key"], "left")
+    rows = docs.join(found.hint("shuffle_hash"), ["owner", "key"], "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

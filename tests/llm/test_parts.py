@@ -58,7 +58,7 @@ def repeats(docs, chunk, shards, frequent):
     messages = defaultdict(list)
     for turn, i in enumerate(range(0, len(docs), chunk)):
         part = docs[i : i + chunk]
-        for shard, m in d.dealt([x for x, _ in part], [t for _, t in part], shards, frequent, turn):
+        for shard, m in d.dealt([x for x, _ in part], [0] * len(part), [t for _, t in part], shards, frequent, turn):
             messages[shard].append(m)
     import pyarrow as pa
 
@@ -72,7 +72,9 @@ def repeats(docs, chunk, shards, frequent):
 
 @pytest.mark.parametrize(("chunk", "shards"), [(1, 1), (3, 5), (100, 2)])
 @pytest.mark.parametrize("hot", [False, True])
-def test_repeats_whatever_the_chunks_and_routes(chunk, shards, hot):
+@pytest.mark.parametrize("index_words", [4_000_000, 100])
+def test_repeats_whatever_the_chunks_and_routes(chunk, shards, hot, index_words, monkeypatch):
+    monkeypatch.setattr(d, "INDEX_WORDS", index_words)
     rng = random.Random(1)
     passage = [f"p{i}" for i in range(40)]
     docs = []
@@ -93,6 +95,15 @@ def test_repeats_whatever_the_chunks_and_routes(chunk, shards, hot):
     assert want and repeats(docs, chunk, shards, frequent) == want
 
 
+def test_messages_grow_little_with_the_shards():
+    """Of real documents, as a share of their text: about as much for 6,000 shards as for 24."""
+    import duckdb
+
+    texts = [t.encode() for (t,) in duckdb.sql("SELECT text FROM '/root/testdata/sf0.1/documents.parquet' LIMIT 3000").fetchall()]
+    volume = {shards: sum(len(m) for _, m in d.dealt(list(range(len(texts))), [0] * len(texts), texts, shards, NONE, 0)) / sum(map(len, texts)) for shards in (24, 6000)}
+    assert volume[24] < 1.4 and volume[6000] < 1.4 * volume[24], volume
+
+
 def test_least_of_is_a_sliding_minimum():
     h = np.random.default_rng(0).integers(0, 1000, 50).astype(np.uint64)
     for k in (1, 2, 3, 7, 10):
