@@ -35,7 +35,7 @@ from attestra.llm.common import LAST_ID, as_bytes, by_volume, materialize, small
 from attestra.llm.fm_index import FmIndex
 from attestra.llm.shingles import WORD_BASE, mixed
 
-WINDOW, GRAM = 13, 3
+WINDOW, GRAM = 13, 4
 #: UTF-8 bytes of text taken at once, about; windows in a run at most; UTF-8 bytes of text for each shard.
 CHUNK_BYTES, RUN_MOST, SHARD_BYTES = 8 << 20, 24, 8 << 20
 #: Words in one index, about.
@@ -112,14 +112,14 @@ def packed(*parts: object) -> bytes:
     return zstandard.compress(pickle.dumps(parts, 5), 3)
 
 
-#: Columns of a message: windows, text, place, half of the route, and bytes (with a blank after each word) of each run; id and key of each text. Numbers that go up are told by their steps.
-OF_RUNS, OF_TEXTS = (np.uint8, np.int32, np.int32, np.uint32, np.uint32), (np.int64, np.int64)
+#: Columns of a message: windows, text, place and half of the route of each run; id and key of each text. Numbers that go up are told by their steps.
+OF_RUNS, OF_TEXTS = (np.uint8, np.int32, np.int32, np.uint32), (np.int64, np.int64)
 
 
 def message(words: bytes, *columns: np.ndarray) -> bytes:
-    """Runs for a shard. words: of all runs, one blank between them."""
-    length, own, place, route, size, ids, keys = columns
-    parts = zip(OF_RUNS + OF_TEXTS, (length, np.diff(own, prepend=0), place, route, size, np.diff(ids, prepend=0), keys), strict=True)
+    """Runs for a shard. words: one blank between them, one line for each run."""
+    length, own, place, route, ids, keys = columns
+    parts = zip(OF_RUNS + OF_TEXTS, (length, np.diff(own, prepend=0), place, route, np.diff(ids, prepend=0), keys), strict=True)
     return zstandard.compress(b"".join([np.array([len(length), len(ids)], np.int32).tobytes(), *(c.astype(kind).tobytes() for kind, c in parts), words]), 3)
 
 
@@ -132,7 +132,7 @@ def opened(packet: bytes) -> tuple[bytes, list[np.ndarray]]:
         for kind in kinds:
             columns.append(np.frombuffer(raw, kind, n, at))
             at += columns[-1].nbytes
-    return raw[at:], [np.cumsum(c) if i in (1, 5) else c for i, c in enumerate(columns)]
+    return raw[at:], [np.cumsum(c) if i in (1, 4) else c for i, c in enumerate(columns)]
 
 
 def repeated(words: np.ndarray, length: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -170,9 +170,11 @@ def dealt(ids: list[int], keys: list[int], texts: list[bytes], shards: int, freq
         mine = order[bounds[s] : bounds[s + 1]]
         at, own, length = window[first[mine]], text[first[mine]], n[mine]
         numbers = chunk.ids[spread(at, length + WINDOW - 1)]
-        sizes = np.add.reduceat(chunk.sizes[numbers], np.cumsum(length + WINDOW - 1) - (length + WINDOW - 1))
+        words = bytearray(b" ".join(chunk.vocabulary[numbers]))
+        ends = np.cumsum(chunk.sizes[numbers])[np.cumsum(length + WINDOW - 1) - 1] - 1
+        np.frombuffer(words, np.uint8)[ends[:-1]] = ord("\n")
         texts_here, own = np.unique(own, return_inverse=True)
-        yield s, message(b" ".join(chunk.vocabulary[numbers]), length, own, chunk.place[at], half(route[first[mine]]), sizes, ids[texts_here], keys[texts_here])
+        yield s, message(bytes(words), length, own, chunk.place[at], half(route[first[mine]]), ids[texts_here], keys[texts_here])
 
 
 def half(route: np.ndarray) -> np.ndarray:
@@ -193,14 +195,13 @@ def unpacked(messages: list[bytes]) -> tuple[np.ndarray, ...]:
     """Of one shard, runs whose route another owner has: their words as numbers from 1, a hash of each number's word; windows, owner, key and place of each run. Words of all other runs stay packed."""
     numbers: defaultdict[bytes, int] = defaultdict(count(1).__next__)
     packets = [opened(m) for m in messages]
-    kept = with_company(np.concatenate([c[3] for _, c in packets]), np.concatenate([c[5][c[1]] for _, c in packets]))
+    kept = with_company(np.concatenate([c[3] for _, c in packets]), np.concatenate([c[4][c[1]] for _, c in packets]))
     parts, at = [], 0
-    for words, (length, own, place, _, size, ids, keys) in packets:
+    for words, (length, own, place, _, ids, keys) in packets:
         (some,) = kept[at : at + len(length)].nonzero()
         at += len(length)
-        end = np.cumsum(size, dtype=np.int64)
-        spans = zip((end - size)[some].tolist(), (end[some] - 1).tolist(), strict=True)
-        found = [x for a, b in spans for x in words[a:b].split(b" ")]
+        lines = words.split(b"\n")
+        found = [x for i in some.tolist() for x in lines[i].split(b" ")]
         parts.append((np.fromiter(map(numbers.__getitem__, found), np.int32, len(found)), length[some].astype(np.int32), ids[own[some]], keys[own[some]], place[some]))
     words, *rest = (np.concatenate(x) for x in zip(*parts, strict=True))
     return words, np.array([0, *map(xxhash.xxh64_intdigest, numbers)], np.uint64), *rest
