@@ -10,9 +10,13 @@ groups, and the search goes on from there, as long as it empties bins.
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import struct
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 from pathlib import Path
 
@@ -27,42 +31,90 @@ from attestra.llm.common import as_bytes, by_volume, materialize, sliced
 LENGTH, END = 2048, 0
 #: Pieces of a group, about.
 GROUP_ROWS = 8192
-#: Distinct words whose ids a task keeps, and bytes of text that it cuts into words at once.
-CACHE_WORDS, STRETCH = 1 << 18, 1 << 20
+#: Distinct words, and pieces of words, whose ids a task keeps, and bytes of text that it cuts into words at once.
+CACHE_WORDS, STRETCH = 1 << 20, 1 << 20
 #: Another round is worth it if the last one emptied this share of the bins that it had.
 WORTHWHILE = 1 / 1000
 BLANK = b" \t\n\r\x0b\x0c"
+#: How a tokenizer prepares its text (composed, lower case; contractions, runs of letters, single digits, runs of other signs; bytes as signs), and what that makes of words of printable ASCII and U+00C0 to U+00FF, lower-cased.
+PREPARED = [
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+]
+COMMON, PIECE = re.compile("[!-~À-ÿ]+"), re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
 
 class Encoder:
     """Ids of texts, as little-endian unsigned 32-bit numbers. Words between ASCII white space are encoded once each, as long as they are kept.
 
-    That gives the ids of the whole text for tokenizers that never join what white space parts; `apart` says if this one does.
+    That gives the ids of the whole text for tokenizers that never join what white space parts; ``apart`` says if this one does. Where the
+    tokenizer prepares its text in the one way that is known here (``PREPARED``), words of printable ASCII and of U+00C0 to U+00FF are cut as it
+    would cut them, and the pieces given to its model: the ids are the same, without the cost of preparing each word by itself.
     """
 
     def __init__(self, model: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.kept = Tokenizer.from_str(model), {}
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.kept, self.pieces = Tokenizer.from_str(model), {}, {}
+        spec = json.loads(model)
+        self.plain = [spec["normalizer"], spec["pre_tokenizer"]] == PREPARED
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.signs = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         probe = "It's 1 of the\n\n two\ttests , <a> ' ! It's  won 't"
         self.apart = self.ids(probe.encode()) == b"".join(map(self.ids, probe.encode().split()))
 
     def ids(self, text: bytes) -> bytes:
-        found = self.tokenizer.encode(text.decode(), add_special_tokens=False).ids
-        return struct.pack(f"<{len(found)}I", *found)
+        return packed_ids(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids)
 
     def encode(self, text: bytes) -> bytes:
         return b"".join(map(self.words, stretches(text))) if self.apart else self.ids(text)
 
     def words(self, text: bytes) -> bytes:
         own = text.split()
-        new = list(set(own) - self.kept.keys())
-        if len(self.kept) + len(new) > CACHE_WORDS:
+        try:
+            return b"".join(map(self.kept.__getitem__, own))
+        except KeyError:
+            self.learn(own)
+            return b"".join(map(self.kept.__getitem__, own))
+
+    def learn(self, own: list[bytes]) -> None:
+        """Words to keep, all of these among them."""
+        if len(self.kept) + len(self.pieces) > CACHE_WORDS:
             self.kept.clear()
-            new = list(set(own))
-        for word, found in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            self.kept[word] = struct.pack(f"<{len(found.ids)}I", *found.ids)
-        return b"".join(map(self.kept.__getitem__, own))
+            self.pieces.clear()
+        rest = []
+        for raw in set(own):
+            if raw not in self.kept:
+                word = raw.decode()
+                if self.plain and COMMON.fullmatch(word) and not any(s in word for s in self.special):
+                    self.kept[raw] = b"".join(map(self.piece, PIECE.findall(word.lower())))
+                else:
+                    rest.append(raw)
+        for raw, found in zip(rest, self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False), strict=True):
+            self.kept[raw] = packed_ids(found.ids)
+
+    def piece(self, piece: str) -> bytes:
+        if (found := self.pieces.get(piece)) is None:
+            signs = piece if piece.isascii() else self.signs.pre_tokenize_str(piece)[0][0]
+            found = self.pieces[piece] = packed_ids([t.id for t in self.tokenizer.model.tokenize(signs)])
+        return found
+
+
+def packed_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+@lru_cache(maxsize=2)
+def encoder_of(model: str) -> Encoder:
+    """One for each Python worker, which runs task after task."""
+    return Encoder(model)
 
 
 def stretches(text: bytes) -> Iterator[bytes]:
@@ -85,7 +137,7 @@ def tokenized(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int =
     last, most = struct.pack("<I", end), 4 * length
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(model.value)
+        encoder = encoder_of(model.value)
         for batch in sliced(batches):
             ids, texts = batch.column(0).to_pylist(), as_bytes(batch.column(1))
             texts = [t or b"" for t in texts]
