@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 from attestra.functions.bounds import bounded_keys, bounded_limit, search_term
 from attestra.functions.evidence import AVAILABLE, SUMMARY_ONLY, UNAVAILABLE, UNVERIFIED, answer, combined, derived, grid, shown
-from attestra.operators import audit, disclosure, financial, peers, search, semantic
+from attestra.operators import alignment, audit, disclosure, financial, peers, perimeter, search, semantic, similar
 from attestra.operators.search import occurrences
-from attestra.release import Release
+from attestra.release import SECTION_KEYS, Release
+from attestra.tables import joined
 
 TOOLS: dict[str, Callable[..., DataFrame]] = {}
 #: Going-concern factors, from accounts of a release.
@@ -65,8 +66,9 @@ def known(column: str) -> Column:
 
 
 @tool
-def search_company(r: Release, query: str, limit: int = 20) -> DataFrame:
-    return search.search_company(r["company"], query, limit)
+def search_company(r: Release, query: str, limit: int = 20, typos: int = 2) -> DataFrame:
+    """Names that contain the query, and names within two edits of it (see search.search_company)."""
+    return search.search_company(r["company"], query, limit, typos)
 
 
 @tool
@@ -215,9 +217,11 @@ def score_going_concern(r: Release, corp: str, years: Sequence[int]) -> DataFram
 
 
 @tool
-def detect_restatement(r: Release, corp: str, fy: int, later: bool = False, threshold: float = 0.01) -> DataFrame:
-    """A year's accounts as first reported, against the next report (or, if later, the last one): candidates with both receipts."""
+def detect_restatement(r: Release, corp: str, fy: int, later: bool = False, threshold: float = 0.01, known_at: str | None = None) -> DataFrame:
+    """A year's accounts as first reported, against the next report (or, if later, the last one): candidates with both receipts. known_at: a moment; what was filed after it isn't known yet."""
     facts = r["fact"].where((F.col("corp") == corp) & (F.col("fy") == fy))
+    if known_at is not None:
+        facts = facts.join(r["filing"].where(F.col("filed_at") <= F.lit(known_at).cast("timestamp_ntz")), "receipt", "left_semi")
     first = facts.where("reported_in = fy").select(F.col("account").alias("key"), F.col("value").cast("double").alias("value"), "receipt")
     after = facts.where("reported_in > fy" if later else "reported_in = fy + 1").groupBy(F.col("account").alias("key")).agg(F.max_by(F.struct("value", "receipt"), "reported_in").alias("x"))
     after = after.select("key", F.col("x.value").cast("double").alias("value"), F.col("x.receipt").alias("later_receipt"))
@@ -259,15 +263,14 @@ def get_audit_history(r: Release, corp: str) -> DataFrame:
 
 
 @tool
-def get_subsidiary_auditors(r: Release, parent: str, fy: int, depth: int = 3) -> DataFrame:
-    """The perimeter down to ``depth`` levels: parent, corp, fy, auditor, state; no engagement on file is ``unavailable``."""
+def get_subsidiary_auditors(r: Release, parent: str, fy: int, depth: int | None = 3) -> DataFrame:
+    """The perimeter down to ``depth`` levels, or whole (None): parent, corp, fy, auditor, state; no engagement on file is ``unavailable``. Holdings in a circle end by themselves."""
     edges = r["subsidiary"].where(F.col("fy") == fy).select("parent", F.col("child").alias("corp"), "fy")
-    level = edges.where(F.col("parent") == parent)
-    whole = level
-    for _ in range(bounded_limit(depth) - 1):
-        level = edges.join(level.select(F.col("corp").alias("parent")).distinct(), "parent", "left_semi")
-        whole = whole.unionByName(level)
-    return audit.subsidiary_auditors(whole.distinct(), leads(r))
+    holders = r.spark.createDataFrame([(parent,)], "parent string")
+    if depth is None or bounded_limit(depth) > 1:
+        below = perimeter.perimeter(edges.select("parent", F.col("corp").alias("child"), F.lit(None).cast("double").alias("share")), holders.withColumnRenamed("parent", "root"), None if depth is None else depth - 1)
+        holders = holders.union(below.select("corp"))
+    return audit.subsidiary_auditors(edges.join(holders, "parent", "left_semi").distinct(), leads(r))
 
 
 @tool
@@ -301,7 +304,15 @@ def get_audit_report_sections(r: Release, corp: str, fy: int, topic: str | None
     return found.select("corp", "fy", "receipt", "topic", "start", "end", shown(F.col("text"), F.col("state")).alias("text"), "state")
 
 
-def _search_kind(r: Release, kind: str, query: str, cohort: DataFrame | None, limit: int) -> DataFrame:
+def _search_kind(r: Release, kind: str, query: str, cohort: DataFrame | None, limit: int, ranked: bool = False) -> DataFrame:
+    """ranked: by BM25, from the release's index, which knows words; else by occurrences of the query as it is written, from the texts."""
+    if ranked:
+        best = r.sections.scores(query, F.col("kind") == kind).drop("n_terms")
+        best = best if cohort is None else best.join(cohort.select(F.col("peer").alias("corp")), "corp", "left_semi")
+        best = best.orderBy(F.desc("score"), "receipt", "start").limit(bounded_limit(limit))
+        # texts of the rows found only
+        found = joined(r["section"].where((F.col("kind") == kind) & (F.col("state") == AVAILABLE)), F.broadcast(best), SECTION_KEYS)
+        return found.select("corp", "fy", "receipt", "topic", "start", "text", "score", "state").orderBy(F.desc("score"), "receipt", "start")
     sections = r["section"].where((F.col("kind") == kind) & (F.col("state") == AVAILABLE))
     if cohort is not None:
         sections = sections.join(cohort.select(F.col("peer").alias("corp")), "corp", "left_semi")
@@ -310,19 +321,23 @@ def _search_kind(r: Release, kind: str, query: str, cohort: DataFrame | None, li
 
 
 @tool
-def search_audit_report_matters(r: Release, query: str, cohort: DataFrame | None = None, limit: int = 50) -> DataFrame:
-    return _search_kind(r, "audit", query, cohort, limit)
+def search_audit_report_matters(r: Release, query: str, cohort: DataFrame | None = None, limit: int = 50, ranked: bool = False) -> DataFrame:
+    return _search_kind(r, "audit", query, cohort, limit, ranked)
 
 
 @tool
-def search_audit_procedures(r: Release, query: str, cohort: DataFrame | None = None, limit: int = 50) -> DataFrame:
-    return _search_kind(r, "procedure", query, cohort, limit)
+def search_audit_procedures(r: Release, query: str, cohort: DataFrame | None = None, limit: int = 50, ranked: bool = False) -> DataFrame:
+    return _search_kind(r, "procedure", query, cohort, limit, ranked)
 
 
 @tool
-def get_kam_lifecycle(r: Release, corp: str, last: int, topic: str | None = None) -> DataFrame:
-    """entry and exit of each matter, with the receipt that names it; the places in the cycle are computed, so summary_only."""
+def get_kam_lifecycle(r: Release, corp: str, last: int, topic: str | None = None, reworded: float | None = None) -> DataFrame:
+    """entry and exit of each matter, with the receipt that names it; the places in the cycle are computed, so summary_only. reworded: the share of words from which a matter continues one of the year before, in other words (then with prior and similarity)."""
     named = r["kam"].where(F.col("corp") == corp).groupBy("corp", "topic", "fy").agg(F.min("receipt").alias("receipt"))
+    if reworded is not None:
+        threads = audit.kam_threads(named.drop("receipt"), last, reworded)
+        threads = threads if topic is None else threads.where(F.col("topic") == topic)
+        return threads.join(named, ["corp", "topic", "fy"]).withColumn("state", F.lit(SUMMARY_ONLY))
     named = named if topic is None else named.where(F.col("topic") == topic)
     return audit.kam_lifecycle(named.drop("receipt"), last).join(named, ["corp", "topic", "fy"]).withColumn("state", F.lit(SUMMARY_ONLY))
 
@@ -372,6 +387,17 @@ def get_accounting_policy_changes(r: Release, corp: str, topic: str, before: int
     return out.select("corp", "topic", F.array_except("lines_after", "lines_before").alias("added"), F.array_except("lines_before", "lines_after").alias("removed"), "receipt_before", "receipt_after", combined(F.col("state_before"), F.col("state_after")).alias("state"))
 
 
+def get_accounting_policy_spans(r: Release, corp: str, topic: str, before: int, after: int) -> DataFrame:
+    """get_accounting_policy_changes, sentence by sentence in order: corp, topic, nth, kind (added, removed, changed, moved), the spans in the section of each year (as its locator counts), both receipts, state. Where one of the notes isn't ``available``, there is no text to compare, and no row."""
+    rows = note_grid(r, r["company"].where(F.col("corp") == corp), [before, after], [topic])
+    of = lambda y, mark: rows.where((F.col("fy") == y) & (F.col("state") == AVAILABLE)).select("corp", "topic", F.col("excerpt").alias(mark), F.coalesce("locator.start", F.lit(0)).alias(f"{mark}_at"), F.col("receipt").alias(f"receipt_{mark}"))
+    pairs = of(before, "before").join(of(after, "after"), ["corp", "topic"])
+    keys = ["corp", "topic", "before_at", "after_at", "receipt_before", "receipt_after"]
+    found = alignment.aligned_changes(pairs, keys)
+    moved = [(F.col(f"{side}_{end}") + F.col(f"{side}_at")).alias(f"{side}_{end}") for side in ("before", "after") for end in ("start", "end")]
+    return found.select("corp", "topic", "nth", "kind", *moved, "n_before", "n_after", "receipt_before", "receipt_after", F.lit(SUMMARY_ONLY).alias("state"))
+
+
 # context
 
 
@@ -388,8 +414,20 @@ def get_semantic_company_context(r: Release, corp: str | None = None) -> DataFra
 
 
 @tool
-def semantic_peer_context_review(r: Release, cohort: DataFrame, fy: int) -> DataFrame:
-    """Each peer's context beside the target's: shared and missing section topics, by words and not by vectors; rule; state."""
+def semantic_peer_context_review(r: Release, cohort: DataFrame, fy: int, nearest: int | None = None) -> DataFrame:
+    """Each peer's context beside the target's: shared and missing section topics; rule; state.
+
+    nearest: instead, that many of the peers' sections of the year that say the most like each of the target's, by the terms they use:
+    target, peer, fy, target_topic, target_receipt, peer_topic, peer_receipt, peer_start, rank, score (cosine), rule, state.
+    """
+    if nearest is not None:
+        own = r["section"].where((F.col("fy") == fy) & (F.col("state") == AVAILABLE)).select(*SECTION_KEYS)
+        theirs = own.join(cohort.select(F.col("peer").alias("corp")), "corp", "left_semi")
+        mine = own.join(cohort.select(F.col("target").alias("corp")), "corp", "left_semi")
+        found = similar.similar(r.sections, mine, bounded_limit(nearest), among=theirs)
+        rules = cohort.select(F.col("target").alias("target_corp"), F.col("peer").alias("peer_corp"), "rule")
+        pick = [F.col("target_corp").alias("target"), F.col("peer_corp").alias("peer"), F.lit(fy).alias("fy"), "target_topic", "target_receipt", "peer_topic", "peer_receipt", "peer_start", "rank", "score", "rule"]
+        return found.join(rules, ["target_corp", "peer_corp"]).select(*pick, F.lit(SUMMARY_ONLY).alias("state"))
     context = get_semantic_company_context(r).where(F.col("fy") == fy)
     mine = context.select(F.col("corp").alias("target"), F.col("section_topics").alias("target_topics"))
     out = cohort.join(context.withColumnRenamed("corp", "peer"), "peer", "left").join(mine, "target", "left")

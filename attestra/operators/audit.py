@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from attestra.functions.evidence import AVAILABLE, SUMMARY_ONLY, UNAVAILABLE, combined
 from attestra.operators.ranking import value_ranks
+from attestra.operators.text_index import terms_of
+from attestra.tables import joined, materialize
 
 #: Of the driver tables.
 FACTORS = ("negative_balance", "decline", "gap", "high_returns", "high_discount", "no_recent_filing")
@@ -94,6 +96,65 @@ def kam_lifecycle(topics: DataFrame, last: int) -> DataFrame:
     return topics.select("corp", "topic", "fy", entry.alias("entry"), leaving.alias("exit"))
 
 
+def kam_threads(topics: DataFrame, last: int, least: float = 0.5) -> DataFrame:
+    """topics: corp, topic, fy (distinct). Which matter of the year before each continues, whatever its wording: corp, fy, topic, prior (its wording then), similarity (shared words to all words), entry (new, continued: in the same words, or reworded), exit (kept, dropped, or open in the last year).
+
+    Matters of a company meet where they share a word (or are the same). Of those with a similarity of ``least`` or more, the most similar pair
+    is taken first (of equals, the same wording, then the lower names), then the next of which neither has a partner: one to one.
+    What is gathered is one company-year's pairs.
+    """
+    words = F.array_distinct(terms_of(F.col("topic")))
+    named = topics.select("corp", "fy", "topic", F.when(F.size(words) > 0, words).otherwise(F.array("topic")).alias("words"))
+    each = named.select("corp", "fy", "topic", F.size("words").alias("n"), F.explode("words").alias("word"))
+    before = each.select("corp", (F.col("fy") + 1).alias("fy"), F.col("topic").alias("prior"), F.col("n").alias("n_prior"), "word")
+    pairs = each.join(before, ["corp", "fy", "word"]).groupBy("corp", "fy", "topic", "prior", "n", "n_prior").agg(F.count("*").alias("shared"))
+    pairs = pairs.withColumn("similarity", F.col("shared") / (F.col("n") + F.col("n_prior") - F.col("shared"))).where(F.col("similarity") >= least)
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("far"), (F.col("topic") != F.col("prior")).alias("other"), "prior", "topic")))
+    taken = F.filter(F.array(F.struct(F.lit(0.0).alias("far"), F.lit(False).alias("other"), F.lit("").alias("prior"), F.lit("").alias("topic"))), lambda _: F.lit(False))
+    free = lambda out, p: ~F.exists(out, lambda x: (x["prior"] == p["prior"]) | (x["topic"] == p["topic"]))
+    matched = pairs.groupBy("corp", "fy").agg(ranked.alias("pairs"))
+    matched = matched.select("corp", "fy", F.explode(F.aggregate("pairs", taken, lambda out, p: F.when(free(out, p), F.array_append(out, p)).otherwise(out))).alias("p"))
+    links = matched.select("corp", "fy", F.col("p.topic").alias("topic"), F.col("p.prior").alias("prior"), (-F.col("p.far")).alias("similarity"))
+    goes_on = links.select("corp", (F.col("fy") - 1).alias("fy"), F.col("prior").alias("topic"), F.lit(True).alias("goes_on"))
+    out = topics.join(links, ["corp", "fy", "topic"], "left").join(goes_on, ["corp", "fy", "topic"], "left")
+    entry = F.when(F.col("prior").isNull(), "new").when(F.col("prior") == F.col("topic"), "continued").otherwise("reworded")
+    leaving = F.when(F.col("fy") == last, "open").when(F.col("goes_on"), "kept").otherwise("dropped")
+    return out.select("corp", "fy", "topic", "prior", "similarity", entry.alias("entry"), leaving.alias("exit"))
+
+
+#: Standard errors from a threshold within which an estimate of companies isn't relied on, and the buckets (a power of two) of their sketches.
+NEAR_ERRORS, LG_BUCKETS = 5, 12
+
+
+def market_cells(engagements: DataFrame) -> DataFrame:
+    """engagements: fy, industry, auditor, corp, fee (decimal). One row a cell of the finest grain, with a sketch of its companies: what a stored release needs for any cube."""
+    return engagements.groupBy("fy", "industry", "auditor").agg(F.sum("fee").alias("fee"), F.count("*").alias("n"), F.hll_sketch_agg("corp", LG_BUCKETS).alias("companies"))
+
+
+def market_cube(engagements: DataFrame, least: int = 10, cells: DataFrame | None = None) -> DataFrame:
+    """The audit market by all sets of year, industry and auditor: fy, industry, auditor, level (bits of what is summed over), fee, n, and whether it has ``least`` companies or more, so that a figure tells of no single one (reported).
+
+    cells: of market_cells, written, if there are any. Cells roll up: sums are added and sketches merged, so engagements are read for the cells
+    only, and once more for those sets in which an estimate is so near to ``least`` that companies are counted themselves.
+    """
+    dims = ["fy", "industry", "auditor"]
+    cells = materialize(market_cells(engagements), "market-cells") if cells is None else cells
+    cube = cells.cube(*dims).agg(F.grouping_id().cast("long").alias("level"), F.sum("fee").alias("fee"), F.sum("n").alias("n"), F.hll_sketch_estimate(F.hll_union_agg("companies")).alias("estimate"))
+    cube = materialize(cube, "market-cube")
+    error = NEAR_ERRORS * 1.04 / 2 ** (LG_BUCKETS / 2)
+    near = cube.where(F.col("estimate").between(least * (1 - error) - 1, least * (1 + error) + 1)).select(*dims, "level")
+    exact = None
+    for level in sorted(r.level for r in near.select("level").distinct().collect()):  # eight at most
+        own = [d for i, d in enumerate(dims) if not level >> (len(dims) - 1 - i) & 1]
+        rows = engagements.select(*own, "corp").distinct()
+        rows = joined(rows, near.where(F.col("level") == level).select(*own, F.lit(True).alias("near")), own) if own else rows
+        counts = rows.groupBy(*own).agg(F.count("corp").alias("companies"))
+        counts = counts.select(*(F.col(d) if d in own else F.lit(None).cast(cube.schema[d].dataType).alias(d) for d in dims), F.lit(level).cast("long").alias("level"), "companies")
+        exact = counts if exact is None else exact.unionByName(counts)
+    counted = joined(cube, exact, [*dims, "level"], "left") if exact is not None else cube.withColumn("companies", F.lit(None).cast("long"))
+    return counted.select(*dims, "level", F.col("fee").cast("double").alias("fee"), "n", (F.coalesce("companies", "estimate") >= least).alias("reported"))
+
+
 def acceptance_pack(concern: DataFrame, restated: DataFrame, history: DataFrame, fees: DataFrame) -> DataFrame:
     """One row for each company and year of concern: points, candidates, auditor, status, ratio. Its state is the worst of its parts'."""
     out = concern.join(restated, ["corp", "fy"], "left").join(history.select("corp", "fy", "auditor", "status"), ["corp", "fy"], "left").join(fees.select("corp", "fy", "ratio"), ["corp", "fy"], "left")

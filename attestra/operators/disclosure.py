@@ -1,14 +1,17 @@
-"""search_disclosure_events, fetch_disclosure_on_demand, and joins of filings with events."""
+"""search_disclosure_events, fetch_disclosure_on_demand."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestra.functions.bounds import bounded_keys, bounded_limit
 from attestra.functions.evidence import UNVERIFIED
+from attestra.operators.asof import as_of
+
+__all__ = ["as_of", "disclosure_lookup", "search_disclosure_events"]
 
 
 def search_disclosure_events(events: DataFrame, types: Sequence[str], since: str, until: str, limit: int = 100) -> DataFrame:
@@ -21,13 +24,3 @@ def disclosure_lookup(requests: DataFrame, filings: DataFrame) -> DataFrame:
     """requests: receipt. What the release holds of them: receipt, corp, state. The network is never asked: a receipt that isn't there is ``unverified``."""
     found = filings.select("receipt", "corp", "state")
     return requests.select("receipt").join(found, "receipt", "left").select("receipt", "corp", F.coalesce("state", F.lit(UNVERIFIED)).alias("state"))
-
-
-def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, right_id: str) -> DataFrame:
-    """Each row of left with the latest row of right, of the same key, at or before its time (null: none). One sort by key, no pairs."""
-    marked = left.select(key, F.col(left_time).alias("at"), F.struct(*left.columns).alias("row"), F.lit(None).cast(right.schema[right_id].dataType).alias("latest"))
-    other = right.select(key, F.col(right_time).alias("at"), F.lit(None).cast(marked.schema["row"].dataType).alias("row"), F.col(right_id).alias("latest"))
-    # of one moment, what is looked up comes first, in order of its id
-    w = Window.partitionBy(key).orderBy("at", F.col("row").isNotNull(), "latest").rowsBetween(Window.unboundedPreceding, 0)
-    both = marked.unionByName(other).withColumn("latest", F.last("latest", ignorenulls=True).over(w))
-    return both.where("row IS NOT NULL").select("row.*", F.col("latest").alias(f"latest_{right_id}"))

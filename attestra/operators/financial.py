@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestra.functions.evidence import AVAILABLE, derived
+from attestra.functions.evidence import AVAILABLE, SUMMARY_ONLY, UNAVAILABLE, derived
 from attestra.operators.ranking import value_ranks
 
 
@@ -56,6 +56,14 @@ def quality_of_earnings(values: DataFrame, whole: int | None = None) -> DataFram
     return out.select("corp", "fy", "conversion", yoy.alias("yoy"), F.avg("conversion").over(w.rowsBetween(-2, 0)).alias("avg3"))
 
 
+def leverage(values: DataFrame, most: float = 2.0) -> DataFrame:
+    """values: corp, fy, debt, equity (doubles). leverage: debt to equity (null where that is zero or either is unknown); high: over ``most``, or no equity left where there is debt; state."""
+    ratio = F.try_divide("debt", "equity")
+    known = F.col("debt").isNotNull() & F.col("equity").isNotNull()
+    high = F.when(known, (F.col("debt") > 0) & (F.col("equity") <= 0) | F.coalesce(ratio > most, F.lit(False)))
+    return values.select("corp", "fy", "debt", "equity", ratio.alias("leverage"), high.alias("high"), F.when(known, SUMMARY_ONLY).otherwise(UNAVAILABLE).alias("state"))
+
+
 def dcf_inputs(values: DataFrame, last: int) -> DataFrame:
     """values: corp, fy, value, tax, net (decimals). Candidate inputs, no valuation: corp, input, value, state. From the three years up to ``last``."""
     years = values.where(F.col("fy").between(last - 2, last)).groupBy("corp").agg(

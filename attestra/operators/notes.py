@@ -18,6 +18,13 @@ def topic_of(text: Column, patterns: Mapping[str, str]) -> Column:
     return F.coalesce(*(F.when(text.rlike(p), F.lit(t)) for t, p in patterns.items()))
 
 
+def format_of(text: Column) -> Column:
+    """Format metadata: how often each kind of mark-up is in a text, as a map of tag names."""
+    tags = F.regexp_extract_all(text, F.lit("<([a-z][a-z0-9]*)"), F.lit(1))
+    kinds = F.array_sort(F.array_distinct(tags))
+    return F.map_from_arrays(kinds, F.transform(kinds, lambda k: F.size(F.filter(tags, lambda t: t == k))))
+
+
 def search_sections(sections: DataFrame, query: str, limit: int = 50) -> DataFrame:
     """sections: doc_id, pos, section. Those with the term, most occurrences first: doc_id, pos, score."""
     return sections.select("doc_id", "pos", occurrences(F.col("section"), query).alias("score")).where("score > 0").orderBy(F.desc("score"), "doc_id", "pos").limit(bounded_limit(limit))
@@ -51,13 +58,24 @@ def compare_peer_notes(policies: DataFrame, facts: DataFrame) -> DataFrame:
     return out.select("doc_id", "target", "shared", "fact", "target_fact", F.when(F.col("fact").isNull() | F.col("target_fact").isNull(), UNVERIFIED).otherwise(SUMMARY_ONLY).alias("state"))
 
 
+def earlier(documents: DataFrame, group: Sequence[str]) -> DataFrame:
+    """doc_id, prev: the document before each in its group, from ids alone."""
+    near = with_neighbours(documents.select(*group, "doc_id"), group, "doc_id", "doc_id", 1)
+    return near.select("doc_id", F.get(F.filter("near", lambda x: x["peer"] < F.col("doc_id")), F.lit(0))["peer"].alias("prev")).where("prev IS NOT NULL")
+
+
+def with_prior(documents: DataFrame, group: Sequence[str] = ("lang", "source")) -> DataFrame:
+    """documents: doc_id, text and the group's columns. doc_id, prev, before, after: each document's text with that of the one before in its group."""
+    texts = documents.select("doc_id", F.col("text").alias("after"))
+    return texts.join(earlier(documents, group), "doc_id").join(documents.select(F.col("doc_id").alias("prev"), F.col("text").alias("before")), "prev").select("doc_id", "prev", "before", "after")
+
+
 def policy_changes(documents: DataFrame, group: Sequence[str] = ("lang", "source")) -> DataFrame:
     """documents: doc_id, text and the group's columns. Each document against the one before in its group: doc_id, prev, added, removed (distinct lines).
 
     Who comes before is found from ids alone, in buckets of each group; then texts meet in pairs.
     """
-    near = with_neighbours(documents.select(*group, "doc_id"), group, "doc_id", "doc_id", 1)
-    pairs = near.select("doc_id", F.get(F.filter("near", lambda x: x["peer"] < F.col("doc_id")), F.lit(0))["peer"].alias("prev")).where("prev IS NOT NULL")
+    pairs = earlier(documents, group)
     lines = documents.select("doc_id", F.split("text", "\n").alias("lines"))
     out = lines.join(pairs, "doc_id").join(lines.select(F.col("doc_id").alias("prev"), F.col("lines").alias("before")), "prev")
     return out.select("doc_id", "prev", F.size(F.array_except("lines", "before")).cast("long").alias("added"), F.size(F.array_except("before", "lines")).cast("long").alias("removed"))

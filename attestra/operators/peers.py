@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from attestra.functions.bounds import bounded_keys
 from attestra.operators.ranking import with_neighbours
-from attestra.tables import joined
+from attestra.tables import joined, materialize, small
 
 
 def peers_by_prefix(companies: DataFrame, target: int | str, prefix: str) -> DataFrame:
@@ -53,20 +53,31 @@ def peers_by_code(companies: DataFrame, targets: DataFrame, digits: int) -> Data
     return companies.select("corp", start.alias("prefix")).join(wanted, "prefix").where("corp <> target").select("target", F.col("corp").alias("peer"), F.concat(F.lit("prefix:"), "prefix").alias("rule"))
 
 
-def peers_by_band(companies: DataFrame, targets: DataFrame, low: float = 0.8, high: float = 1.25) -> DataFrame:
-    """companies and targets: corp, industry, size. target, peer, rule: those of the target's industry whose size is between low and high times the target's.
+def cohorts_by_code(companies: DataFrame, digits: int) -> DataFrame:
+    """companies: corp, code. One row a company: corp, cohort (the code's first digits), first (the cohort's lowest key), n_peers (others in it), rule. Whoever needs pairs joins on the cohort; a null code is in none."""
+    start = F.substring("code", 1, digits)
+    members = companies.select("corp", start.alias("cohort"))
+    sums = materialize(members.where("cohort IS NOT NULL").groupBy("cohort").agg(F.min("corp").alias("first"), F.count("*").alias("n")), "cohorts")
+    out = members.join(small(sums), "cohort", "left")
+    return out.select("corp", "cohort", "first", F.coalesce(F.col("n") - 1, F.lit(0)).alias("n_peers"), F.when(F.col("cohort").isNotNull(), F.concat(F.lit("prefix:"), "cohort")).alias("rule"))
+
+
+def peers_by_band(companies: DataFrame, targets: DataFrame, low: float = 0.8, high: float = 1.25, digits: int = 0) -> DataFrame:
+    """companies and targets: corp, industry, size (and code, with digits). target, peer, rule: those of the target's industry whose size is between low and high times the target's.
 
-    Sizes are put in steps of a ratio, and a target looks into the steps that its band touches: an equi-join, not all pairs of an industry.
+    digits: those whose code starts with the same digits, too. Sizes are put in steps of a ratio, and a target looks into the steps that its
+    band touches: an equi-join on industry, step and digits, not all pairs of an industry, nor of a code.
     """
     if not 0 < low <= high:
         raise ValueError("a band needs 0 < low <= high")
     size = F.col("size").cast("double")
     step = lambda x, slack=0.0: F.when(x > 0, F.floor(F.log(x) / F.log(F.lit(1.25)) + slack)).otherwise(F.lit(-(10**6)))
-    wanted = targets.select(F.col("corp").alias("target"), "industry", (size * low).alias("low"), (size * high).alias("high"))
+    start = F.substring("code", 1, digits) if digits else F.lit("")
+    wanted = targets.select(F.col("corp").alias("target"), "industry", start.alias("start"), (size * low).alias("low"), (size * high).alias("high"))
     wanted = wanted.withColumn("step", F.explode(F.sequence(step(F.col("low"), -1e-9), step(F.col("high"), 1e-9))))
-    sized = companies.select("corp", "industry", size.alias("size"), step(size).alias("step"))
-    found = joined(sized, wanted, ["industry", "step"]).where(F.col("size").between(F.col("low"), F.col("high")) & (F.col("corp") != F.col("target")))
-    return found.select("target", F.col("corp").alias("peer"), F.lit(f"adaptive:industry,size {low:g}-{high:g}").alias("rule"))
+    sized = companies.select("corp", "industry", start.alias("start"), size.alias("size"), step(size).alias("step"))
+    found = joined(sized, wanted, ["industry", "step", "start"]).where(F.col("size").between(F.col("low"), F.col("high")) & (F.col("corp") != F.col("target")))
+    return found.select("target", F.col("corp").alias("peer"), F.concat(F.lit(f"adaptive:industry,size {low:g}-{high:g}" + ("+prefix:" if digits else "")), "start").alias("rule"))
 
 
 def composed(*cohorts: DataFrame) -> DataFrame:

@@ -17,9 +17,13 @@ def occurrences(text: Column, term: str) -> Column:
     return ((F.length(text) - F.length(F.replace(text, F.lit(term), F.lit("")))) / len(term)).cast("long")
 
 
-def search_company(companies: DataFrame, query: str, limit: int = 20) -> DataFrame:
-    """Companies (corp, name) whose name contains the query, by edit distance to it, then by key."""
-    hits = companies.where(F.lower("name").contains(search_term(query).lower())).select("corp", "name", F.levenshtein("name", F.lit(query)).cast("long").alias("distance"))
+def search_company(companies: DataFrame, query: str, limit: int = 20, typos: int = 0) -> DataFrame:
+    """Companies (corp, name) whose name contains the query, whatever the case, or is within ``typos`` edits of it (one for each four letters of the query at most), by edit distance to it, then by key."""
+    asked = search_term(query).lower()
+    found = F.lower("name").contains(asked)
+    if edits := min(typos, len(asked) // 4):
+        found |= F.levenshtein(F.lower("name"), F.lit(asked), edits) >= 0
+    hits = companies.where(found).select("corp", "name", F.levenshtein("name", F.lit(query)).cast("long").alias("distance"))
     return hits.orderBy("distance", "corp").limit(bounded_limit(limit))
 
 

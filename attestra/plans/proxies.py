@@ -98,6 +98,16 @@ def engagements(active: DataFrame) -> DataFrame:
     return active.where("auditor IS NOT NULL").groupBy("corp", "fy", "auditor").agg(F.sum(audit).alias("audit_fee"), F.sum(F.col("net") - audit).alias("non_audit_fee"))
 
 
+def holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """parent, child, share: a tree of companies by key, eight to a parent, with some that hold their next sibling, and some their parent."""
+    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("corp"), F.floor(F.abs("c_acctbal")).cast("long").alias("balance"))
+    above = F.floor(F.col("corp") / 8).cast("long")
+    down = c.where("corp > 0").select(above.alias("parent"), F.col("corp").alias("child"), ((50 + F.col("balance") % 50) / F.lit(100.0)).alias("share"))
+    back = c.where("corp % 11 = 0 AND corp > 0").select(F.col("corp").alias("parent"), above.alias("child"), F.lit(0.125).alias("share"))
+    across = c.where("corp % 5 = 0 AND corp % 8 < 7").select(F.col("corp").alias("parent"), (F.col("corp") + 1).alias("child"), F.lit(0.375).alias("share"))
+    return down.unionByName(back).unionByName(across.join(c.select(F.col("corp").alias("child")), "child", "left_semi"))
+
+
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of documents with their place: doc_id, lang, source, pos (from 0), section."""
     lines = read(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("pos", "section"))

@@ -7,11 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attestra.functions.evidence import best, grid
-from attestra.operators import audit, disclosure, financial, notes, peers, search, semantic
+from attestra.operators import alignment, asof, audit, disclosure, financial, fuzzy, nearest, notes, peers, perimeter, search, semantic, similar
+from attestra.operators.text_index import TextIndex
 from attestra.plans import proxies as px
 from attestra.plans.proxies import double, read
 from attestra.streaming.events import windowed
@@ -104,11 +105,22 @@ def coverage_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
 # search
 
 
+#: The query set of searches: every row whose key is divisible by this, against all rows.
+EACH = 100
+
+
 @query(sql("SELECT corp, name, CAST(levenshtein(name, 'Customer#00000012') AS BIGINT) AS distance FROM company WHERE contains(lower(name), 'customer#00000012') ORDER BY distance, corp LIMIT 20", "company"))
 def search_company(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search_company(px.companies(spark, sf_dir), "Customer#00000012", 20)
 
 
+@query("SELECT DISTINCT a.c_name AS name, b.c_name AS other, CAST(levenshtein(a.c_name, b.c_name) AS BIGINT) AS distance FROM customer a JOIN customer b ON a.c_custkey % 100 = 0 AND a.c_name <> b.c_name AND levenshtein(a.c_name, b.c_name) <= 2")
+def near_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Companies whose name is within two edits of that of every hundredth one."""
+    companies = read(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("name"))
+    return fuzzy.near_names(companies, companies.where(F.col("c_custkey") % EACH == 0))
+
+
 @query(
     """WITH hit AS (
 SELECT 'company' AS kind, c_custkey AS id, c_name AS label, c_mktsegment AS text FROM customer
@@ -137,10 +149,6 @@ def resolve_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # peers
 
 
-#: The query set of searches over companies and vectors: every row whose key is divisible by this, against all rows.
-EACH = 100
-
-
 @query(sql("SELECT t.corp AS target, c.corp AS peer, 'prefix:' || t.code AS rule FROM company t JOIN company c ON t.code = c.code AND t.corp <> c.corp WHERE t.corp % 100 = 0", "company"))
 def peers_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     companies = px.companies(spark, sf_dir).select("corp", "code")
@@ -179,8 +187,35 @@ def peers_band(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql(BAND.replace("size 0.8-1.25' AS rule", "size 0.8-1.25+prefix:' || left(a.code, 1) AS rule") + " AND left(a.code, 1) = left(b.code, 1)", "company", "yearly").replace(" SELECT a.corp", f", {SIZED.replace('corp, industry,', 'corp, industry, code,').replace('GROUP BY corp, industry', 'GROUP BY corp, industry, code')} SELECT a.corp"))
 def peers_composed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    companies = px.companies(spark, sf_dir).select("corp", "code")
-    return peers.composed(peers_band(spark, sf_dir), peers.peers_by_code(companies, companies.where(F.col("corp") % EACH == 0), 1))
+    """Industry, size and the code's first digit are keys of one join."""
+    companies = sized(spark, sf_dir).join(px.companies(spark, sf_dir).select("corp", "code"), "corp")
+    return peers.peers_by_band(companies, companies.where(F.col("corp") % EACH == 0), digits=1)
+
+
+@query(sql("SELECT corp, code AS cohort, min(corp) OVER w AS first, count(*) OVER w - 1 AS n_peers, 'prefix:' || code AS rule FROM company WINDOW w AS (PARTITION BY code)", "company"))
+def prefix_cohorts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every company's cohort by code: membership, and not the pairs."""
+    return peers.cohorts_by_code(px.companies(spark, sf_dir).select("corp", "code"), 3)
+
+
+MEASURES = {"size": 100_000.0, "n_filings": 4.0, "balance": 2_500.0}
+
+
+@query(
+    sql(
+        """SELECT target, peer, rank, distance, 'adaptive:nearest 5 by size, n_filings, balance within industry' AS rule FROM (
+SELECT *, row_number() OVER (PARTITION BY target ORDER BY distance, peer) AS rank FROM (
+SELECT a.corp AS target, b.corp AS peer, (b.size - a.size) * (b.size - a.size) + (b.n - a.n) * (b.n - a.n) + (b.balance - a.balance) * (b.balance - a.balance) AS distance
+FROM measured a JOIN measured b ON a.industry = b.industry AND a.corp <> b.corp AND a.corp % 100 = 0)) WHERE rank <= 5""",
+        "company",
+        "yearly",
+    ).replace(" SELECT target", ", measured AS (SELECT corp, industry, CAST(coalesce(sum(value), 0) AS DOUBLE) / CAST(100000 AS DOUBLE) AS size, CAST(coalesce(sum(n_filings), 0) AS DOUBLE) / CAST(4 AS DOUBLE) AS n, balance / CAST(2500 AS DOUBLE) AS balance FROM company LEFT JOIN yearly USING (corp) GROUP BY corp, industry, balance) SELECT target", 1)
+)
+def peers_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five companies of its industry that are nearest to every hundredth one in size, filings and balance together."""
+    sums = px.yearly(spark, sf_dir).groupBy("corp").agg(double(F.sum("value")).alias("size"), F.sum("n_filings").alias("n_filings"))
+    companies = px.companies(spark, sf_dir).select("corp", "industry", "balance").join(sums, "corp", "left").fillna(0, ["size", "n_filings"])
+    return nearest.nearest_peers(companies, companies.where(F.col("corp") % EACH == 0), MEASURES, 5, ["industry"])
 
 
 # financial
@@ -218,6 +253,20 @@ def quality_of_earnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(spark, sf_dir)
 
 
+@query(
+    sql(
+        """SELECT corp, fy, debt, equity, debt / nullif(equity, 0) AS leverage, CASE WHEN debt IS NOT NULL AND equity IS NOT NULL THEN debt > 0 AND equity <= 0 OR coalesce(debt / nullif(equity, 0) > 2, false) END AS high,
+CASE WHEN debt IS NOT NULL AND equity IS NOT NULL THEN 'summary_only' ELSE 'unavailable' END AS state
+FROM (SELECT corp, fy, CAST(sum(value) FILTER (WHERE state = 'unverified') AS DOUBLE) AS debt, CAST(sum(value) FILTER (WHERE state = 'available') AS DOUBLE) AS equity FROM filing GROUP BY corp, fy)""",
+        "filing",
+    )
+)
+def leverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open orders to fulfilled ones, as debt to equity."""
+    of = lambda state: double(F.sum(F.when(F.col("state") == state, F.col("value"))))
+    return financial.leverage(px.filings(spark, sf_dir).groupBy("corp", "fy").agg(of("unverified").alias("debt"), of("available").alias("equity")))
+
+
 @query(
     sql(
         """SELECT corp, input, value, CASE WHEN value IS NULL THEN 'unavailable' ELSE 'summary_only' END AS state FROM (
@@ -272,7 +321,7 @@ def event_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each purchase with the latest view of the same user."""
     e = events(spark, sf_dir)
     bought = e.where("type = 'purchase'").select("corp", "ts", F.col("event_id").alias("bought"))
-    found = disclosure.as_of(bought, e.where("type = 'view'").select("corp", "ts", "event_id"), "corp", "ts", "ts", "event_id")
+    found = asof.as_of(bought, e.where("type = 'view'").select("corp", "ts", "event_id"), "corp", "ts", "ts", "event_id")
     return found.select(F.col("bought").alias("event_id"), "corp", "latest_event_id")
 
 
@@ -412,6 +461,44 @@ def group_perimeter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges.groupBy(F.col("r_regionkey").cast("long").alias("parent"), F.col("r_name").alias("name")).agg(F.countDistinct("n_nationkey").alias("n_groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_subsidiaries"))
 
 
+@query(
+    """WITH RECURSIVE edge AS (SELECT parent, child, max(share) AS share FROM (
+  SELECT c_custkey // 8 AS parent, c_custkey AS child, (50 + CAST(floor(abs(c_acctbal)) AS BIGINT) % 50) / CAST(100 AS DOUBLE) AS share FROM customer WHERE c_custkey > 0
+  UNION ALL SELECT c_custkey, c_custkey // 8, CAST(0.125 AS DOUBLE) FROM customer WHERE c_custkey % 11 = 0 AND c_custkey > 0
+  UNION ALL SELECT c_custkey, c_custkey + 1, CAST(0.375 AS DOUBLE) FROM customer WHERE c_custkey % 5 = 0 AND c_custkey % 8 < 7 AND c_custkey + 1 IN (SELECT c_custkey FROM customer)) WHERE parent <> child GROUP BY parent, child),
+way AS (
+  SELECT parent AS root, child AS corp, CAST(1 AS BIGINT) AS level, share, [parent, child] AS path FROM edge
+  UNION ALL SELECT root, child, level + 1, way.share * edge.share, list_append(path, child) FROM way JOIN edge ON corp = parent WHERE NOT list_contains(path, child))
+SELECT root, corp, min(level) AS level, max(share) AS share FROM way GROUP BY root, corp"""
+)
+def perimeter_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that each company holds, however far down, in a tree of companies with holdings across and back (cycles)."""
+    return perimeter.perimeter(px.holdings(spark, sf_dir))
+
+
+@query(
+    sql(
+        """SELECT receipt, strftime("at", '%Y-%m-%d') AS "at", version, CAST(known AS DOUBLE) AS value, strftime(known_from, '%Y-%m-%d') AS known_from, source, CASE WHEN version IS NULL THEN 'unavailable' ELSE 'summary_only' END AS state
+FROM (SELECT DISTINCT l_orderkey AS receipt, corp, fy, l_shipdate AS "at" FROM lineitem JOIN filing ON l_orderkey = filing.receipt) r
+ASOF LEFT JOIN (
+  SELECT corp, fy, known_from, known, source, row_number() OVER (PARTITION BY corp, fy ORDER BY known_from) AS version FROM (
+    SELECT corp, fy, filed_at AS known_from, sum(sum(value)) OVER (PARTITION BY corp, fy ORDER BY filed_at) AS known, max(receipt) AS source FROM filing GROUP BY corp, fy, filed_at)) v
+ON r.corp = v.corp AND r.fy = v.fy AND r."at" >= v.known_from""",
+        "filing",
+    )
+)
+def value_as_known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """detect_restatement, the other way round: what the filings of a year came to as they were known on the days that its lines were shipped."""
+    filed = px.filings(spark, sf_dir).groupBy("corp", "fy", "filed_at").agg(F.sum("value").alias("value"), F.max("receipt").alias("receipt"))
+    running = F.sum("value").over(Window.partitionBy("corp", "fy").orderBy("filed_at"))
+    found = asof.versions(filed.withColumn("value", running), ["corp", "fy"], "value", "filed_at", "receipt")
+    line = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("receipt"), F.col("l_shipdate").alias("at")).distinct()
+    asked = line.join(px.filings(spark, sf_dir).select("receipt", "corp", "fy"), "receipt")
+    known = asof.known_at(asked, found, ["corp", "fy"], "at")
+    day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
+    return known.select("receipt", day("at"), "version", double(F.col("value")).alias("value"), day("known_from"), "source", F.when(F.col("version").isNull(), "unavailable").otherwise("summary_only").alias("state"))
+
+
 @query(
     sql(
         """SELECT industry, auditor, CAST(fee AS DOUBLE) AS fee,
@@ -445,6 +532,44 @@ def kam_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.kam_lifecycle(topics(spark, sf_dir), px.span(spark, sf_dir).last)
 
 
+@query(
+    sql(
+        """SELECT corp, fy, topic, prior, similarity, CASE WHEN prior IS NULL THEN 'new' WHEN prior = topic THEN 'continued' ELSE 'reworded' END AS entry,
+CASE WHEN fy = (SELECT last_year FROM span) THEN 'open' WHEN goes_on THEN 'kept' ELSE 'dropped' END AS exit
+FROM matter LEFT JOIN link USING (corp, fy, topic) LEFT JOIN (SELECT corp, fy - 1 AS fy, prior AS topic, true AS goes_on FROM link) USING (corp, fy, topic)""",
+        "line",
+        "span",
+    ).replace(
+        " SELECT corp, fy, topic, prior",
+        r""", matter AS MATERIALIZED (SELECT DISTINCT corp, fy, p_name AS topic FROM line JOIN part ON part = p_partkey),
+said AS MATERIALIZED (SELECT corp, fy, topic, list_distinct(regexp_extract_all(lower(topic), '[\p{L}\p{N}]+')) AS words FROM matter),
+pair AS (SELECT a.corp, a.fy, a.topic, b.topic AS prior, len(list_intersect(a.words, b.words)) / len(list_distinct(list_concat(a.words, b.words))) AS similarity FROM said a JOIN said b ON a.corp = b.corp AND a.fy = b.fy + 1),
+link AS MATERIALIZED (SELECT corp, fy, p.topic, p.prior, p.similarity FROM (
+  SELECT corp, fy, unnest(list_reduce(list([{'prior': prior, 'topic': topic, 'similarity': similarity}] ORDER BY similarity DESC, topic <> prior, prior, topic), lambda taken, x: CASE WHEN len(list_filter(taken, lambda t: t.prior = x[1].prior OR t.topic = x[1].topic)) > 0 THEN taken ELSE list_concat(taken, x) END)) AS p
+  FROM pair WHERE similarity >= 0.3 GROUP BY corp, fy)) SELECT corp, fy, topic, prior""",
+        1,
+    )
+)
+def kam_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """get_kam_lifecycle for matters that are reworded: parts by name, of which half may change."""
+    part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.col("p_name").alias("topic"))
+    named = px.lines(spark, sf_dir).select("corp", "fy", "part").join(part, "part").select("corp", "topic", "fy").distinct()
+    return audit.kam_threads(materialize(named, "matters"), px.span(spark, sf_dir).last, 0.3)
+
+
+@query(
+    sql(
+        "SELECT fy, industry, auditor, CAST(grouping_id(fy, industry, auditor) AS BIGINT) AS level, CAST(sum(audit_fee + non_audit_fee) AS DOUBLE) AS fee, count(*) AS n, count(DISTINCT corp) >= 40 AS reported FROM engagement JOIN company USING (corp) GROUP BY CUBE (fy, industry, auditor)",
+        "engagement",
+        "company",
+    )
+)
+def audit_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """get_industry_audit_landscape for all sets of year, industry and auditor."""
+    rows = engaged(spark, sf_dir).join(px.companies(spark, sf_dir).select("corp", "industry"), "corp")
+    return audit.market_cube(materialize(rows.select("fy", "industry", "auditor", "corp", (F.col("audit_fee") + F.col("non_audit_fee")).alias("fee")), "market"), 40)
+
+
 # reports and notes
 
 
@@ -468,6 +593,58 @@ def search_procedures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notes.search_sections(px.sections(spark, sf_dir), "the")
 
 
+#: The section index in SQL: postings, document frequencies and lengths.
+INDEXED = r"""words AS MATERIALIZED (SELECT doc_id, pos, unnest(t) AS term, generate_subscripts(t, 1) - 1 AS at, len(t) AS length FROM (SELECT doc_id, pos, regexp_extract_all(lower(section), '[\p{L}\p{N}]+') AS t FROM sections)),
+posting AS (SELECT doc_id, pos, length, term, count(*) AS tf FROM words GROUP BY ALL),
+frequency AS (SELECT term, count(*) AS df FROM posting GROUP BY term),
+stats AS (SELECT count(DISTINCT (doc_id, pos)) AS units, count(*) AS total FROM words)"""
+
+
+def indexed(body: str) -> str:
+    return sql(body, "sections").replace(" " + body, f", {INDEXED} {body}")
+
+
+def section_index(spark: SparkSession, sf_dir: str) -> TextIndex:
+    return TextIndex.build(px.sections(spark, sf_dir), ["doc_id", "pos"], "section")
+
+
+@query(
+    indexed(
+        """SELECT doc_id, pos, CAST(sum(CAST(ln(1 + (units - df + 0.5) / (df + 0.5)) * (tf * CAST(2.2 AS DOUBLE)) / (tf + CAST(1.2 AS DOUBLE) * (0.25 + 0.75 * length / (total / units))) AS DECIMAL(18,9))) AS DOUBLE) AS score, count(*) AS n_terms
+FROM posting JOIN frequency USING (term), stats WHERE term IN ('which', 'was', 'les', 'und', 'tion', 'la') GROUP BY doc_id, pos ORDER BY score DESC, doc_id, pos LIMIT 200"""
+    )
+)
+def ranked_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """search_audit_report_matters by rank: the 200 best sections for some words, by BM25, from the index."""
+    return section_index(spark, sf_dir).search("which was les und tion la", 200)
+
+
+@query(
+    indexed(
+        """SELECT doc_id, pos, CAST(sum(CAST(ln(1 + (units - df + 0.5) / (df + 0.5)) * (tf * CAST(2.2 AS DOUBLE)) / (tf + CAST(1.2 AS DOUBLE) * (0.25 + 0.75 * length / (total / units))) AS DECIMAL(18,9))) AS DOUBLE) AS score, count(*) AS n_terms
+FROM posting JOIN frequency USING (term) JOIN (SELECT DISTINCT doc_id, pos FROM sections WHERE NOT regexp_matches(section, 'Licen[sc]e') AND regexp_matches(section, '[0-9]{3}')) USING (doc_id, pos), stats
+WHERE term IN ('the', 'tion', '000', 'de') GROUP BY doc_id, pos ORDER BY score DESC, doc_id, pos LIMIT 50"""
+    )
+)
+def ranked_procedures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """search_audit_procedures: the best sections of one topic (those with figures). The topic is a key of the index, so the search reads no text."""
+    topic = notes.topic_of(F.col("section"), {"license": "Licen[sc]e", "figures": "[0-9]{3}"})
+    found = TextIndex.build(px.sections(spark, sf_dir).withColumn("topic", topic), ["doc_id", "pos", "topic"], "section").search("the tion 000 de", 50, F.col("topic") == "figures")
+    return found.select("doc_id", "pos", "score", "n_terms")
+
+
+@query(
+    indexed(
+        """SELECT a.doc_id, a.pos, count(*) AS n, min(a.at) AS first, max(a.at) AS last
+FROM words a JOIN words b ON a.doc_id = b.doc_id AND a.pos = b.pos AND b.at = a.at + 1 WHERE a.term = 'of' AND b.term = 'the' GROUP BY a.doc_id, a.pos"""
+    )
+)
+def phrase_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sections with a phrase, and its places."""
+    found = section_index(spark, sf_dir).phrase("of the")
+    return found.select("doc_id", "pos", "n", F.array_min("places").cast("long").alias("first"), F.array_max("places").cast("long").alias("last"))
+
+
 @query(
     """SELECT doc_id, topic, "at", CASE WHEN "at" IS NOT NULL THEN substr(text, "at", 40) END AS excerpt, CASE WHEN "at" IS NOT NULL THEN 'available' WHEN known THEN 'unverified' ELSE 'unavailable' END AS state
 FROM (SELECT doc_id, text, topic, nullif(instr(text, topic), 0) AS "at", doc_id IN (SELECT doc_id FROM labels) AS known FROM documents, unnest(['License', 'shanwh', 'sch ', 'pour']) AS t(topic))"""
@@ -504,6 +681,21 @@ def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract("html", 'html lang="([a-z]+)"', 1).alias("lang"), paragraphs.cast("long").alias("n_paragraphs"))
 
 
+@query("SELECT page_id, format, CAST(coalesce(n_kinds, 0) AS BIGINT) AS n_kinds FROM pages LEFT JOIN (SELECT page_id, string_agg(tag || '=' || n, ' ' ORDER BY tag) AS format, count(*) AS n_kinds FROM (SELECT page_id, tag, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages) GROUP BY page_id, tag) GROUP BY page_id) USING (page_id)")
+def page_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Format metadata of each page, from a map of its tags."""
+    pages = read(spark, sf_dir, "pages").select("page_id", notes.format_of(F.col("html")).alias("format"))
+    told = F.array_join(F.transform(F.array_sort(F.map_keys("format")), lambda k: F.concat(k, F.lit("="), F.col("format")[k].cast("string"))), " ")
+    return pages.select("page_id", F.when(F.size("format") > 0, told).alias("format"), F.size("format").cast("long").alias("n_kinds"))
+
+
+@query()
+def aligned_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """get_accounting_policy_changes with spans: each document's sentences aligned with those of the one before in its group. A longest common subsequence isn't SQL; a test holds it against brute force."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return alignment.aligned_changes(notes.with_prior(docs), ["doc_id", "prev"])
+
+
 # context
 
 
@@ -523,6 +715,14 @@ def company_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return semantic.company_context(facts, matters, happened)
 
 
+@query()
+def similar_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """semantic_peer_context_review by what reports say: the five most similar of every hundredth one. Cells are approximate, so there is no SQL; a test measures recall against all pairs."""
+    docs = read(spark, sf_dir, "documents")
+    index = TextIndex.build(docs, ["doc_id"], "text")
+    return similar.similar(index, docs.where(F.col("doc_id") % EACH == 0))
+
+
 @query(
     """SELECT a.vec_id AS target, b.vec_id AS peer, row_number() OVER (PARTITION BY a.vec_id ORDER BY s.score DESC, b.vec_id) AS rank, s.score
 FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id, LATERAL (SELECT list_reduce(list_transform(range(1, len(a.embedding) + 1), lambda i: CAST(a.embedding[i] AS DOUBLE) * CAST(b.embedding[i] AS DOUBLE)), lambda x, y: x + y) AS score) s

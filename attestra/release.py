@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attestra.functions.evidence import AVAILABLE
+from attestra.operators.text_index import TextIndex
 from attestra.sources.archive import read_release, write_release
 
 #: corp and receipt are strings: leading zeros matter. fy: fiscal year.
@@ -23,6 +26,9 @@ SCHEMAS = {
     "disclosure": "event_id string, corp string, ts timestamp_ntz, type string, attrs string",
 }
 
+#: What tells sections apart.
+SECTION_KEYS = ("corp", "fy", "receipt", "kind", "topic", "start")
+
 
 @dataclass(frozen=True)
 class Release:
@@ -30,16 +36,30 @@ class Release:
 
     spark: SparkSession
     tables: Mapping[str, DataFrame]
+    index_path: str | None = None
 
     @classmethod
     def at(cls, spark: SparkSession, path: str) -> Release:
-        """A written release; its tables are read, never changed."""
+        """A written release; its tables and its section index are read, never changed."""
         names = [r.table for r in spark.read.parquet(f"{path}/manifest").select("table").collect()]
-        return cls(spark, {n: read_release(spark, path, n) for n in names})
+        return cls(spark, {n: read_release(spark, path, n) for n in names}, f"{path}/section-index" if "section" in names else None)
 
     def write(self, path: str) -> DataFrame:
+        """The tables, with an index of the sections; the manifest comes last and marks the release as complete."""
+        if "section" in self.tables:
+            TextIndex.build(self.indexed_sections, SECTION_KEYS, "text", f"{path}/section-index")
         return write_release(dict(self.tables), path)
 
+    @property
+    def indexed_sections(self) -> DataFrame:
+        """Sections that may be shown, each with the keys that tell it apart."""
+        return self["section"].where(F.col("state") == AVAILABLE).select(*SECTION_KEYS, "text")
+
+    @cached_property
+    def sections(self) -> TextIndex:
+        """The index of the sections: the release's own, or one that is built in the shared folder when it is first asked for."""
+        return TextIndex.at(self.spark, self.index_path) if self.index_path else TextIndex.build(self.indexed_sections, SECTION_KEYS, "text")
+
     def __getitem__(self, name: str) -> DataFrame:
         return self.tables[name] if name in self.tables else self.spark.createDataFrame([], SCHEMAS[name])
 

@@ -57,13 +57,24 @@ def lines_of(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.from_json("value", "map<string,string>").alias("line"), "value")
 
 
-def facts_from_json(spark: SparkSession, path: str, accounts: Mapping[str, str], fields: Mapping[str, Sequence[str]] = FACT_FIELDS) -> DataFrame:
-    """The fact table. accounts: name in the lists -> account; lines of other accounts, or without a number, are left out (rejected_lines shows which)."""
+def parsed_facts(spark: SparkSession, path: str, accounts: Mapping[str, str], fields: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Every line, parsed as far as it can be: the fact table's columns, line (as it came), and reason (why it is no fact; null: it is one)."""
     names = F.create_map(*(F.lit(x) for pair in accounts.items() for x in pair))
-    rows = lines_of(spark, path).select(*(field(n).alias(k) for k, n in fields.items()))
-    value = F.expr("try_cast(replace(value, ',', '') AS decimal(38,2))")
-    out = rows.select("corp", F.expr("try_cast(fy AS int)").alias("fy"), F.expr("try_cast(reported_in AS int)").alias("reported_in"), F.try_element_at(names, F.col("account")).alias("account"), value.alias("value"), "receipt")
-    return out.where("account IS NOT NULL AND corp IS NOT NULL AND fy IS NOT NULL AND value IS NOT NULL")
+    rows = lines_of(spark, path).select("value", F.col("line").isNull().alias("broken"), *(field(n).alias(f"own_{k}") for k, n in fields.items()))
+    number = F.expr("try_cast(replace(own_value, ',', '') AS decimal(38,2))")
+    out = rows.select(F.col("own_corp").alias("corp"), F.expr("try_cast(own_fy AS int)").alias("fy"), F.expr("try_cast(own_reported_in AS int)").alias("reported_in"), F.try_element_at(names, F.col("own_account")).alias("account"), number.alias("value"), F.col("own_receipt").alias("receipt"), F.col("value").alias("line"), "broken", "own_account", "own_value", "own_fy")
+    missing = [("no JSON", F.col("broken")), ("no company", F.col("corp").isNull()), ("no year", F.col("own_fy").isNull()), ("year is no number", F.col("fy").isNull()), ("no account", F.col("own_account").isNull()), ("account isn't mapped", F.col("account").isNull()), ("no value", F.col("own_value").isNull()), ("value is no number", F.col("value").isNull())]
+    return out.withColumn("reason", F.coalesce(*(F.when(test, F.lit(reason)) for reason, test in missing))).drop("broken", "own_account", "own_value", "own_fy")
+
+
+def rejected_facts(spark: SparkSession, path: str, accounts: Mapping[str, str], fields: Mapping[str, Sequence[str]] = FACT_FIELDS) -> DataFrame:
+    """All lines that facts_from_json leaves out, by any of a field's names: corp, fy, receipt (as far as they are known), line, reason, state. Nothing vanishes: a line is here or a fact."""
+    return parsed_facts(spark, path, accounts, fields).where("reason IS NOT NULL").select("corp", "fy", "receipt", "line", "reason", F.lit(UNVERIFIED).alias("state"))
+
+
+def facts_from_json(spark: SparkSession, path: str, accounts: Mapping[str, str], fields: Mapping[str, Sequence[str]] = FACT_FIELDS) -> DataFrame:
+    """The fact table. accounts: name in the lists -> account; lines of other accounts, or without company, year or number, are left out (rejected_facts has them, with the reason)."""
+    return parsed_facts(spark, path, accounts, fields).where("reason IS NULL").drop("line", "reason")
 
 
 def disclosures_from_json(spark: SparkSession, path: str, fields: Mapping[str, Sequence[str]] = DISCLOSURE_FIELDS) -> DataFrame:

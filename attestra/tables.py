@@ -29,16 +29,26 @@ def _folder(spark: SparkSession, path: str):  # noqa: ANN202
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/attestra-{name}-{uuid.uuid4().hex}"
+
+
+def passing(spark: SparkSession, path: str) -> None:
+    """What is written at the path goes when the application ends."""
+    files, where = _folder(spark, path)
+    files.deleteOnExit(where)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df once to the shared folder and reads it back: lineage ends there, and lost executors lose nothing.
 
     The files go when the application ends, or by discard().
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/attestra-{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
-    files, where = _folder(spark, path)
-    files.deleteOnExit(where)
+    passing(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
     return out
