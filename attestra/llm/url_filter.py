@@ -1,8 +1,8 @@
 """URL filtering: rules first, then naive Bayes over segmented host names and path tokens.
 
 A unigram model, counted over the words of all pages, splits concatenated names by Viterbi. No
-vocabulary is cut or broadcast whole: the substrings of each distinct name are joined to the
-words that are counted, and each name is split by its own words.
+vocabulary is cut or broadcast whole: rolling hashes of a name's substrings meet a bitmap of all words'
+hashes (of fixed size), those that are there are joined to the words, and each name is split by its own words.
 
 Naive Bayes learns from all urls. Where a rule fits, its verdict is the label, whatever the url
 says; elsewhere a url is taken to be unwanted if a segmented word is one of UNWANTED. So a listed word that
@@ -16,12 +16,15 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from math import log
+from urllib.parse import unquote
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.common import LOWER, UPPER, materialize, sliced, small
+from attestra.llm.common import LOWER, UPPER, by_volume, materialize, sliced, small
+from attestra.llm.shingles import BYTE_BASE, mixed, powers
 
 #: Fixed values: (verdict, rule). A rule is a host and the start of a path.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -34,7 +37,10 @@ KNOWN_SHARE = 1e-4
 SMOOTHING = 0.5
 #: Distinct words that a task counts, or names that it tells apart, before it passes them on.
 FLUSH = 1 << 19
-TAGS, LETTERS, TOKEN = re.compile(r"<(script|style)\b.*?</\1>|<[^>]*>", re.S), re.compile(r"[^\W\d_]+"), re.compile("[a-z]+|[0-9]+")
+#: Bits of the slot that a word's hash has in the bitmap: 2**FILTER_BITS bits are broadcast, whatever the vocabulary.
+FILTER_BITS = 26
+INVERSE = pow(BYTE_BASE, -1, 1 << 64)
+TAGS, LETTERS, TOKEN = re.compile(r"<(script|style)\b.*?</\1>|<[^>]*>", re.S), re.compile(r"[^\W\d_]+"), re.compile(r"[^\W\d_]+|[0-9]+")
 HOST, PATH = re.compile("[^/?#]*"), re.compile("[^?#]*")
 ASCII_LOWER = str.maketrans(UPPER, LOWER)
 
@@ -87,9 +93,18 @@ class Segmenter:
         return out[::-1]
 
 
+def plain_label(label: str) -> str:
+    """A part of a host name as it is read: what xn-- stands for, where it stands for something."""
+    try:
+        return label[4:].encode("ascii").decode("punycode") if label.startswith("xn--") else label
+    except UnicodeError:
+        return label
+
+
 def names(host: str, path: str) -> list[str]:
-    """Runs of letters of the host, marked as such, and of the path; numbers count as one word."""
-    return [f"{mark}{'0' if t.isdigit() else t}" for mark, part in (("h:", host), ("p:", path.translate(ASCII_LOWER))) for t in TOKEN.findall(part)]
+    """Runs of letters of the host, marked as such, and of the path, in lower case and without escapes; numbers count as one word."""
+    parts = (("h:", ".".join(map(plain_label, host.split(".")))), ("p:", unquote(path)))
+    return [f"{mark}{'0' if t[0] in '0123456789' else t}" for mark, part in parts for t in TOKEN.findall(part.lower())]
 
 
 def counted(counts: Counter[str]) -> pa.RecordBatch:
@@ -101,8 +116,8 @@ def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter[str] = Counter()
     for batch in sliced(batches):
         for url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            counts.update(LETTERS.findall(TAGS.sub(" ", html or "").translate(ASCII_LOWER)))
-            counts.update(w for label in split_url(url)[0].split(".") if "-" in label for w in LETTERS.findall(label))
+            counts.update(LETTERS.findall(TAGS.sub(" ", html or "").lower()))
+            counts.update(w for label in split_url(url)[0].split(".") if "-" in label for w in LETTERS.findall(plain_label(label).lower()))
         if len(counts) > FLUSH:
             yield counted(counts)
             counts.clear()
@@ -118,27 +133,83 @@ def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.string()) for c in columns), pa.array([names(*p) for p in split], pa.list_(pa.string()))], ["page_id", "host", "path", "rule", "ruled", "names"])
 
 
+class Windows:
+    """Hashes of the substrings of many names: differences of prefix sums of a polynomial, with the offset divided out. A substring has one hash wherever it is."""
+
+    def __init__(self, texts: list[str]) -> None:
+        points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        self.which = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        self.sums = np.zeros(len(points) + 1, np.uint64)
+        np.cumsum(mixed(points.astype(np.uint64) + np.uint64(1)) * powers(BYTE_BASE, len(points)), out=self.sums[1:])
+        self.back = powers(INVERSE, len(points))
+
+    def of(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(text, hash) of all substrings of k code points."""
+        n = len(self.which) - k + 1
+        if n <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        (inside,) = np.nonzero(self.which[:n] == self.which[k - 1 :])
+        return self.which[inside], mixed((self.sums[inside + k] - self.sums[inside]) * self.back[inside])
+
+
+def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """word, n, hash. Columns: word, n."""
+    for batch in sliced(batches):
+        words = batch.column(0).to_pylist()
+        keys = np.zeros(len(words), np.uint64)
+        lengths = np.array([len(w) for w in words], np.int64)
+        for k in np.unique(lengths).tolist():
+            (own,) = np.nonzero(lengths == k)
+            keys[own] = Windows([words[i] for i in own.tolist()]).of(k)[1]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys.view(np.int64))], ["word", "n", "hash"])
+
+
+def word_filter(words: DataFrame) -> np.ndarray:
+    """One bit for each slot of a word's hash. words: hash."""
+    slot = F.shiftrightunsigned("hash", 64 - FILTER_BITS)
+    parts = words.select((slot + 1).alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).toArrow()
+    out = np.zeros((max(1, (1 << FILTER_BITS) >> 15), 4096), np.uint8)
+    for part, bits in zip(parts.column(0).to_pylist(), parts.column(1).to_pylist(), strict=True):
+        out[part - 1] = np.frombuffer(bits, np.uint8)
+    return out.ravel()
+
+
 def segmented(found: DataFrame, words: DataFrame) -> DataFrame:
-    """found: name (distinct); words: word, n, written before. name and its words, each name split by those of its substrings that are words."""
+    """found: name (distinct); words: word, n, hash, written before. name and its words, each name split by those of its substrings that are words.
+
+    A name is sent to its words as a number, with a hash for each substring that may be a word: work and rows are bounded by the
+    name's letters times the lengths that words have, and the name itself isn't repeated.
+    """
     total = words.agg(F.sum("n")).first()[0] or 1
-    listed = found.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, UNWANTED))).alias("word"), F.lit(0).cast("long").alias("n"))
-    lengths = [r.k for r in words.select(F.length("word").alias("k")).union(listed.select(F.length("word"))).distinct().collect()]
+    lengths = sorted(r.k for r in words.select(F.length("word").alias("k")).distinct().collect())
+    known_bits = found.sparkSession.sparkContext.broadcast(word_filter(words))
+    named = materialize(found.withColumn("nid", F.monotonically_increasing_id()), "names")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name in batch.column(0).to_pylist():
-                for k in lengths:
-                    if pieces := {name[i : i + k] for i in range(len(name) - k + 1)}:
-                        yield pa.RecordBatch.from_pydict({"name": pa.array([name] * len(pieces), pa.string()), "word": pa.array(pieces, pa.string())})
+        for batch in sliced(batches):
+            ids, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            for part in by_volume([t.encode() for t in texts]):
+                own = [texts[i] for i in part]
+                windows, longest = Windows(own), max(map(len, own))
+                for k in lengths[: np.searchsorted(lengths, longest, "right")]:
+                    which, key = windows.of(k)
+                    slot = (key >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+                    there = (known_bits.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+                    pairs = np.unique(np.stack([which[there].astype(np.uint64), key[there]]), axis=1)
+                    for begin in range(0, pairs.shape[1], 1 << 16):
+                        some = pairs[:, begin : begin + (1 << 16)]
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[some[0].astype(np.int64) + part.start]), pa.array(some[1].view(np.int64))], ["nid", "hash"])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             rows = zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
-            out = [(name, Segmenter(dict(zip(words or (), counts or (), strict=True)), total).words(name) if name != "0" else ["0"]) for name, words, counts in rows]
+            own = lambda name, words, counts: {w: n for w, n in zip(words or (), counts or (), strict=True) if w in name}
+            out = [(name, Segmenter(own(name, words, counts), total).words(name) if name != "0" else ["0"]) for name, words, counts in rows]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.list_(pa.string()))], ["name", "words"])
 
-    known = found.where("name <> '0'").mapInArrow(cut, "name string, word string").join(words, "word").groupBy("name").agg(F.collect_list(F.struct("word", "n")).alias("own"))
-    return found.join(known, "name", "left").select("name", F.col("own.word").alias("words"), F.col("own.n").alias("counts")).mapInArrow(split, "name string, words array<string>")
+    pieces = named.where("name <> '0'").select("nid", "name").mapInArrow(cut, "nid long, hash long")
+    known = pieces.join(words, "hash").groupBy("nid").agg(F.collect_list(F.struct("word", "n")).alias("own"))
+    return named.join(known, "nid", "left").select("name", F.col("own.word").alias("words"), F.col("own.n").alias("counts")).mapInArrow(split, "name string, words array<string>")
 
 
 def odds(good: Column, bad: Column, totals: tuple[float, float]) -> Column:
@@ -153,7 +224,8 @@ def judged_urls(pages: DataFrame) -> DataFrame:
     ``://`` has neither host nor path, and only the prior speaks. Repeated rows are judged alike. Other columns are not
     looked at; an empty table gives an empty result.
     """
-    words = materialize(pages.select("url", "html").mapInArrow(word_counts, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    words = pages.select("url", "html").mapInArrow(word_counts, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    words = materialize(words.mapInArrow(hashed, "word string, n long, hash long"), "words")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url").mapInArrow(parts, "page_id long, host string, path string, rule string, ruled string, names array<string>")
     rows = materialize(rows.withColumn("rid", F.monotonically_increasing_id()), "urls")
     marked = rows.select("rid", "ruled", F.explode("names").alias("marked"))
