@@ -13,6 +13,7 @@ stars are joined to components.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ SEED = 42
 RADIUS = 2
 #: Fingerprints that a leaf should have, sampled ones among them, and the most that trees are built from at once (8 bytes each).
 LEAF_ROWS, SAMPLE_EACH, SAMPLE_MOST = 32_768, 24, 1 << 18
+#: Leaves that the tree of a crowded leaf has at least, if its sample tells them apart: with more crowded leaves than SAMPLE_MOST allows that for, trees are built for some of them at a time.
+BRANCHES = 8
 #: Fingerprints in a leaf, visitors among them, beyond which it gets a tree of its own.
 LEAF_MOST = 1 << 20
 #: Pairs compared at once, and links gathered before they are joined.
@@ -100,9 +103,10 @@ class Tree:
         self.leaves += 1
         return -self.leaves
 
-    def routed(self, prints: np.ndarray) -> Iterator[tuple[int, np.ndarray, bool]]:
-        """(leaf, positions in prints, whether it is their own leaf). A leaf is visited only from those before it, so each pair meets once."""
-        todo = [(self.root, np.arange(len(prints)), True)]
+    def routed(self, prints: np.ndarray, own: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, bool]]:
+        """(leaf, positions in prints, whether it is their own leaf). A leaf is visited only from those before it, so each pair meets once. Visitors of the tree (own: the others) visit every leaf that they are near to."""
+        own = np.ones(len(prints), bool) if own is None else own
+        todo = [x for x in ((self.root, np.flatnonzero(own), True), (self.root, np.flatnonzero(~own), False)) if len(x[1])]
         while todo:
             node, at, own = todo.pop()
             if node < 0:
@@ -173,38 +177,53 @@ def stars(table: pa.Table) -> pa.Table:
 def leaves(prints: DataFrame) -> DataFrame:
     """leaf, fp, own: the leaf that each distinct fingerprint (fp) is at home in (own), and those that it visits.
 
-    One level of trees after another, as long as a leaf has over LEAF_MOST rows; one that its own tree doesn't thin
-    out (its fingerprints are all as far from any vantage point) stays as it is. The driver sees samples and the
-    numbers of crowded leaves.
+    One level of trees after another, as long as a leaf has over LEAF_MOST rows; one that has 0.9 of its parent's or more (its
+    fingerprints are all as far from any vantage point) stays as it is. Each crowded leaf has a sample of its own. The driver sees
+    SAMPLE_MOST sampled fingerprints at once, and the numbers and sizes of crowded leaves, under a LEAF_MOST-th of the rows.
     """
-    rows, crowded, out = prints.select(F.lit(0).cast("long").alias("leaf"), "fp"), {0: prints.count()}, None
+    spark = prints.sparkSession
+    rows, crowded, out = prints.select(F.lit(0).cast("long").alias("leaf"), "fp", F.lit(True).alias("own")), {0: prints.count()}, []
     for level in range(64):
-        share = min(1.0, SAMPLE_EACH / LEAF_ROWS, SAMPLE_MOST / max(1, sum(crowded.values())))
-        drawn = rows.where(F.pmod(F.xxhash64("fp", F.lit(level)), F.lit(1 << 40)) < int(share * (1 << 40))).toArrow()
-        leaf, fp = drawn.column("leaf").to_numpy(), drawn.column("fp").to_numpy().view(np.uint64)
-        trees = {x: Tree(np.sort(fp[leaf == x]), SAMPLE_EACH) for x in crowded}
-        first = dict(zip(trees, np.cumsum([0, *(t.leaves for t in trees.values())]).tolist(), strict=False))
-        shared = prints.sparkSession.sparkContext.broadcast((trees, first))
-
-        def route(batches: Iterator[pa.RecordBatch], shared=shared, level=level) -> Iterator[pa.RecordBatch]:
-            trees, first = shared.value
-            for batch in batches:
-                leaf, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                for x in np.unique(leaf).tolist():
-                    mine = fp[leaf == x]
-                    for to, at, own in trees[x].routed(mine.view(np.uint64)):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), (level << 32) + first[x] + to)), pa.array(mine[at]), pa.array(np.full(len(at), own))], ["leaf", "fp", "own"])
-
-        placed = materialize(rows.mapInArrow(route, "leaf long, fp long, own boolean"), "leaves")
+        each = max(BRANCHES * SAMPLE_EACH, SAMPLE_MOST // len(crowded))
+        at_once, names = max(1, SAMPLE_MOST // each), sorted(crowded)
+        parent: dict[int, int] = {}
+        passes, more = [], 0
+        for begin in range(0, len(names), at_once):
+            some = {x: min(1.0, SAMPLE_EACH / LEAF_ROWS, each / max(1, crowded[x])) for x in names[begin : begin + at_once]}
+            shares = F.broadcast(spark.createDataFrame([(x, int(s * (1 << 40))) for x, s in some.items()], "leaf long, share long"))
+            mine = rows.join(shares, "leaf")
+            drawn = mine.where(F.pmod(F.xxhash64("fp", F.lit(level)), F.lit(1 << 40)) < F.col("share")).select("leaf", "fp").toArrow()
+            leaf, fp = drawn.column("leaf").to_numpy(), drawn.column("fp").to_numpy().view(np.uint64)
+            order = np.argsort(leaf, kind="stable")
+            leaf, fp = leaf[order], fp[order]
+            trees, first = {}, {}
+            for x in some:
+                trees[x] = Tree(np.sort(fp[np.searchsorted(leaf, x) : np.searchsorted(leaf, x, "right")]), SAMPLE_EACH)
+                first[x] = (level << 32) + more
+                parent |= dict.fromkeys(range(first[x] + 1, first[x] + trees[x].leaves + 1), x)
+                more += trees[x].leaves
+            shared = spark.sparkContext.broadcast((trees, first))
+
+            def route(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+                trees, first = shared.value
+                for batch in batches:
+                    leaf, fp, own = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+                    for x in np.unique(leaf).tolist():
+                        (mine,) = np.nonzero(leaf == x)
+                        for to, at, home in trees[x].routed(fp[mine].view(np.uint64), own[mine]):
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), first[x] + to)), pa.array(fp[mine[at]]), pa.array(np.full(len(at), home))], ["leaf", "fp", "own"])
+
+            passes.append(materialize(mine.select("leaf", "fp", "own").mapInArrow(route, "leaf long, fp long, own boolean"), "leaves"))
+        placed = reduce(DataFrame.unionByName, passes)
         found = {r.leaf: r["count"] for r in placed.groupBy("leaf").count().where(F.col("count") > LEAF_MOST).collect()}
-        before = max(crowded.values())
-        crowded = {x: n for x, n in found.items() if n < 0.9 * before}
-        done = placed.where(~F.col("leaf").isin(list(crowded)))
-        out = done if out is None else out.unionByName(done)
+        crowded = {x: n for x, n in found.items() if n < 0.9 * crowded[parent[x]]}
         if not crowded:
+            out.append(placed)
             break
-        rows = placed.where(F.col("leaf").isin(list(crowded))).select("leaf", "fp")
-    return out
+        again = small(spark.createDataFrame([(x,) for x in crowded], "leaf long"))
+        out.append(placed.join(again, "leaf", "left_anti"))
+        rows = placed.join(again, "leaf", "left_semi")
+    return reduce(DataFrame.unionByName, out)
 
 
 def links(spark: SparkSession, prints: DataFrame) -> DataFrame:
