@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import ulp
 
 import pyarrow as pa
@@ -36,13 +36,30 @@ def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
     keys = groups.groupBy("root", "doc_id", "th").agg(F.count("*").alias("n")).join(small(least), "root").withColumn("thin", id_and_text.eqNullSafe(F.col("least")))
     marked = materialize(keys.where("NOT thin OR n > 1").select(F.xxhash64("doc_id", "th").alias("key"), "th", "thin"), "marked")
     th = F.xxhash64(F.col("text"))
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.xxhash64(F.col("doc_id").cast("long"), th).alias("key"), th.alias("th")).join(small(marked), ["key", "th"], "left")
+    rows = docs.select(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("row"), F.xxhash64(F.col("doc_id").cast("long"), th).alias("key"), th.alias("th")).join(small(marked), ["key", "th"], "left")
     out = rows.where("thin IS NULL").select("row")
     if not marked.where("thin").isEmpty():
         out = out.unionByName(rows.where("thin").dropDuplicates(["key", "th"]).select("row"))
     return out.select("row.*")
 
 
+def quoted(column: str) -> str:
+    """A column's name for F.col, whatever dots and marks are in it."""
+    return "`" + column.replace("`", "``") + "`"
+
+
+def rows_with_text(docs: DataFrame, good: Callable[[pa.Array], list[bool]]) -> DataFrame:
+    """The rows of docs, in their columns, whose text is good; ``good`` judges many texts at once, in tasks."""
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # other names may have dots, which mapInArrow takes for fields
+    at = docs.columns.index("text")
+
+    def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            yield batch.filter(pa.array(good(batch.column(at)), pa.bool_()))
+
+    return plain.mapInArrow(filtered, plain.schema).toDF(*docs.columns)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(text, UPPER, LOWER)

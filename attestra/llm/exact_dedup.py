@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.common import ascii_lower, materialize
+from attestra.llm.common import ascii_lower, materialize, quoted
 
 #: A digest with this share of the rows is heavy. There are 1 / HEAVY_SHARE of these at most.
 HEAVY_SHARE = 1 / 512
@@ -67,7 +67,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     winners = materialize(winners, "winners")
 
     light = rows.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
-    light = light.join(light.groupBy("digest").agg(*group), "digest")
+    # written, so that Spark can split the rows of a digest that is all but heavy in the join
+    light = light.join(materialize(light.groupBy("digest").agg(*group), "light-groups"), "digest")
     heavy = rows.join(F.broadcast(winners), "digest").select(*light.columns)
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     return heavy.unionByName(light).select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
@@ -75,6 +76,6 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def without_copies(docs: DataFrame) -> DataFrame:
     """docs, in their columns, with one row of each group of equal texts: that with the largest doc_id; nulls before all others; of rows that repeat it, one."""
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    row = F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("row")
     rows = docs.select(row, digest_of(F.col("text")).alias("digest"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"))
     return rows.groupBy("digest").agg(F.max_by("row", "id").alias("row")).select("row.*")
