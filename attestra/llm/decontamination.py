@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.common import as_bytes, by_volume, materialize, sliced
+from attestra.llm.common import as_bytes, by_volume, materialize, rows_with_text, sliced
 from attestra.llm.shingles import PLAIN, Words
 
 WIDTH = 5
@@ -142,17 +142,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs, in their columns, without those that contain an item. Null texts stay. Each block of items after the first takes what the one before left, written."""
-    columns = docs.columns
     for block, index in enumerate(indexes(benchmark)):
         if block:  # or all blocks would be in memory together
             docs = materialize(docs, "clean")
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
-        def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in sliced(batches):
-                texts = [t or b"" for t in as_bytes(batch.column("text"))]
-                hit = {part[t] for part in by_volume(texts) for t, _, _ in shared.value.matches(texts[part.start : part.stop])}
-                yield batch.filter(pa.array([i not in hit for i in range(len(texts))], pa.bool_()))
+        def clean(column: pa.Array, shared=shared) -> list[bool]:
+            texts = [t or b"" for t in as_bytes(column)]
+            hit = {part[t] for part in by_volume(texts) for t, _, _ in shared.value.matches(texts[part.start : part.stop])}
+            return [i not in hit for i in range(len(texts))]
 
-        docs = docs.mapInArrow(clean, docs.schema)
-    return docs.select(*columns)
+        docs = rows_with_text(docs, clean)
+    return docs

@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.common import materialize, sliced
+from attestra.llm.common import materialize, rows_with_text, sliced
 
 BUCKETS = 1 << 15
 #: Lengths of the n-grams, in characters.
@@ -214,11 +214,5 @@ def in_known_language(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """docs, in their columns, without those that the model rejects: no letter, no language with a posterior of ``least``, or none that explains the text's n-grams (``least_fit``). A declared language plays no part in that."""
     sample = training_sample(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
     model = fitted(sample)
-    shared, bound, columns = docs.sparkSession.sparkContext.broadcast(model), least_fit(model, sample), docs.columns
-
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            known = [lang != UNKNOWN and score >= least and fit >= bound for lang, score, fit in shared.value.explained(batch.column(columns.index("text")).to_pylist())]
-            yield batch.filter(pa.array(known, pa.bool_()))
-
-    return docs.mapInArrow(clean, docs.schema)
+    shared, bound = docs.sparkSession.sparkContext.broadcast(model), least_fit(model, sample)
+    return rows_with_text(docs, lambda texts: [lang != UNKNOWN and score >= least and fit >= bound for lang, score, fit in shared.value.explained(texts.to_pylist())])

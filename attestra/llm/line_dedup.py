@@ -53,7 +53,7 @@ def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, site_col: s
     """
     lines = materialize(boilerplate(docs.select("text", F.col(site_col).alias("site")), min_sites, "site"), "boilerplate")
     blocks = max(1, -(-lines.count() // BLOCK_LINES))
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"), "text")
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"), "text")
     for block in range(blocks):
         rows = lines.where(F.pmod(F.xxhash64("line"), F.lit(blocks)) == block).toArrow().column(0)
         gone = docs.sparkSession.sparkContext.broadcast(frozenset(rows.to_pylist()))

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestra.llm.common import WORD, materialize, n_words, small
+from attestra.llm.common import materialize, n_words, quoted, small, WORD
 
 BLOCK_WORDS = 128
 SHARD_SLOTS = 4096
@@ -95,7 +95,7 @@ class Mix:
             n_words(F.col(text_col)).alias("size"),
             F.monotonically_increasing_id().alias("rid"),
             F.when(F.col(id_col).isNull(), F.xxhash64(F.col(text_col), F.lit(seed))).otherwise(F.xxhash64(F.col(id_col).cast("long"), F.lit(seed))).alias("order"),
-            *(F.col(c).alias(f"kept_{c}") for c in keep),
+            *(F.col(quoted(c)).alias(f"kept_{c}") for c in keep),
         )
         self.input = base = materialize(base, "mix-sizes")
         base = base.select("doc_id", "source", "size", "rid", "order")
@@ -161,4 +161,4 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     out = mix.input.join(passes.hint("merge"), "rid").withColumn("kept_text", text)
     if "n_chars" in columns:
         out = out.withColumn("kept_n_chars", F.length("kept_text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*(F.col(f"kept_{c}").alias(c) for c in columns))
+    return out.select(*(F.col(quoted(f"kept_{c}")).alias(c) for c in columns))
