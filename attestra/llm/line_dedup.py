@@ -9,7 +9,7 @@ Lines on MIN_SITES sites or more are boilerplate and go from all documents.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,7 +22,7 @@ MIN_SITES = 10
 LG_K = 9
 #: Standard errors from MIN_SITES within which an estimate isn't relied on.
 NEAR = 5 * 1.04 / 2 ** (LG_K / 2)
-#: Boilerplate digests (16 bytes each) broadcast at once; more are taken in further passes.
+#: Boilerplate digests (16 bytes each) up to which all tasks have them; more are joined to the lines.
 BLOCK_LINES = 1 << 20
 BLANK = " \t\r"
 
@@ -52,25 +52,44 @@ def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, site_col: s
     looked at; an empty table gives an empty result.
     """
     lines = materialize(boilerplate(docs.select("text", F.col(site_col).alias("site")), min_sites, "site"), "boilerplate")
-    blocks = max(1, -(-lines.count() // BLOCK_LINES))
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"), "text")
-    for block in range(blocks):
-        rows = lines.where(F.pmod(F.xxhash64("line"), F.lit(blocks)) == block).toArrow().column(0)
-        gone = docs.sparkSession.sparkContext.broadcast(frozenset(rows.to_pylist()))
-
-        def remove(batches: Iterator[pa.RecordBatch], gone=gone) -> Iterator[pa.RecordBatch]:
-            for batch in sliced(batches):
-                n, texts = batch.column("n_removed").to_pylist(), as_bytes(batch.column("text"))
-                for i, text in enumerate(texts):
-                    if text is not None:
-                        own = text.split(b"\n")
-                        left = [x for x in own if hashlib.md5(x.strip(BLANK.encode())).digest() not in gone.value]
-                        if len(left) < len(own):
-                            n[i] += len(own) - len(left)
-                            texts[i] = b"\n".join(left)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())], batch.schema.names)
-
-        out = out.mapInArrow(remove, out.schema)
-        if block < blocks - 1:  # or all blocks would be in memory together
-            out = materialize(out, "lines-left")
-    return out
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), n_lines.alias("n_lines"), F.lit(0).cast("long").alias("n_removed"), "text")
+    return without_listed(rows, lines) if lines.count() <= BLOCK_LINES else without_joined(rows, lines)
+
+
+def left_over(batch: pa.RecordBatch, gone: list[Callable[[int, bytes], bool] | None]) -> pa.RecordBatch:
+    """doc_id, n_lines, n_removed, text, without the lines that each text's test (place, line) names."""
+    n, texts = batch.column("n_removed").to_pylist(), as_bytes(batch.column("text"))
+    for i, (text, test) in enumerate(zip(texts, gone, strict=True)):
+        if text is not None and test is not None:
+            own = text.split(b"\n")
+            left = [x for at, x in enumerate(own) if not test(at, x)]
+            n[i] += len(own) - len(left)
+            texts[i] = b"\n".join(left)
+    return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "n_lines", "n_removed", "text"])
+
+
+def without_listed(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """rows, without lines: those are so few that all tasks have them."""
+    listed = frozenset(lines.toArrow().column(0).to_pylist())
+    gone = rows.sparkSession.sparkContext.broadcast(listed)
+
+    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        test = lambda _, x: hashlib.md5(x.strip(BLANK.encode())).digest() in gone.value
+        for batch in sliced(batches):
+            yield left_over(batch, [test] * batch.num_rows)
+
+    return rows.mapInArrow(remove, rows.schema)
+
+
+def without_joined(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """rows, without lines: however many there are, digests and places are joined to them, and each text gets one list of the places that go. Rows are written once, so that their numbers stay."""
+    numbered = materialize(rows.withColumn("rid", F.monotonically_increasing_id()), "numbered")
+    placed = numbered.select("rid", F.posexplode(F.split("text", "\n")).alias("at", "line")).select("rid", "at", F.btrim("line", F.lit(BLANK)).alias("line")).where("line <> ''")
+    found = placed.select("rid", "at", F.unhex(F.md5("line")).alias("line")).join(lines.hint("merge"), "line").groupBy("rid").agg(F.collect_list("at").alias("gone"))
+
+    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            yield left_over(batch, [None if x is None else (lambda at, _, own=frozenset(x): at in own) for x in batch.column("gone").to_pylist()])
+
+    return numbered.join(found.hint("merge"), "rid", "left").drop("rid").mapInArrow(remove, rows.schema)
