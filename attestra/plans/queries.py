@@ -731,3 +731,6 @@ WHERE a.vec_id % 100 = 0 QUALIFY rank <= 5"""
 def peer_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     return semantic.peer_context(vectors, vectors.where(F.col("id") % EACH == 0), 5)
+
+
+from attestra.plans import tools  # noqa: E402, F401  registers its queries
