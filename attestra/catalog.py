@@ -30,6 +30,32 @@ def tool(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return f
 
 
+#: Columns of the tools that come from a source as they are; what names a row or its source is provenance, and anything else is computed.
+FACTS = frozenset("name label value text excerpt target_excerpt original re_reported auditor prior audit_fee non_audit_fee opinion assets type attrs ts event_id net_income operating_cash_flow debt equity n_events format".split())
+ABOUT = {"corp": ("corp", "peer", "target", "id"), "fy": ("fy", "fy_after"), "receipt": ("receipt", "receipt_after", "peer_receipt"), "topic": ("topic", "account", "target_topic", "kind"), "state": ("state",)}
+ROW = frozenset("corp peer target id fy receipt later_receipt receipt_before receipt_after topic account kind locator start end rule n_cohort state nth rank".split())
+
+
+def answered(name: str, found: DataFrame) -> DataFrame:
+    """What a tool (by its name) found, in four parts: facts, analysis, next_checks, provenance. Tools that part their answers themselves keep theirs.
+
+    Provenance has what names the row and its source, and at least company, year, receipt, topic and state, null where the tool has none; a row
+    without a state of its own is as good as what it shows: ``available`` with a receipt, else ``summary_only``. Next checks follow from the state.
+    """
+    if name not in TOOLS:
+        raise ValueError(f"no tool {name}")
+    parts = ["facts", "analysis", "next_checks", "provenance"]
+    if set(parts) <= set(found.columns):
+        return found.select(*parts)
+    have = found.columns
+    pick = lambda names: next((F.col(c) for c in names if c in have), F.lit(None).cast("string"))
+    receipt = pick(ABOUT["receipt"])
+    state = F.col("state") if "state" in have else F.when(receipt.isNotNull(), AVAILABLE).otherwise(SUMMARY_ONLY)
+    about = {k: pick(names) for k, names in ABOUT.items() if k != "state"} | {"state": state} | {c: F.col(c) for c in have if c in ROW and c not in ABOUT}
+    checks = [F.when(state == UNAVAILABLE, F.lit("look for a missing filing")), F.when(state == UNVERIFIED, F.lit("check the source")), F.when((state == SUMMARY_ONLY) & receipt.isNotNull(), F.lit("read the source"))]
+    return found.select(*answer({c: F.col(c) for c in have if c in FACTS}, {c: F.col(c) for c in have if c not in FACTS | ROW}, checks, about))
+
+
 def facts_of(r: Release, corps: Sequence[str] | None = None, years: Sequence[int] | None = None) -> DataFrame:
     """corp, fy, account, value (double), receipt: of several reports of a year, what its own report says, else the next."""
     facts = r["fact"]

@@ -59,7 +59,7 @@ def answer(facts: dict[str, Column], analysis: dict[str, Column], next_checks: S
     if missing := set(PROVENANCE) - set(provenance):
         raise ValueError(f"provenance lacks {sorted(missing)}")
     parts = {"facts": facts, "analysis": analysis, "provenance": provenance}
-    structs = {name: F.struct(*(c.alias(k) for k, c in columns.items())).alias(name) for name, columns in parts.items()}
+    structs = {name: (F.struct(*(c.alias(k) for k, c in columns.items())) if columns else F.lit(None).cast("struct<>")).alias(name) for name, columns in parts.items()}
     return [structs["facts"], structs["analysis"], F.array_compact(F.array(*next_checks)).alias("next_checks"), structs["provenance"]]
 
 
