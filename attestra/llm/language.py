@@ -1,14 +1,18 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Training counts are summed by Spark from a bounded sample of labelled rows; the matrix of
-log probabilities (languages x buckets, MATRIX_CELLS at most) is broadcast; texts are scored in
-batches with numpy: the n-grams of many texts are one sparse matrix, multiplied by that one. Each
-text counts whole.
+log probabilities (languages x buckets) is broadcast; texts are scored in batches with numpy: the
+n-grams of many texts are one sparse matrix, multiplied by that one. Each text counts whole. More
+languages than a broadcast may hold are taken in blocks, one pass over the texts each: what a text
+has of its best language so far, and the sum over all, is carried on.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from math import exp
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +20,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.common import materialize, rows_with_text, sliced
+from attestra.llm.common import materialize, sliced
 
 BUCKETS = 1 << 15
 #: Lengths of the n-grams, in characters.
@@ -25,7 +29,7 @@ GRAMS = (2, 3)
 TRAIN_ROWS = 20_000
 #: Languages with fewer characters than this in the sample still count; a bucket never seen has this count.
 SMOOTHING = 0.5
-#: Cells of the broadcast matrix at most, 8 bytes each. Over 512 languages have fewer buckets: half of them for twice as many languages.
+#: Cells of the broadcast matrix at most, 8 bytes each: 512 languages.
 MATRIX_CELLS = 1 << 24
 #: Characters scored at once; longer texts are taken in pieces.
 AT_ONCE = 1 << 18
@@ -99,6 +103,26 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(at), pa.string()), "bucket": at.astype(np.int32), "n": own[at]})
 
 
+class Sums(NamedTuple):
+    """What a text has so far: its best language, the log probability of its n-grams there, the sum over languages of their probability in parts of that, and how many n-grams."""
+
+    lang: str | None
+    top: float
+    rest: float
+    n: int
+
+
+NOTHING = Sums(None, float("-inf"), 0.0, 0)
+
+
+def better(a: Sums, b: Sums) -> Sums:
+    """Both together; of equals, the first."""
+    if a.lang is None or b.lang is None:
+        return b if a.lang is None else a
+    a, b = (b, a) if b.top > a.top else (a, b)
+    return a._replace(rest=a.rest + b.rest * exp(b.top - a.top))
+
+
 class LanguageModel:
     """langs in order; logs: log probabilities, languages x buckets, and a last column of zeros. Languages are weighed alike."""
 
@@ -115,7 +139,10 @@ class LanguageModel:
 
     def explained(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
         """Of each text: the likeliest language, its posterior, and the mean log probability of an n-gram in it (-inf for unknown)."""
-        out: list[tuple[str, float, float]] = [(UNKNOWN, 0.0, float("-inf"))] * len(texts)
+        return [(UNKNOWN, 0.0, float("-inf")) if lang is None else (lang, 1 / rest, top / n) for lang, top, rest, n in self.sums(texts)]
+
+    def sums(self, texts: list[str | None]) -> list[Sums]:
+        out: list[Sums] = [NOTHING] * len(texts)
         some = [i for i, t in enumerate(texts) if self.langs and t and LETTER.search(t)]
         total, n = np.zeros((len(self.langs), len(some))), np.zeros(len(some), np.int64)
         for at, parts in in_batches([texts[i] for i in some]):
@@ -126,22 +153,49 @@ class LanguageModel:
         for j, i in enumerate(some):
             own = total[:, j]
             best = int(own.argmax())
-            out[i] = self.langs[best], float(1 / np.exp(own - own[best]).sum()), float(own[best] / n[j])
+            out[i] = Sums(self.langs[best], float(own[best]), float(np.exp(own - own[best]).sum()), int(n[j]))
         return out
 
     def fit_to_others(self, text: str, own: str) -> float:
-        """The mean log probability of an n-gram of a text that was counted for a language, once its counts are taken out; -inf without a letter."""
+        """The mean log probability of an n-gram of a text that was counted for a language (of this model or another), once its counts are taken out; -inf without a letter."""
         if not LETTER.search(text):
             return float("-inf")
         seen = sum(np.bincount(h, minlength=self.buckets) for h in gram_buckets(text, self.buckets))
         (at,) = seen.nonzero()
-        seen, n, i = seen[at], int(seen.sum()), self.langs.index(own)
+        seen, n = seen[at], int(seen.sum())
         total = self.logs[:, at] @ seen
-        others = np.maximum(np.exp(self.logs[i, at]) * self.totals[i] - seen, SMOOTHING)
-        total[i] = seen @ np.log(others / max(self.totals[i] - n, SMOOTHING))
+        if own in self.langs:
+            i = self.langs.index(own)
+            others = np.maximum(np.exp(self.logs[i, at]) * self.totals[i] - seen, SMOOTHING)
+            total[i] = seen @ np.log(others / max(self.totals[i] - n, SMOOTHING))
         return float(total.max() / n)
 
 
+class LanguageModels:
+    """A model of any number of languages, in blocks of as many as a broadcast may hold. counts: lang, bucket, n, written before. The driver holds one block at a time."""
+
+    def __init__(self, counts: DataFrame) -> None:
+        self.counts, self.buckets = counts, BUCKETS
+        self.langs = sorted(r.lang for r in counts.select("lang").distinct().collect())
+        self.each = max(1, MATRIX_CELLS // BUCKETS)
+
+    def blocks(self) -> Iterator[LanguageModel]:
+        """At least one, which may know no language."""
+        for begin in range(0, max(1, len(self.langs)), self.each):
+            langs = self.langs[begin : begin + self.each]
+            table = self.counts.where(F.col("lang").between(langs[0], langs[-1])).toArrow() if langs else None
+            matrix = np.zeros((len(langs), BUCKETS))
+            if table is not None:
+                of = {x: i for i, x in enumerate(langs)}
+                matrix[[of[x] for x in table.column("lang").to_pylist()], table.column("bucket").to_numpy()] = table.column("n").to_numpy()
+            yield LanguageModel(langs, matrix)
+
+    def judged(self, text: str | None) -> tuple[str, float]:
+        """As LanguageModel.judged, over all blocks."""
+        found = reduce(better, (m.sums([text])[0] for m in self.blocks()))
+        return (UNKNOWN, 0.0) if found.lang is None else (found.lang, 1 / found.rest)
+
+
 def held_out(id_col: Column) -> Column:
     """Whether crc32 of the id as text leaves 2 when divided by 4. A null id counts as an empty text."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % 4 == 2
@@ -154,48 +208,63 @@ def training_sample(labelled: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     return labelled.where(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(7)), F.lit(1 << 30)) < int(min(1, share) * (1 << 30)))
 
 
-def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> LanguageModel:
-    """labelled: doc_id, text, lang. Rows without text or language are passed over; without any, the model knows no language. One row per (language, bucket) reaches the driver."""
+def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> LanguageModels:
+    """labelled: doc_id, text, lang. Rows without text or language are passed over; without any, the model knows no language. One row per (language, bucket) of a block reaches the driver at once."""
     return fitted(training_sample(labelled, rows))
 
 
-def fitted(sample: DataFrame) -> LanguageModel:
-    counts = materialize(sample.select("lang", "text").mapInArrow(counted, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "grams")
-    table = counts.toArrow().to_pandas()
-    langs = sorted(table.lang.unique())
-    buckets = BUCKETS
-    while len(langs) * buckets > MATRIX_CELLS:
-        buckets //= 2
-    matrix = np.zeros((len(langs), buckets))
-    np.add.at(matrix, (table.lang.map({x: i for i, x in enumerate(langs)}).to_numpy(int), table.bucket.to_numpy() % buckets), table.n)
-    return LanguageModel(langs, matrix)
+def fitted(sample: DataFrame) -> LanguageModels:
+    counts = sample.select("lang", "text").mapInArrow(counted, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    return LanguageModels(materialize(counts, "grams"))
 
 
-def least_fit(model: LanguageModel, sample: DataFrame) -> float:
+def least_fit(models: LanguageModels, sample: DataFrame) -> float:
     """The fit under which a text is in no language of the model: below all but CLEAN_SHARE of the rows it learned from, each scored without its own counts, by MARGIN of their distance to the median; -inf without rows."""
-    shared = sample.sparkSession.sparkContext.broadcast(model)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([shared.value.fit_to_others(t, x) for x, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)], pa.float64())], ["fit"])
-
-    fits = sample.select("lang", "text").mapInArrow(score, "fit double").where(F.col("fit") > float("-inf"))
+    rows = sample.select("lang", "text", F.lit(float("-inf")).alias("fit"))
+    for model in models.blocks():
+        shared = sample.sparkSession.sparkContext.broadcast(model)
+
+        def score(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in sliced(batches):
+                found = [max(fit, shared.value.fit_to_others(t, x)) for x, t, fit in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.float64())], ["lang", "text", "fit"])
+
+        if not model.langs:
+            break
+        rows = rows.mapInArrow(score, "lang string, text string, fit double")
+        if len(models.langs) > models.each:  # or all blocks would be in memory together
+            rows = materialize(rows, "fits")
+    fits = rows.where(F.col("fit") > float("-inf"))
     low, middle = fits.agg(F.percentile("fit", [CLEAN_SHARE, 0.5])).first()[0] or (float("-inf"), 0.0)
     return low - MARGIN * (middle - low)
 
 
-def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """lang_pred and score of every row's whole text, after the columns in keep."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.select(*keep).schema
+def scored(rows: DataFrame, models: LanguageModels, at: int) -> DataFrame:
+    """rows, in their columns, with what the models make of the text in column number ``at``: own_lang (null: unknown), own_top, own_rest, own_n."""
+    out = rows.select("*", F.lit(None).cast("string").alias("own_lang"), F.lit(float("-inf")).alias("own_top"), F.lit(0.0).alias("own_rest"), F.lit(0).cast("long").alias("own_n"))
+    schema = out.schema
+    types = (pa.string(), pa.float64(), pa.float64(), pa.int64())
+    for model in models.blocks():
+        shared = rows.sparkSession.sparkContext.broadcast(model)
+
+        def add(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in sliced(batches):
+                before = map(Sums._make, zip(*(c.to_pylist() for c in batch.columns[-4:]), strict=True))
+                found = [better(a, b) for a, b in zip(before, shared.value.sums(batch.column(at).to_pylist()), strict=True)]
+                columns = zip(*found, strict=True) if found else [()] * 4
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-4], *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], batch.schema.names)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            lang, score, _ = zip(*shared.value.explained(batch.column(len(keep)).to_pylist()), strict=True)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
+        out = out.mapInArrow(add, schema)
+        if model.langs and model.langs[-1] != models.langs[-1]:  # or all blocks would be in memory together
+            out = materialize(out, "languages")
+    return out
 
-    out = schema.add("lang_pred", "string").add("score", "double")
-    return docs.select(*keep, F.col(text_col).alias("text_to_judge")).mapInArrow(score, out)
+
+def identify(docs: DataFrame, models: LanguageModels, text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """lang_pred and score of every row's whole text, after the columns in keep."""
+    found = scored(docs.select(*keep, F.col(text_col).alias("text_to_judge")), models, len(keep))
+    score = F.when(F.col("own_lang").isNull(), 0.0).otherwise(1 / F.col("own_rest"))
+    return found.select(*keep, F.coalesce("own_lang", F.lit(UNKNOWN)).alias("lang_pred"), score.alias("score"))
 
 
 def predicted_languages(docs: DataFrame) -> DataFrame:
@@ -213,6 +282,9 @@ def predicted_languages(docs: DataFrame) -> DataFrame:
 def in_known_language(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """docs, in their columns, without those that the model rejects: no letter, no language with a posterior of ``least``, or none that explains the text's n-grams (``least_fit``). A declared language plays no part in that."""
     sample = training_sample(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
-    model = fitted(sample)
-    shared, bound = docs.sparkSession.sparkContext.broadcast(model), least_fit(model, sample)
-    return rows_with_text(docs, lambda texts: [lang != UNKNOWN and score >= least and fit >= bound for lang, score, fit in shared.value.explained(texts.to_pylist())])
+    models = fitted(sample)
+    bound = least_fit(models, sample)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # other names may have dots, which mapInArrow takes for fields
+    known = scored(plain, models, docs.columns.index("text"))
+    known = known.where(F.col("own_lang").isNotNull() & (1 / F.greatest("own_rest", F.lit(1.0)) >= least) & (F.try_divide("own_top", "own_n") >= bound))
+    return known.select(*plain.columns).toDF(*docs.columns)

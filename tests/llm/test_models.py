@@ -56,14 +56,19 @@ def test_language_agrees_with_plain_naive_bayes(odd, odd_rows, monkeypatch):
         assert [x[3] for x in got] == pytest.approx([x[3] for x in wanted], abs=1e-6)
 
 
-def test_many_languages_share_fewer_buckets(spark, monkeypatch):
+def test_many_languages_are_taken_in_blocks(spark, monkeypatch):
+    """With ten times more languages than a broadcast may hold, each has all buckets, and results are those of one block."""
     from attestra.llm import language
 
-    monkeypatch.setattr(language, "MATRIX_CELLS", 1 << 14)
     rows = [(i, f"{chr(97 + i % 26) * 2}{chr(98 + i % 25)} " * 9, f"l{i % 26}") for i in range(260)]
-    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    assert len(model.langs) == 26 and model.buckets == 512
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    told = lambda: sorted((r.doc_id, r.lang_pred, round(r.score, 9)) for r in predicted_languages(docs).collect())
+    whole, clean = told(), sorted(in_known_language(docs).collect())
+    monkeypatch.setattr(language, "MATRIX_CELLS", 3 << 15)
+    model = language.train(docs)
+    assert len(model.langs) == 26 and [m.logs.shape for m in model.blocks()] == [(3, BUCKETS + 1)] * 8 + [(2, BUCKETS + 1)]
     assert sum(model.judged(t)[0] == x for _, t, x in rows) > 230
+    assert told() == whole and sorted(in_known_language(docs).collect()) == clean
 
 
 def test_language_held_out_accuracy(spark):
