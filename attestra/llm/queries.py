@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from attestra.llm.clusters import clustered
@@ -72,6 +71,8 @@ def op12_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers  # needed by this query alone
+
     return packed_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
