@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attestra.functions.evidence import AVAILABLE, UNVERIFIED
@@ -77,6 +77,27 @@ def facts_from_json(spark: SparkSession, path: str, accounts: Mapping[str, str],
     return parsed_facts(spark, path, accounts, fields).where("reason IS NULL").drop("line", "reason")
 
 
+def facts_from_tables(found: DataFrame, filings: DataFrame, accounts: Mapping[str, str]) -> tuple[DataFrame, DataFrame]:
+    """found: of report_tables.table_facts, written before; filings: receipt, corp, fy. The fact table, and what isn't in it with its reason.
+
+    accounts: the last header of a row -> account. A fact's year is the first number of four digits (19.. or 20..) in its column's headers, else its filing's; it
+    was reported in its filing's year. Of several cells for one account and year in a report, the first counts; the others are ``repeated``. Nothing vanishes: a cell is in one of the two.
+    """
+    names = F.create_map(*(F.lit(x) for pair in accounts.items() for x in pair))
+    rows = bound(found, filings).withColumnRenamed("fy", "filed_for")
+    year = F.regexp_extract("period", r"(?<![0-9])((?:19|20)[0-9]{2})(?![0-9])", 1)
+    own = F.trim(F.element_at(F.split("account", " / "), -1))
+    rows = rows.select("archive", "member", "nth", "row", "col", "corp", F.coalesce(F.nullif(year, F.lit("")).cast("int"), F.col("filed_for").cast("int")).alias("fy"), F.col("filed_for").cast("int").alias("reported_in"), F.try_element_at(names, own).alias("own"), "account", "value", "receipt", "text", "reason")
+    reason = F.coalesce("reason", F.when(F.col("corp").isNull(), "receipt isn't filed"), F.when(F.col("own").isNull(), "account isn't mapped"))
+    rows = rows.withColumn("reason", reason)
+    first = Window.partitionBy("receipt", "corp", "fy", "own").orderBy("member", "nth", "row", "col")
+    good = rows.where("reason IS NULL").withColumn("reason", F.when(F.row_number().over(first) > 1, "repeated"))
+    facts = good.where("reason IS NULL").select("corp", "fy", "reported_in", F.col("own").alias("account"), "value", "receipt")
+    left = ["archive", "member", "nth", "row", "col", "account", "text", "reason"]
+    rejected = rows.where("reason IS NOT NULL").select(*left).unionByName(good.where("reason IS NOT NULL").select(*left))
+    return facts, rejected.withColumn("state", F.lit(UNVERIFIED))
+
+
 def disclosures_from_json(spark: SparkSession, path: str, fields: Mapping[str, Sequence[str]] = DISCLOSURE_FIELDS) -> DataFrame:
     """The disclosure table. attrs: the line as it came."""
     rows = lines_of(spark, path).where("line IS NOT NULL").select(*(field(n).alias(k) for k, n in fields.items()), F.col("value").alias("attrs"))

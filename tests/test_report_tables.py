@@ -60,3 +60,37 @@ def test_spans_fill_the_grid():
 
 def test_no_archives(spark, tmp_path):
     assert table_facts(table_cells(spark.createDataFrame([], "archive string, content binary"))).collect() == []
+
+
+def test_tables_become_facts_of_a_release(spark, tmp_path):
+    from attestra.catalog import get_financial_snapshot
+    from attestra.release import Release
+    from attestra.sources.ingest import facts_from_tables
+    from attestra.tables import materialize
+
+    with zipfile.ZipFile(tmp_path / "r1.zip", "w") as z:
+        z.writestr("report.xml", REPORT)
+    with zipfile.ZipFile(tmp_path / "stray.zip", "w") as z:
+        z.writestr("report.xml", "<DOC><TABLE><TR><TH/><TH>2023</TH></TR><TR><TH>Assets</TH><TD>1</TD></TR></TABLE></DOC>")
+    filings = spark.createDataFrame([("r1", "001", 2023)], "receipt string, corp string, fy int")
+    cells = materialize(table_facts(table_cells(archives(spark, str(tmp_path)))), "cells")
+    facts, rejected = facts_from_tables(cells, filings, {"매출액": "revenue", "영업이익": "operating_income", "Assets": "assets"})
+    got = {(r.corp, r.fy, r.reported_in, r.account, r.value, r.receipt) for r in facts.collect()}
+    assert got == {("001", 2023, 2023, "revenue", Decimal("1234000000.00"), "r1"), ("001", 2022, 2023, "revenue", Decimal("-56000000.00"), "r1"), ("001", 2023, 2023, "operating_income", Decimal("-7500000.00"), "r1"), ("001", 2023, 2023, "assets", Decimal("100.00"), "r1")}
+    left = {(r.archive.rpartition("/")[2], r.text, r.reason) for r in rejected.collect()}
+    assert left == {("r1.zip", "9", "account isn't mapped"), ("r1.zip", "200", "repeated"), ("r1.zip", "-", "no number"), ("r1.zip", "see above", "no number"), ("r1.zip", "5", "unknown unit"), ("stray.zip", "1", "receipt isn't filed")}
+    assert facts.count() + rejected.count() == cells.count()
+    own = Release(spark, {"company": spark.createDataFrame([("001", "가람", "2611")], "corp string, name string, code string"), "fact": facts})
+    assert {r.account: r.value for r in get_financial_snapshot(own, "001", 2022, ["revenue", "assets"]).collect()} == {"revenue": -56000000.0, "assets": None}
+
+
+def test_rejected_lines_have_their_reason(spark, tmp_path):
+    from attestra.sources.ingest import facts_from_json, rejected_facts
+
+    lines = ['{"corp_code": "1", "bsns_year": "2022", "account_nm": "매출액", "thstrm_amount": "1,234.50", "rcept_no": "r1"}', '{"corp": "3", "fy": "x", "account": "Revenue", "value": "1"}', '{"corp": "3", "fy": "2023", "account": "other", "value": "1"}', '{"corp": "3", "fy": "2023", "account": "Revenue", "value": "n/a"}', '{"fy": "2023", "account": "Revenue", "value": "1"}', "no json", '{"corp": "4", "fy": "2023", "account": "Revenue"}']
+    (tmp_path / "facts.json").write_text("\n".join(lines))
+    path, accounts = str(tmp_path / "facts.json"), {"매출액": "revenue", "Revenue": "revenue"}
+    assert [r.account for r in facts_from_json(spark, path, accounts).collect()] == ["revenue"]
+    rows = rejected_facts(spark, path, accounts).collect()
+    assert {(r.line, r.reason) for r in rows} == {(lines[1], "year is no number"), (lines[2], "account isn't mapped"), (lines[3], "value is no number"), (lines[4], "no company"), ("no json", "no JSON"), (lines[6], "no value")}
+    assert all(r.state == "unverified" for r in rows)
