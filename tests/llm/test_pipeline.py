@@ -22,8 +22,11 @@ def test_query_agrees_with_sql(name, agree):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_every_query_returns_rows(name, spark):
     df = QUERIES[name](spark, str(DATA))
-    table = {"op9_url_filter": "pages"}.get(name, "documents")
-    if name != "op1_decontamination":
+    table = {"op9_url_filter": "pages", "op12_clustering": "embeddings"}.get(name, "documents")
+    if name in ("op11_spelling_variants", "op13_packing"):  # a row for each word, or piece
+        df = df.select("word" if name == "op11_spelling_variants" else "doc_id").distinct()
+        assert df.count() >= spark.read.parquet(f"{DATA}/{table}.parquet").count()
+    elif name != "op1_decontamination":
         assert df.count() == spark.read.parquet(f"{DATA}/{table}.parquet").count()
 
 
