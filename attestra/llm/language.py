@@ -1,6 +1,6 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Training counts are summed by Spark from a bounded sample of labelled rows; the matrix of
+Training counts are summed by Spark, for predictions from a bounded sample of labelled rows, for the pipeline from all; the matrix of
 log probabilities (languages x buckets) is broadcast; texts are scored in batches with numpy: the
 n-grams of many texts are one sparse matrix, multiplied by that one. Each text counts whole. More
 languages than a broadcast may hold are taken in blocks, one pass over the texts each: what a text
@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.common import materialize, sliced
+from attestra.llm.common import discard, materialize, sliced
 
 BUCKETS = 1 << 15
 #: Lengths of the n-grams, in characters.
@@ -31,11 +31,13 @@ TRAIN_ROWS = 20_000
 SMOOTHING = 0.5
 #: Cells of the broadcast matrix at most, 8 bytes each: 512 languages.
 MATRIX_CELLS = 1 << 24
+#: Languages that a task counts at once, 256 KB each.
+COUNTED_LANGS = 256
 #: Characters scored at once; longer texts are taken in pieces.
 AT_ONCE = 1 << 18
 OVERLAP = GRAMS[-1] - 1
-#: Labelled rows below the bound that fit is held against, as a share, and how far below them it is, in parts of their distance to the median.
-CLEAN_SHARE, MARGIN = 0.001, 0.5
+#: Labelled rows below the bound that fit is held against, as a share, and how far below them it is, in parts of their distance to the median. Steps of fit that rows are told apart by, which bounds what is gathered for a bound.
+CLEAN_SHARE, MARGIN, FIT_STEPS = 0.001, 0.5, 1000
 LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 
@@ -89,18 +91,25 @@ def in_batches(texts: list[str]) -> Iterator[tuple[np.ndarray, list[tuple[str, b
 
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of a partition: lang, bucket, n."""
+    """Counts of a partition: lang, bucket, n; in several parts where it has many languages."""
     counts: dict[str, np.ndarray] = {}
+
+    def told() -> Iterator[pa.RecordBatch]:
+        for lang, own in counts.items():
+            (at,) = own[:-1].nonzero()
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(at), pa.string()), "bucket": at.astype(np.int32), "n": own[at]})
+
     for batch in sliced(batches):
         langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
         for lang in set(langs):
+            if lang not in counts and len(counts) >= COUNTED_LANGS:
+                yield from told()
+                counts.clear()
             own = counts.setdefault(lang, np.zeros(BUCKETS + 1, np.int64))
             for _, parts in in_batches([t for x, t in zip(langs, texts, strict=True) if x == lang]):
                 for h, _ in hashed(parts):
                     own += np.bincount(h, minlength=BUCKETS + 1)
-    for lang, own in counts.items():
-        (at,) = own[:-1].nonzero()
-        yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(at), pa.string()), "bucket": at.astype(np.int32), "n": own[at]})
+    yield from told()
 
 
 class Sums(NamedTuple):
@@ -218,11 +227,15 @@ def fitted(sample: DataFrame) -> LanguageModels:
     return LanguageModels(materialize(counts, "grams"))
 
 
-def least_fit(models: LanguageModels, sample: DataFrame) -> float:
-    """The fit under which a text is in no language of the model: below all but CLEAN_SHARE of the rows it learned from, each scored without its own counts, by MARGIN of their distance to the median; -inf without rows."""
-    rows = sample.select("lang", "text", F.lit(float("-inf")).alias("fit"))
+def least_fits(models: LanguageModels, labelled: DataFrame) -> tuple[dict[str, float], float]:
+    """The fit under which a text isn't in a language, for each, and for any other: below all but CLEAN_SHARE of the rows it was learned from, each scored without its own counts, by MARGIN of their distance to the median.
+
+    No language is held to more than the rows of all are: one that few rows have explains less of a text, and by the others' rows would never be known.
+    """
+    rows = labelled.select("lang", "text", F.lit(float("-inf")).alias("fit"))
+    written = None
     for model in models.blocks():
-        shared = sample.sparkSession.sparkContext.broadcast(model)
+        shared = labelled.sparkSession.sparkContext.broadcast(model)
 
         def score(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in sliced(batches):
@@ -233,10 +246,15 @@ def least_fit(models: LanguageModels, sample: DataFrame) -> float:
             break
         rows = rows.mapInArrow(score, "lang string, text string, fit double")
         if len(models.langs) > models.each:  # or all blocks would be in memory together
-            rows = materialize(rows, "fits")
-    fits = rows.where(F.col("fit") > float("-inf"))
-    low, middle = fits.agg(F.percentile("fit", [CLEAN_SHARE, 0.5])).first()[0] or (float("-inf"), 0.0)
-    return low - MARGIN * (middle - low)
+            rows, before = materialize(rows, "fits"), written
+            if before is not None:
+                discard(before)
+            written = rows
+    stepped = F.floor(F.col("fit") * FIT_STEPS) / FIT_STEPS
+    found = rows.where(F.col("fit") > float("-inf")).rollup("lang").agg(F.percentile(stepped, [CLEAN_SHARE, 0.5]).alias("at")).collect()
+    bounds = {r.lang: r["at"][0] - MARGIN * (r["at"][1] - r["at"][0]) for r in found if r["at"]}
+    overall = bounds.pop(None, float("-inf"))
+    return {lang: min(bound, overall) for lang, bound in bounds.items()}, overall
 
 
 def scored(rows: DataFrame, models: LanguageModels, at: int) -> DataFrame:
@@ -280,11 +298,16 @@ def predicted_languages(docs: DataFrame) -> DataFrame:
 
 
 def in_known_language(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """docs, in their columns, without those that the model rejects: no letter, no language with a posterior of ``least``, or none that explains the text's n-grams (``least_fit``). A declared language plays no part in that."""
-    sample = training_sample(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
-    models = fitted(sample)
-    bound = least_fit(models, sample)
+    """docs, in their columns, without those that the model rejects: no letter, no language with a posterior of ``least``, or none that explains the text's n-grams (``least_fits``). A declared language plays no part in that.
+
+    The model is fitted on all labelled rows that aren't held out, and the bounds are from all of them: a language that few rows have is known too.
+    """
+    labelled = docs.where(~held_out(F.col("doc_id"))).select("text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
+    models = fitted(labelled)
+    bounds, overall = least_fits(models, labelled)
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # other names may have dots, which mapInArrow takes for fields
     known = scored(plain, models, docs.columns.index("text"))
-    known = known.where(F.col("own_lang").isNotNull() & (1 / F.greatest("own_rest", F.lit(1.0)) >= least) & (F.try_divide("own_top", "own_n") >= bound))
+    known = known.where(F.col("own_lang").isNotNull() & (1 / F.greatest("own_rest", F.lit(1.0)) >= least))
+    lower = docs.sparkSession.createDataFrame([(x, b) for x, b in bounds.items() if b < overall], "own_lang string, bound double")  # at most one row a language, as the model has
+    known = known.join(F.broadcast(lower), "own_lang", "left").where(F.try_divide("own_top", "own_n") >= F.coalesce("bound", F.lit(overall)))
     return known.select(*plain.columns).toDF(*docs.columns)
