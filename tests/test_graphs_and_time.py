@@ -7,7 +7,7 @@ from collections import defaultdict
 
 import pytest
 
-from attestra.operators import asof
+from attestra.operators import asof, fuzzy
 from attestra.operators.asof import as_of, known_at, versions
 from attestra.operators.fuzzy import near_names
 from attestra.operators.perimeter import perimeter
@@ -80,6 +80,31 @@ def test_near_names_are_all_found(spark, edits):
     assert got == {(a, b): d for a in set(names) for b in set(names) if a != b and (d := distance(a, b)) <= edits}
 
 
+@pytest.mark.parametrize(("edits", "masked"), [(1, 3), (2, 3), (2, 8)])
+def test_near_names_by_keys_and_by_grams(spark, monkeypatch, edits, masked):
+    monkeypatch.setattr(fuzzy, "MASKED", masked, raising=False)
+    rng = random.Random(5)
+    names = {"".join(rng.choice("ab\U0001f600") for _ in range(rng.randrange(11))) for _ in range(250)}
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    got = [(r.name, r.other, r.distance) for r in near_names(df, df, edits).collect()]
+    assert sorted(got) == sorted((a, b, d) for a in names for b in names if a != b and (d := distance(a, b)) <= edits)
+
+
+def test_names_with_common_parts_are_compared_about_as_often_as_they_are_near(spark, monkeypatch):
+    """Numbered names, all of whose grams many have."""
+    names = spark.range(10_000).selectExpr("concat('Customer#', lpad(id, 9, '0')) AS name")
+    found = near_names(names, names.where("name LIKE '%00'")).count()
+    compared = spark.sparkContext.accumulator(0)
+
+    def told(a, b):
+        compared.add(1)
+        return 1
+
+    monkeypatch.setattr(fuzzy.F, "levenshtein", lambda a, b, n: F.udf(told, "int").asNondeterministic()(a, b))
+    near_names(names, names.where("name LIKE '%00'")).count()
+    assert found > 20_000 and compared.value <= 1.1 * found
+
+
 def test_a_misspelt_name_is_found(spark):
     names = spark.createDataFrame([("Samsong Electronics",), ("Samsung Electronics",), ("Sam",)], "name string")
     asked = spark.createDataFrame([("Samsung Electroncs",)], "name string")
