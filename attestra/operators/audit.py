@@ -96,27 +96,44 @@ def kam_lifecycle(topics: DataFrame, last: int) -> DataFrame:
     return topics.select("corp", "topic", "fy", entry.alias("entry"), leaving.alias("exit"))
 
 
+def threaded(now: Column, before: Column, least: float) -> Column:
+    """now and before: arrays of (topic, words). topic, prior, similarity of each pair taken, the most similar first, one to one."""
+
+    def alike(t: Column) -> Column:
+        def pair(p: Column) -> Column:
+            shared = F.size(F.array_intersect(t["words"], p["words"]))
+            return F.struct((-(shared / (F.size(t["words"]) + F.size(p["words"]) - shared))).alias("far"), (t["topic"] != p["topic"]).alias("other"), p["topic"].alias("prior"), t["topic"].alias("topic"))
+
+        return F.filter(F.transform(before, pair), lambda x: (x["far"] <= -least) & (x["far"] < 0))
+
+    taken = F.filter(F.array(F.struct(F.lit(0.0).alias("far"), F.lit(False).alias("other"), F.lit("").alias("prior"), F.lit("").alias("topic"))), lambda _: F.lit(False))
+    free = lambda out, p: ~F.exists(out, lambda x: (x["prior"] == p["prior"]) | (x["topic"] == p["topic"]))
+    return F.aggregate(F.array_sort(F.flatten(F.transform(now, alike))), taken, lambda out, p: F.when(free(out, p), F.array_append(out, p)).otherwise(out))
+
+
 def kam_threads(topics: DataFrame, last: int, least: float = 0.5) -> DataFrame:
-    """topics: corp, topic, fy (distinct). Which matter of the year before each continues, whatever its wording: corp, fy, topic, prior (its wording then), similarity (shared words to all words), entry (new, continued: in the same words, or reworded), exit (kept, dropped, or open in the last year).
+    """topics: corp, topic, fy. Which matter of the year before each continues, whatever its wording: corp, fy, topic, prior (its wording then), similarity (shared words to all words), entry (new, continued: in the same words, or reworded), exit (kept, dropped, or open in the last year).
 
     Matters of a company meet where they share a word (or are the same). Of those with a similarity of ``least`` or more, the most similar pair
-    is taken first (of equals, the same wording, then the lower names), then the next of which neither has a partner: one to one.
-    What is gathered is one company-year's pairs.
+    is taken first (of equals, the same wording, then the lower names), then the next of which neither has a partner: one to one. A matter without a
+    name, or of no known company or year, has no partner. Topics are shuffled once, by company; what is gathered is one company-year's
+    matters and its pairs, and years meet in a window. Repeated topics count once.
     """
-    words = F.array_distinct(terms_of(F.col("topic")))
-    named = topics.select("corp", "fy", "topic", F.when(F.size(words) > 0, words).otherwise(F.array("topic")).alias("words"))
-    each = named.select("corp", "fy", "topic", F.size("words").alias("n"), F.explode("words").alias("word"))
-    before = each.select("corp", (F.col("fy") + 1).alias("fy"), F.col("topic").alias("prior"), F.col("n").alias("n_prior"), "word")
-    pairs = each.join(before, ["corp", "fy", "word"]).groupBy("corp", "fy", "topic", "prior", "n", "n_prior").agg(F.count("*").alias("shared"))
-    pairs = pairs.withColumn("similarity", F.col("shared") / (F.col("n") + F.col("n_prior") - F.col("shared"))).where(F.col("similarity") >= least)
-    ranked = F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("far"), (F.col("topic") != F.col("prior")).alias("other"), "prior", "topic")))
-    taken = F.filter(F.array(F.struct(F.lit(0.0).alias("far"), F.lit(False).alias("other"), F.lit("").alias("prior"), F.lit("").alias("topic"))), lambda _: F.lit(False))
-    free = lambda out, p: ~F.exists(out, lambda x: (x["prior"] == p["prior"]) | (x["topic"] == p["topic"]))
-    matched = pairs.groupBy("corp", "fy").agg(ranked.alias("pairs"))
-    matched = matched.select("corp", "fy", F.explode(F.aggregate("pairs", taken, lambda out, p: F.when(free(out, p), F.array_append(out, p)).otherwise(out))).alias("p"))
-    links = matched.select("corp", "fy", F.col("p.topic").alias("topic"), F.col("p.prior").alias("prior"), (-F.col("p.far")).alias("similarity"))
-    goes_on = links.select("corp", (F.col("fy") - 1).alias("fy"), F.col("prior").alias("topic"), F.lit(True).alias("goes_on"))
-    out = topics.join(links, ["corp", "fy", "topic"], "left").join(goes_on, ["corp", "fy", "topic"], "left")
+    w = Window.partitionBy("corp").orderBy("fy")
+    said = topics.select("corp", "fy", F.struct("topic").alias("t")).repartition("corp").groupBy("corp", "fy").agg(F.collect_set("t").alias("all"))
+
+    def worded(t: Column) -> Column:
+        words = F.array_distinct(terms_of(t["topic"]))
+        return F.struct(t["topic"].alias("topic"), F.when(F.size(words) > 0, words).otherwise(F.array(t["topic"])).alias("words"))
+
+    said = said.withColumn("now", F.transform(F.filter("all", lambda t: t["topic"].isNotNull() & F.col("corp").isNotNull()), worded))
+    met = said.withColumn("before", F.when(F.lag("fy").over(w) == F.col("fy") - 1, F.lag("now").over(w)))
+    linked = met.select("corp", "fy", "all", threaded(F.col("now"), F.coalesce("before", F.filter("now", lambda _: F.lit(False))), least).alias("links"))
+    linked = linked.withColumn("next", F.when(F.lead("fy").over(w) == F.col("fy") + 1, F.lead("links").over(w)))
+    each = linked.select("corp", "fy", "links", "next", F.explode("all").alias("t")).select("corp", "fy", "links", "next", F.col("t.topic").alias("topic"))
+    link = F.get(F.filter("links", lambda x: x["topic"] == F.col("topic")), F.lit(0))
+    out = each.select("corp", "fy", "topic", link.alias("link"), F.exists("next", lambda x: x["prior"] == F.col("topic")).alias("goes_on"))
+    out = out.select("corp", "fy", "topic", F.col("link.prior").alias("prior"), (-F.col("link.far")).alias("similarity"), "goes_on")
     entry = F.when(F.col("prior").isNull(), "new").when(F.col("prior") == F.col("topic"), "continued").otherwise("reworded")
     leaving = F.when(F.col("fy") == last, "open").when(F.col("goes_on"), "kept").otherwise("dropped")
     return out.select("corp", "fy", "topic", "prior", "similarity", entry.alias("entry"), leaving.alias("exit"))

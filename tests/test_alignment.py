@@ -83,6 +83,20 @@ def test_reworded_matters_continue(spark):
     }
 
 
+def test_matters_without_a_name_a_year_or_a_company_have_no_partner(spark):
+    said = [("a", 1, None), ("a", 2, None), ("a", None, "x y"), ("a", None, "x z"), (None, 1, "x y"), (None, 2, "x y"), ("a", 1, "x y"), ("a", 2, "x y"), ("a", 2, "x y")]
+    got = sorted((tuple(r) for r in kam_threads(spark.createDataFrame(said, "corp string, fy int, topic string"), 2, 0.4).collect()), key=repr)
+    lone = [(c, f, t, None, None, "new", "open" if f == 2 else "dropped") for c, f, t in said[:6]]
+    assert got == sorted([*lone, ("a", 1, "x y", None, None, "new", "kept"), ("a", 2, "x y", "x y", 1.0, "continued", "open")], key=repr)
+
+
+def test_threads_shuffle_topics_once(spark):
+    """Words, pairs and links stay with their company: one exchange, where there were a dozen."""
+    topics = spark.range(4000).selectExpr("id % 50 AS corp", "cast(id % 7 AS int) AS fy", "concat('w', id % 11, ' v', id % 13) AS topic")
+    got = kam_threads(topics, 6, 0.3)
+    assert got.count() > 3000 and got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
 def test_matters_are_matched_one_to_one(spark):
     rng = random.Random(3)
     rows = {(c, y, " ".join(sorted(rng.sample("abcde", rng.randrange(1, 5))))) for c in "pq" for y in (1, 2, 3) for _ in range(9)}
